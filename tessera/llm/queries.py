@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .licenses import CONFIDENCE, scan_licenses
 from .packing import pack_documents
+from .toxicity import score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def trains(id_column: str = "doc_id") -> Column:
+    """Rows whose labels may be learnt from: crc32 of the id's text modulo 3 is not 1."""
+    return F.crc32(F.col(id_column).cast("string")) % 3 != 1
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract: every document's score; held_out is false for a null id."""
+    scored = score_toxicity(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"), trains())
+    return scored.select("doc_id", F.coalesce(~trains(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.round("evidence", 9).alias("evidence"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract: n_words, places of the base phrases, labels; score: 1 less the product over labels of the doubt that the
     surest evidence for each leaves (a base phrase counts like a name)."""
@@ -41,6 +53,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_toxicity": op3_toxicity,
     "op4_license_scan": op4_license_scan,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
