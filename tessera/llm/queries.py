@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .licenses import CONFIDENCE, scan_licenses
+from .ngram_join import jaccard_components
 from .packing import pack_documents
 from .toxicity import score_toxicity
 
@@ -47,6 +48,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract: 3-word shingles, similarity 0.9 or more."""
+    return jaccard_components(_table(spark, sf_dir, "documents"), n=3, num=90, den=100, kind="space")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract: all documents in sequences of 2048 tokens at most."""
     return pack_documents(_table(spark, sf_dir, "documents"), capacity=2048, open_bins=256)
@@ -55,6 +61,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_license_scan": op4_license_scan,
+    "op8_ngram_join": op8_ngram_join,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
