@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .licenses import CONFIDENCE, scan_licenses
 from .ngram_join import jaccard_components
 from .packing import pack_documents
+from .paragraphs import duplicate_paragraphs
 from .toxicity import score_toxicity
 
 
@@ -15,6 +16,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All paragraphs of 15 words or more with a near duplicate: five-word shingles, similarity 0.8 or more."""
+    found = duplicate_paragraphs(_table(spark, sf_dir, "documents"), n=5, num=80, den=100, least_words=15)
+    return found.withColumnRenamed("class_id", "class_doc_id")
+
+
 def trains(id_column: str = "doc_id") -> Column:
     """Rows whose labels may be learnt from: crc32 of the id's text modulo 3 is not 1."""
     return F.crc32(F.col(id_column).cast("string")) % 3 != 1
@@ -59,6 +66,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_paragraph_minhash": op2_paragraph_minhash,
     "op3_toxicity": op3_toxicity,
     "op4_license_scan": op4_license_scan,
     "op8_ngram_join": op8_ngram_join,
