@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .embeddings import near_duplicate_vectors
 from .licenses import CONFIDENCE, scan_licenses
 from .ngram_join import jaccard_components
 from .packing import pack_documents
 from .paragraphs import duplicate_paragraphs
 from .toxicity import score_toxicity
+from .wordpiece import marked_vocabulary, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +57,19 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word-piece lengths of all documents under a public vocabulary of 32 000 pieces."""
+    import public_tokenizers
+
+    first, inner = marked_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts(_table(spark, sf_dir, "documents"), first, inner)
+
+
+def op7_embedding_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract: all embeddings, cosine 0.98 or more among equal labels."""
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract: 3-word shingles, similarity 0.9 or more."""
     return jaccard_components(_table(spark, sf_dir, "documents"), n=3, num=90, den=100, kind="space")
@@ -69,6 +84,8 @@ QUERIES = {
     "op2_paragraph_minhash": op2_paragraph_minhash,
     "op3_toxicity": op3_toxicity,
     "op4_license_scan": op4_license_scan,
+    "op6_token_counts": op6_token_counts,
+    "op7_embedding_pigeonhole": op7_embedding_pigeonhole,
     "op8_ngram_join": op8_ngram_join,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
