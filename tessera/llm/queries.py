@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import with_contamination
 from .embeddings import near_duplicate_vectors
 from .licenses import CONFIDENCE, scan_licenses
 from .ngram_join import jaccard_components
@@ -57,6 +58,12 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item that it holds: five-word shingles, similarity 0.8 or more."""
+    found = with_contamination(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), n=5, least=0.8)
+    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word-piece lengths of all documents under a public vocabulary of 32 000 pieces."""
     import public_tokenizers
@@ -84,6 +91,7 @@ QUERIES = {
     "op2_paragraph_minhash": op2_paragraph_minhash,
     "op3_toxicity": op3_toxicity,
     "op4_license_scan": op4_license_scan,
+    "op5_simhash_decontamination": op5_simhash_decontamination,
     "op6_token_counts": op6_token_counts,
     "op7_embedding_pigeonhole": op7_embedding_pigeonhole,
     "op8_ngram_join": op8_ngram_join,
