@@ -11,6 +11,7 @@ from .licenses import CONFIDENCE, scan_licenses
 from .ngram_join import jaccard_components
 from .packing import pack_documents
 from .paragraphs import duplicate_paragraphs
+from .sharding import balanced_shards
 from .toxicity import score_toxicity
 from .wordpiece import marked_vocabulary, token_counts
 
@@ -19,6 +20,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_balanced_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract: 24 shards whose row counts differ by one at most."""
+    found = balanced_shards(_table(spark, sf_dir, "documents"), shards=24)
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("group").alias("text_md5"))
+
+
 def op2_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All paragraphs of 15 words or more with a near duplicate: five-word shingles, similarity 0.8 or more."""
     found = duplicate_paragraphs(_table(spark, sf_dir, "documents"), n=5, num=80, den=100, least_words=15)
@@ -88,6 +95,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_balanced_label_propagation": op1_balanced_label_propagation,
     "op2_paragraph_minhash": op2_paragraph_minhash,
     "op3_toxicity": op3_toxicity,
     "op4_license_scan": op4_license_scan,
