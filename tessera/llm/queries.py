@@ -12,6 +12,7 @@ from .ngram_join import jaccard_components
 from .packing import pack_documents
 from .paragraphs import duplicate_paragraphs
 from .sharding import balanced_shards
+from .suffix_dedup import span_digests
 from .toxicity import score_toxicity
 from .wordpiece import marked_vocabulary, token_counts
 
@@ -89,6 +90,11 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), n=3, num=90, den=100, kind="space")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract: bytes covered by strings of 200 bytes that start twice."""
+    return span_digests(_table(spark, sf_dir, "documents"), length=200)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract: all documents in sequences of 2048 tokens at most."""
     return pack_documents(_table(spark, sf_dir, "documents"), capacity=2048, open_bins=256)
@@ -103,6 +109,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_embedding_pigeonhole": op7_embedding_pigeonhole,
     "op8_ngram_join": op8_ngram_join,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
