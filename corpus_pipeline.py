@@ -1,15 +1,80 @@
-"""Placeholder until the stages exist."""
+"""A training corpus in five stages, each over all that the stage before kept.
+
+Rows with a null id pass the filters of the near-duplicate stage (they link with nothing); null texts are never toxic, never
+near copies, never contaminated, and are packed as empty. Columns of documents that a stage doesn't need pass through.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm.common import cut
+from tessera.llm.decontaminate import with_contamination
+from tessera.llm.ngram_join import jaccard_components
+from tessera.llm.packing import pack_documents
+from tessera.llm.queries import trains
+from tessera.llm.suffix_dedup import without_repeats
+from tessera.llm.toxicity import score_toxicity
+
+#: Documents that score as high as this are toxic.
+TOXIC = 0.7
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops toxic documents. Learns from the training fold of labels, as far as these documents hold it."""
+    slim = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), trains())
+    return slim.where(F.col("score") < TOXIC).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies (five-word shingles, similarity 0.8 or more): the one with the least
+    id. Of rows that repeat an id with near or equal texts one stays, too; rows that repeat an id with other texts stay."""
+    groups = jaccard_components(docs.select("doc_id", "text"), n=5, num=80, den=100, kind="space")
+    extra = cut(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct())
+    left = docs.join(extra, docs["doc_id"] == extra["__id"], "left_anti")
+    repeated = left.groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1 and doc_id is not null").select(F.col("doc_id").alias("__id"))
+    if repeated.isEmpty():
+        return left
+    repeated = cut(repeated)
+    twice = left.join(repeated, left["doc_id"] == repeated["__id"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(repeated, left["doc_id"] == repeated["__id"], "left_anti").unionByName(twice)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes strings of 200 bytes that start more than once out of the texts; n_chars follows. All documents stay,
+    also those that are left empty."""
+    kept = without_repeats(docs, length=200)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return kept
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item (five-word shingles, similarity 0.8 or more)."""
+    found = with_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), n=5, least=0.8)
+    return found.where(F.size("matches") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 2048 tokens at most."""
+    return pack_documents(docs, capacity=2048, open_bins=256)
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+#: SQL cannot express the stages; tests hold each against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
