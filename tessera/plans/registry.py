@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.operators import retrieval
+from tessera.functions import text
+from tessera.operators import analytics, retrieval
+from tessera.streaming import events
 
-MODULES = [retrieval]
+MODULES = [retrieval, text, analytics, events]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
