@@ -113,4 +113,19 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_DOT = "list_dot_product({0}.v, {1}.v)"
+_REACHED = "r(a, b) as (select id, id from node union select r.a, l.b from r join l on r.b = l.a)"
+
+ORACLES: dict[str, str] = {
+    "op7_embedding_pigeonhole": f"""with recursive ok as (select vec_id id, label, embedding::double[] v from embeddings where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0
+and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as (select x.id a, y.id b from ok x join ok y on x.label = y.label and len(x.v) = len(y.v) and x.id <> y.id where {_DOT.format("x", "y")} / sqrt({_DOT.format("x", "x")} * {_DOT.format("y", "y")}) >= 0.98),
+node as (select vec_id id from embeddings), {_REACHED}, c as (select a, min(b) root from r group by a), n as (select a, count(*) n from l group by a)
+select c.a vec_id, coalesce(n.n, 0)::bigint n_links, c.root component_id, c.a = c.root as kept from c left join n using (a)""",
+    "op8_ngram_join": f"""with recursive w as (select doc_id id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') w from documents),
+s as (select distinct id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [w] else list_transform(range(1, len(w) - 1), lambda i: w[i : i + 2]) end) g from w),
+size as (select id, count(*) n from s group by id), p as (select x.id a, y.id b, count(*) shared from s x join s y on x.g = y.g and x.id <> y.id group by all),
+l as (select a, b from p join size i on i.id = a join size j on j.id = b where 100 * shared >= 90 * (i.n + j.n - shared)), node as (select doc_id id from documents), {_REACHED}
+select r.a doc_id, coalesce(any_value(size.n), 0)::bigint n_shingles, min(r.b) component_id from r left join size on size.id = r.a group by r.a""",
+}
