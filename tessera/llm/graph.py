@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, drop_cut
@@ -13,10 +13,6 @@ def _sum_of(df: DataFrame) -> tuple[int, int]:
     return row["n"], row["s"] or 0
 
 
-def _linked(a: Column, b: Column) -> Column:
-    return F.array(F.struct(a.alias("a"), b.alias("b")), F.struct(b.alias("a"), a.alias("b")))
-
-
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """edges(a, b) of any orderable type -> (vertex, component): the smallest vertex reachable, for each vertex that
     has an edge. Loops and repeated edges do no harm. Each round aggregates minima by vertex (partial sums first) and
@@ -26,12 +22,12 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if seen[0] == 0:
             break
-        both = now.select(F.explode(_linked(F.col("a"), F.col("b"))).alias("e")).select("e.a", "e.b")
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lowest, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
-        after = cut(small.select("e.a", "e.b").where("a <> b").distinct())
+        small = large.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lowest.select("a", F.col("m").alias("b")))
+        after = cut(small.where("a <> b").distinct())
         got = _sum_of(after)
         drop_cut(now)
         now, same, seen = after, got == seen, got
