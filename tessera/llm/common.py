@@ -9,12 +9,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text that one vectorised step handles; temporaries take about 80 bytes for each of them.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -47,6 +48,11 @@ def drop_cut(*frames: DataFrame | None) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def sized(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
+    """df, to be broadcast if it has most_rows rows at most; beyond that joins shuffle. df should be cheap to count."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: spreads the bits of 64-bit values."""
     x = x.astype(np.uint64, copy=True)
@@ -93,6 +99,12 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def every_span_hash(prefix: np.ndarray, size: int) -> np.ndarray:
+    """span_hash of data[i : i + size] for every i."""
+    n = len(prefix) - size
+    return mix((prefix[size:] - prefix[:-size]) * powers(len(prefix), BASE_INVERSE, "down")[:n] + np.uint64(size))
+
+
 def text_chunks(column: pa.Array, step: int = STEP_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, row offsets) of consecutive rows of a string or binary column; null counts as empty. No text is cut:
     a chunk holds one row at least, however long."""

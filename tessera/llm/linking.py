@@ -13,34 +13,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut
+from .common import cut, sized
 from .graph import connected_components
 
-SMALL_CELL = 64
-ROUNDS = 3
+SMALL_CELL = 16
+PARITY_WORDS = 4
+#: Pairs that are broadcast to the sets, 40 bytes each; more of them are shuffled.
+MOST_BROADCAST = 200_000
+ROUNDS = 1
 
 
 def sizes_can_reach(a: Column, b: Column, num: int, den: int) -> Column:
     return F.least(a, b) * den >= F.greatest(a, b) * num
 
 
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs(a, b, ...) with `shared` and `union`, the sizes of the intersection and the union. sets(v, n, tokens)."""
-    left = sets.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("v").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    joined = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("ta", "tb")).cast("long"))
-    return joined.withColumn("union", F.col("na") + F.col("nb") - F.col("shared")).drop("ta", "tb", "na", "nb")
+def may_link(na: Column, nb: Column, pa: Column, pb: Column, num: int, den: int) -> Column:
+    """False only for pairs below num / den: by sizes, and by parity bitmaps. Each element that two sets don't share
+    flips one bit of p, so the bits that differ are at most the symmetric difference."""
+    bits = sum((F.bit_count(pa[f"p{k}"].bitwiseXOR(pb[f"p{k}"])) for k in range(PARITY_WORDS)), F.lit(0))
+    return sizes_can_reach(na, nb, num, den) & (bits * (den + num) <= (na + nb) * (den - num))
 
 
-def pairs_in(cells: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct pairs (a < b) of members of the same cell whose sizes allow the threshold."""
-    one = cells.select("cell", F.col("v").alias("a"), F.col("n").alias("na"))
-    two = cells.select("cell", F.col("v").alias("b"), F.col("n").alias("nb"))
-    return one.join(two, "cell").where((F.col("a") < F.col("b")) & sizes_can_reach(F.col("na"), F.col("nb"), num, den)).select("a", "b").distinct()
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Distinct pairs(a, b, ...) with `shared` and `union`, the sizes of the intersection and the union. sets(v, n, tokens):
+    only tokens of sets that stand in a pair move."""
+    pairs = cut(pairs)
+    few = sized(pairs.select("a", "b"), MOST_BROADCAST)
+    left = sets.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")).join(few, "a")
+    right = sets.select(F.col("v").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")).join(few, "b")
+    joined = left.join(right, ["a", "b"]).withColumn("shared", F.size(F.array_intersect("ta", "tb")).cast("long"))
+    judged = joined.select("a", "b", "shared", (F.col("na") + F.col("nb") - F.col("shared")).alias("union"))
+    return judged if pairs.columns == ["a", "b"] else pairs.join(judged, ["a", "b"])
 
 
 def links_of(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    return compared(pairs, sets).where(F.col("shared") * den >= F.col("union") * num).select("a", "b")
+    """The pairs that link, written: several components are worked out from them."""
+    return cut(compared(pairs, sets).where(F.col("shared") * den >= F.col("union") * num).select("a", "b"))
 
 
 def split_cells(cells: DataFrame, small: int = SMALL_CELL) -> tuple[DataFrame, DataFrame]:
@@ -50,40 +58,65 @@ def split_cells(cells: DataFrame, small: int = SMALL_CELL) -> tuple[DataFrame, D
     return known.where(F.col("members") <= small).drop("members"), known.where(F.col("members") > small).drop("members")
 
 
-def link_large_cells(cells: DataFrame, sets: DataFrame, num: int, den: int, small: int = SMALL_CELL, rounds: int = ROUNDS) -> list[DataFrame]:
-    """Links (a, b) that join all members of a cell that links within the cell join. cells(cell, v, n, central): distinct
-    (cell, v). The result lacks redundant links; each frame of the list holds some."""
+def link_large_cells(cells: DataFrame, sets: DataFrame, num: int, den: int, rounds: int = ROUNDS) -> list[DataFrame]:
+    """Links (a, b) that join all members of a cell that links within the cell join. cells(cell, v, n, p, central):
+    distinct (cell, v), p with their parity bitmaps. The result lacks redundant links; each frame of the list holds some."""
     links: list[DataFrame] = []
     rings: list[DataFrame] = []
     wide = max(2 * num - den, 0)
     for _ in range(rounds):
         if cells.isEmpty():
             break
-        leaders = cells.groupBy("cell").agg(F.max(F.struct("central", "v", "n")).alias("l")).select("cell", F.col("l.v").alias("b"), F.col("l.n").alias("nb"))
+        leaders = cells.groupBy("cell").agg(F.max(F.struct("central", "v", "n", "p")).alias("l")).select("cell", F.col("l.v").alias("b"), F.col("l.n").alias("nb"), F.col("l.p").alias("pb"))
         met = cells.join(leaders, "cell").where("v <> b").withColumnRenamed("v", "a")
-        asked = met.where(sizes_can_reach(F.col("n"), F.col("nb"), wide, den)).select("a", "b").distinct()
-        known = cut(compared(asked, sets).where(F.col("shared") * den >= F.col("union") * wide))
-        near = (F.col("shared") * den >= F.col("union") * num) & F.col("shared").isNotNull()
-        judged = cut(met.join(known, ["a", "b"], "left").withColumn("near", F.coalesce(near, F.lit(False))))
-        links.append(known.where(F.col("shared") * den >= F.col("union") * num).select("a", "b"))
-        rings.append(judged.where("shared is not null").select("cell", "a", "b", "n", "shared", "union", "near"))
-        left = judged.where("not near").select("cell", F.col("a").alias("v"), "n", "central")
-        few, cells = split_cells(left, small)
-        few, cells = cut(few), cut(cells)
-        links.append(links_of(pairs_in(few, num, den), sets, num, den))
-    if rings:
-        links.append(links_of(pairs_in(cells, num, den), sets, num, den))
-        joined = connected_components(_all(links))
-        name = joined.select(F.col("vertex").alias("a"), F.col("component").alias("ca"))
-        lead = joined.select(F.col("vertex").alias("b"), F.col("component").alias("cb"))
-        for ring in rings:
-            apart = ring.where("not near").join(name, "a", "left").join(lead, "b", "left")
-            apart = apart.where("coalesce(ca, a) <> coalesce(cb, b)").select("cell", F.col("a").alias("x"), F.col("n").alias("nx"), "b", (1 - F.col("shared") / F.col("union")).alias("dx"))
-            close = ring.where("near").select("cell", "a", F.col("n").alias("na"), "b", (1 - F.col("shared") / F.col("union")).alias("da"))
-            late = apart.join(close, ["cell", "b"]).where(F.col("da") >= F.col("dx") - (1 - num / den) - 1e-9)
-            late = late.where(sizes_can_reach(F.col("nx"), F.col("na"), num, den)).select("a", F.col("x").alias("b")).distinct()
-            links.append(links_of(late, sets, num, den))
-    return links
+        asked = met.where(may_link(F.col("n"), F.col("nb"), F.col("p"), F.col("pb"), wide, den)).groupBy("a", "b").agg(F.first("n").alias("n"), F.first("p").alias("p"))
+        known = cut(compared(asked, sets).where(F.col("shared") * den >= F.col("union") * wide).withColumn("near", F.col("shared") * den >= F.col("union") * num))
+        rings.append(known)
+        links.append(known.where("near").select("a", "b"))
+        left = met.join(known.where("near").select("a", "b"), ["a", "b"], "left_anti").select("cell", F.col("a").alias("v"), "n", "p", "central")
+        cells = cut(_without_single(left))
+    if not rings:
+        return links
+    joined = connected_components(_all(links))
+    name = joined.select(F.col("vertex").alias("v"), F.col("component").alias("cv"))
+    kept = cells.join(name, "v", "left").withColumn("cv", F.coalesce("cv", "v"))
+    left = pairs_across(_distinct_cells(kept), num, den)
+    for ring in rings:
+        # what is near a leader against what is farther, by leader: a pair that many cells share comes up once
+        both = ring.withColumn("d", 1 - F.col("shared") / F.col("union"))
+        apart = both.where("not near").join(name.withColumnRenamed("v", "a").withColumnRenamed("cv", "ca"), "a", "left").join(name.withColumnRenamed("v", "b").withColumnRenamed("cv", "cb"), "b", "left")
+        apart = apart.where("coalesce(ca, a) <> coalesce(cb, b)").select(F.col("a").alias("x"), F.col("n").alias("nx"), F.col("p").alias("px"), "b", F.col("d").alias("dx"))
+        close = both.where("near").select("a", F.col("n").alias("na"), F.col("p").alias("pa"), "b", F.col("d").alias("da"))
+        reach = (F.col("da") >= F.col("dx") - (1 - num / den) - 1e-9) & may_link(F.col("nx"), F.col("na"), F.col("px"), F.col("pa"), num, den)
+        left = left.unionByName(apart.join(close, "b").where(reach).select(F.least("a", "x").alias("a"), F.greatest("a", "x").alias("b")))
+    return [*links, links_of(left.distinct(), sets, num, den)]
+
+
+def _without_single(cells: DataFrame) -> DataFrame:
+    return cells.join(cells.groupBy("cell").agg(F.count("*").alias("members")).where("members > 1").select("cell"), "cell", "left_semi")
+
+
+def _distinct_cells(cells: DataFrame) -> DataFrame:
+    """Of cells with the same members one, and none whose members are in one component already."""
+    marks = cells.groupBy("cell").agg(F.count("*").alias("n1"), F.bit_xor(F.xxhash64("v")).alias("n2"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("n3"), F.min("cv").alias("low"), F.max("cv").alias("high"))
+    one = marks.where("low <> high").groupBy("n1", "n2", "n3").agg(F.min("cell").alias("cell"))
+    return cells.join(one.select("cell"), "cell", "left_semi")
+
+
+def pairs_across(cells: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs of members of the same cell in different components (cv) that may_link."""
+    one = cells.select("cell", F.col("v").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("cv").alias("ca"))
+    two = cells.select("cell", F.col("v").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("cv").alias("cb"))
+    bound = may_link(F.col("na"), F.col("nb"), F.col("pa"), F.col("pb"), num, den)
+    return one.join(two, "cell").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & bound).select("a", "b").distinct()
+
+
+def with_components(frame: DataFrame, frames: list[DataFrame]) -> DataFrame:
+    """frame(v, ...) with cv: the component of v by the links so far, v itself if it has none."""
+    if not frames:
+        return frame.withColumn("cv", F.col("v"))
+    names = connected_components(_all(frames)).select(F.col("vertex").alias("v"), F.col("component").alias("cv"))
+    return frame.join(names, "v", "left").withColumn("cv", F.coalesce("cv", "v"))
 
 
 def _all(frames: list[DataFrame]) -> DataFrame:
@@ -94,8 +127,5 @@ def _all(frames: list[DataFrame]) -> DataFrame:
 
 
 def components_of(frames: list[DataFrame]) -> DataFrame:
-    """(vertex, component) of the links in all frames."""
-    links = cut(_all(frames))
-    out = connected_components(links)
-    drop_cut(links)
-    return out
+    """(vertex, component) of the links in all frames, of which there is one at least."""
+    return connected_components(_all(frames))

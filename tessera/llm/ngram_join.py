@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_of, cut, distinct_by_row, drop_cut, long_lists, mix, shingle_hashes, text_chunks, word_hashes
-from .linking import SMALL_CELL, components_of, link_large_cells, links_of, sizes_can_reach
+from .common import column_of, cut, distinct_by_row, drop_cut, long_lists, mix, shingle_hashes, sized, text_chunks, word_hashes
+from .linking import PARITY_WORDS, SMALL_CELL, components_of, link_large_cells, links_of, may_link, with_components
 
 #: Entries of the table of counts; 8 bytes each are broadcast, whatever the corpus.
 COUNT_BITS = 17
@@ -46,13 +46,29 @@ def set_names(tokens: np.ndarray, after: np.ndarray) -> pa.Array:
     return pa.compute.if_else(pa.array(counts > 0), names, pa.scalar(None, pa.binary()))
 
 
+def parities(tokens: np.ndarray, after: np.ndarray) -> pa.Array:
+    """Bitmaps of each set's tokens in which a bit counts modulo 2: struct p0, p1, ... of 64 bits each."""
+    columns = []
+    bit = np.uint64(1) << (tokens & np.uint64(63))
+    word = (tokens >> np.uint64(6)) % np.uint64(PARITY_WORDS)
+    for k in range(PARITY_WORDS):
+        total = np.bitwise_xor.accumulate(np.concatenate([np.zeros(1, np.uint64), np.where(word == k, bit, np.uint64(0))]))
+        columns.append(pa.array((total[after[1:]] ^ total[after[:-1]]).view(np.int64)))
+    return pa.StructArray.from_arrays(columns, names=[f"p{k}" for k in range(PARITY_WORDS)])
+
+
+PARITY = T.StructType([T.StructField(f"p{k}", T.LongType()) for k in range(PARITY_WORDS)])
+
+
 def least_overlap(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return -((-n * num) // den)
 
 
 def _digests(frame: DataFrame, n: int, kind: str) -> DataFrame:
     """(id, n, v) of each row, and (bucket, count) rows of the table of token counts."""
-    schema = T.StructType([T.StructField("id", frame.schema["id"].dataType), T.StructField("n", T.LongType()), T.StructField("v", T.BinaryType()), T.StructField("bucket", T.LongType()), T.StructField("count", T.LongType())])
+    schema = T.StructType([T.StructField("id", frame.schema["id"].dataType), T.StructField("n", T.LongType()), T.StructField("v", T.BinaryType()), T.StructField("p", PARITY), T.StructField("bucket", T.LongType()), T.StructField("count", T.LongType())])
+
+    parity = pa.struct([(f"p{k}", pa.int64()) for k in range(PARITY_WORDS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << COUNT_BITS, np.int64)
@@ -65,11 +81,11 @@ def _digests(frame: DataFrame, n: int, kind: str) -> DataFrame:
                 table += np.bincount((tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(table))
                 rows = len(after) - 1
                 none = pa.nulls(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([ids.slice(row, rows), pa.array(np.diff(after)), set_names(tokens, after), none, none], names=schema.names)
+                yield pa.RecordBatch.from_arrays([ids.slice(row, rows), pa.array(np.diff(after)), set_names(tokens, after), parities(tokens, after), none, none], names=schema.names)
         at = np.flatnonzero(table)
         if len(at):
             none = pa.nulls(len(at), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), id_type), none, pa.nulls(len(at), pa.binary()), pa.array(at), pa.array(table[at])], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), id_type), none, pa.nulls(len(at), pa.binary()), pa.nulls(len(at), parity), pa.array(at), pa.array(table[at])], names=schema.names)
 
     return cut(frame.mapInArrow(run, schema))
 
@@ -106,8 +122,8 @@ def sets_of(frame: DataFrame, wanted: DataFrame, n: int, kind: str) -> DataFrame
                 tokens, after = token_sets(data, offsets, n, kind)
                 yield pa.RecordBatch.from_arrays([set_names(tokens, after), pa.array(np.diff(after)), long_lists(tokens, after)], names=["v", "n", "tokens"])
 
-    texts = frame.join(wanted.select("id").distinct(), "id", "left_semi").select("text")
-    return cut(texts.mapInArrow(run, "v binary, n long, tokens array<long>").join(wanted.select("v"), "v", "left_semi").dropDuplicates(["v"]))
+    texts = frame.join(sized(wanted.select("id").distinct()), "id", "left_semi").select("text")
+    return cut(texts.mapInArrow(run, "v binary, n long, tokens array<long>").join(sized(wanted.select("v")), "v", "left_semi").dropDuplicates(["v"]))
 
 
 def _chosen_matches(shared: DataFrame) -> DataFrame:
@@ -141,7 +157,7 @@ def jaccard_components(
     """
     frame = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     both = _digests(frame, n, kind)
-    rows = both.where("bucket is null").select("id", "n", "v")
+    rows = both.where("bucket is null").select("id", "n", "v", "p")
     table = np.zeros(1 << COUNT_BITS, np.int64)
     for r in both.where("bucket is not null").groupBy("bucket").agg(F.sum("count").alias("n")).toLocalIterator():
         table[r["bucket"]] = r["n"]
@@ -153,23 +169,26 @@ def jaccard_components(
     met = cut(met)
     drop_cut(postings)
     lists = met.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    shared = cut(met.join(lists, "token").withColumns({"num": F.lit(num), "den": F.lit(den)}))
+    marks = rows.where("v is not null and id is not null").groupBy("v").agg(F.first("p").alias("p"), F.min("id").alias("id"))
+    shared = cut(met.join(lists, "token").join(marks.select("v", "p"), "v").withColumns({"num": F.lit(num), "den": F.lit(den)}))
     drop_cut(met)
-    matches = _chosen_matches(shared.where(F.col("c") <= small_cell))
-    cold = shared.where(F.col("c") <= small_cell).join(matches, "v").select("token", "v", "n", "level", "matches")
-    probe = cold.where("level <= matches").select("token", F.col("v").alias("a"), F.col("n").alias("na"), F.col("matches").alias("ma"))
-    index = cold.select("token", F.col("v").alias("b"), F.col("n").alias("nb"), F.col("matches").alias("mb"), F.col("level").alias("lb"))
+
+    hot = shared.where(F.col("c") > small_cell).select(F.col("token").alias("cell"), "v", "n", "p")
+    cells = cut(hot.join(hot.groupBy("v").agg(F.count("*").alias("central")), "v"))
+    sets = sets_of(frame, cut(marks.join(cells.select("v").distinct(), "v", "left_semi").select("v", "id")), n, kind)
+    links = link_large_cells(cells, sets, num, den)
+
+    cold = shared.where(F.col("c") <= small_cell)
+    cold = with_components(cold.join(_chosen_matches(cold), "v"), links).select("token", "v", "n", "p", "cv", "level", "matches")
+    probe = cold.where("level <= matches").select("token", F.col("v").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("cv").alias("ca"), F.col("matches").alias("ma"))
+    index = cold.select("token", F.col("v").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("cv").alias("cb"), F.col("matches").alias("mb"), F.col("level").alias("lb"))
     below = (F.col("lb") <= F.col("ma")) & ((F.col("mb") < F.col("ma")) | ((F.col("mb") == F.col("ma")) & (F.col("b") < F.col("a"))))
-    pairs = probe.join(index, "token").where(below & sizes_can_reach(F.col("na"), F.col("nb"), num, den))
+    able = (F.col("ca") != F.col("cb")) & may_link(F.col("na"), F.col("nb"), F.col("pa"), F.col("pb"), num, den)
+    pairs = probe.join(index, "token").where(below & able)
     pairs = cut(pairs.groupBy("a", "b", "ma").agg(F.count("*").alias("m")).where("m >= ma").select("a", "b"))
-
-    hot = shared.where(F.col("c") > small_cell).select(F.col("token").alias("cell"), "v", "n")
-    central = hot.groupBy("v").agg(F.count("*").alias("central"))
-    cells = cut(hot.join(central, "v"))
-    seen = pairs.select(F.explode(F.array("a", "b")).alias("v")).unionByName(cells.select("v")).distinct()
-    wanted = rows.where("id is not null").join(seen, "v", "left_semi").groupBy("v").agg(F.min("id").alias("id"))
-    sets = sets_of(frame, cut(wanted), n, kind)
-    joined = components_of([links_of(pairs, sets, num, den), *link_large_cells(cells, sets, num, den, small_cell)])
+    seen = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    sets = sets_of(frame, cut(marks.join(seen, "v", "left_semi").select("v", "id")), n, kind)
+    joined = components_of([*links, links_of(pairs, sets, num, den)])
     drop_cut(shared, pairs, cells)
 
     known = rows.join(joined.select(F.col("vertex").alias("v"), "component"), "v", "left")
