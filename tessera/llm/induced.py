@@ -74,21 +74,33 @@ def _blocks(symbols: np.ndarray) -> list[tuple[int, int]]:
 def _induce_block(text, at, symbol, run, end, classes, base, n) -> None:
     """Give the suffixes at `at` (sorted by symbol) their classes: base of the symbol and how many are smaller. Suffixes
     behind the runs may stand in this block too; then the order is settled when a further turn changes nothing."""
-    first = np.concatenate([[0], np.flatnonzero(np.diff(symbol)) + 1])
+    change = np.append(True, symbol[1:] != symbol[:-1])
+    first = np.flatnonzero(change)
     offset = np.repeat(first, np.diff(np.append(first, len(at))))
     behind = end[at]
     next_symbol = text[np.minimum(behind, n - 1)]
     within = bool(((next_symbol >= symbol[0]) & (next_symbol <= symbol[-1]) & (behind < n)).any())
+    low = run.min()
+    bits_run, bits_class = int(run.max() - low).bit_length(), int(n + 1).bit_length()
+    fits = len(first).bit_length() + bits_run + bits_class < 63
+    if fits:  # the tuple as one number
+        head = ((np.cumsum(change) << bits_run) + (run - low)) << bits_class
     while True:
-        source = np.where(behind < n, classes[np.minimum(behind, n - 1)], -1)
-        order = np.lexsort((source, run, symbol))
-        s, r, c = symbol[order], run[order], source[order]
+        source = np.where(behind < n, classes[np.minimum(behind, n - 1)], -1).astype(np.int64) + 1
         new = np.ones(len(at), bool)
-        new[1:] = (s[1:] != s[:-1]) | (r[1:] != r[:-1]) | (c[1:] != c[:-1])
+        if fits:
+            key = head + source
+            order = np.argsort(key)
+            new[1:] = np.diff(key[order]) != 0
+        else:
+            order = np.lexsort((source, run, symbol))
+            s, r, c = symbol[order], run[order], source[order]
+            new[1:] = (s[1:] != s[:-1]) | (r[1:] != r[:-1]) | (c[1:] != c[:-1])
         place = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
-        value = (base[order] + place - offset[order]).astype(classes.dtype)
-        changed = not np.array_equal(classes[at[order]], value)
-        classes[at[order]] = value
+        value = np.empty(len(at), classes.dtype)
+        value[order] = base[order] + place - offset[order]
+        changed = not np.array_equal(classes[at], value)
+        classes[at] = value
         if not changed or not within:
             return
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_of, cut, drop_cut, mix, powers, prefix_hash, span_hash, text_chunks
+from .common import column_of, cut, drop_cut, every_span_hash, mix, powers, prefix_hash, span_hash, text_chunks
 from .induced import repeated_windows
 
 SALT = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -50,13 +50,12 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     if len(data) < length:
         return none, none, none.astype(np.uint64), none, none
     prefix = prefix_hash(data)
-    at = np.arange(len(data) - gram + 1)
-    hashes = span_hash(prefix, at, at + gram)
-    least = sliding_least((mix(hashes ^ SALT) & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64), width)
+    hashes = every_span_hash(prefix, gram)
+    least = sliding_least((hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64), width)
     place = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)  # leftmost among equals
     start = np.arange(len(place))
-    row = np.searchsorted(offsets, start, side="right") - 1
-    fits = start + length <= offsets[row + 1]
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(place)]
+    fits = start <= np.repeat(offsets[1:] - length, np.diff(offsets))[: len(place)]
     start, place, row = start[fits], place[fits], row[fits]
     if not len(start):
         return none, none, none.astype(np.uint64), none, none
@@ -169,7 +168,7 @@ def whole_characters(raw: bytes, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
-def repeated_spans(docs: DataFrame, text_column: str = "text", length: int = 200, gram: int = 96, shard_bytes: int = 2_000_000, memory: int = 1 << 27) -> DataFrame:
+def repeated_spans(docs: DataFrame, text_column: str = "text", length: int = 200, gram: int = 96, shard_bytes: int = 1_000_000, memory: int = 1 << 27) -> DataFrame:
     """(t1, t2, text, copies, starts, ends) for each different text that has repeated spans: maximal runs of bytes to
     remove. (t1, t2) is text_key(text). A text of `length` bytes or more that occurs twice is removed whole."""
     base = docs.select(F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text")).select(*text_key("text"), "text")
