@@ -90,6 +90,16 @@ class Items:
         out[at] = self.weights[np.searchsorted(self.vocabulary, hashes[at])]
         return out
 
+    def may_hold(self, words: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """False for rows that have no shingle of any item; rows shorter than a shingle aren't judged."""
+        out = np.diff(before) < (self.sizes[-1] if self.sizes else 0)
+        for n in self.sizes:
+            hashes = runs(words, n)
+            at = np.flatnonzero(self.known(hashes)) if len(hashes) else np.zeros(0, int)
+            row = np.searchsorted(before, at, side="right") - 1
+            out[row[at + n <= before[row + 1]]] = True
+        return out
+
     def search(self, words: np.ndarray, least: float) -> list[tuple[int, float, int, int, int]]:
         """(item, similarity, first word, words, Hamming distance): the best window of a text for each item that has one."""
         best: dict[int, tuple[float, int, int, int]] = {}
@@ -188,14 +198,16 @@ def with_contamination(docs: DataFrame, items: DataFrame, text_column: str = "te
             out: list[list[dict]] = []
             for _, data, offsets in text_chunks(column):
                 hashes, before, _, _ = word_hashes(data, offsets, "alnum")
+                may = [part.value.may_hold(hashes, before) for part in parts]
                 for row in range(len(before) - 1):
                     mine = hashes[before[row] : before[row + 1]]
-                    found = [(part.value.names[i], *rest) for part in parts if len(mine) for i, *rest in part.value.search(mine, least)]
+                    found = [(part.value.names[i], *rest) for part, able in zip(parts, may, strict=True) if len(mine) and able[row] for i, *rest in part.value.search(mine, least)]
                     out.append([dict(zip(("item_id", "similarity", "start_word", "n_words", "hamming"), x, strict=True)) for x in found])
             yield pa.array(out, arrow_type)
 
     arrow_type = pa.list_(pa.struct([("item_id", _arrow(items.schema[item_id].dataType)), ("similarity", pa.float64()), ("start_word", pa.int32()), ("n_words", pa.int32()), ("hamming", pa.int32())]))
-    return docs.withColumn("matches", F.arrow_udf(search, schema)(F.col(text_column).cast("string")))
+    # called nondeterministic so that no filter on the column, nor one that explode implies, runs the search again
+    return docs.withColumn("matches", F.arrow_udf(search, schema).asNondeterministic()(F.col(text_column).cast("string")))
 
 
 def _arrow(kind):
