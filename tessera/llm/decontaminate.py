@@ -1,11 +1,15 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact weighted similarity.
-
-A window has as many words as an item (the whole text if that is shorter). Only windows that hold a shingle of some item can
-be similar to one, so only they get a fingerprint: the signs of the weighted sum of their shingles' bits. Fingerprints are
-cut into blocks; if two are within the radius, one block at least is within radius // blocks, so the table of all values near
-each item's blocks finds every fingerprint within the radius. Candidates are verified exactly: weight of the shared
-shingles over weight of all. Weights: a shingle's rarity over all documents, log((1 + N) / (1 + df)) / log(1 + N); 1 for
-shingles that no item has.
+"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact similarity.
+
+A window has as many words as an item (the whole text if that is shorter). Similarity: weight of the shared shingles over
+weight of all, once with each shingle weighing 1 and once with its rarity over all documents,
+log((1 + N) / (1 + df)) / log(1 + N); 1 for shingles that no item has. A window matches if either reaches the threshold: plain
+similarity does not fall with the number of documents that hold a passage, weighted similarity finds what only frequent
+shingles change.
+
+For each of the two kinds of weights, only windows whose known shingles weigh the threshold's share of the lightest item of
+their length can match, so only they get a fingerprint: the signs of the weighted sum of their shingles' bits. Fingerprints
+are cut into blocks; if two are within the radius, one block at least is within radius // blocks, so the table of all values
+near each item's blocks finds every fingerprint within the radius. Candidates of either kind are verified exactly.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import BASE, column_of, mix, text_chunks, word_hashes
 
 BLOCKS, RADIUS = 5, 19
+KINDS = ("plain", "weighted")
 EDGES = np.linspace(0, 64, BLOCKS + 1).astype(int)
 FILTER_BITS = 20
 
@@ -65,17 +70,24 @@ class Items:
         self.weights = np.ones(len(self.vocabulary))
 
     def index(self) -> None:
-        """Fingerprints and, for each window length and block, all values within the block's radius of an item's."""
-        self.prints = np.array([fingerprint((signs(h) * self.weight(h)[:, None]).sum(0)[None])[0] if len(h) else 0 for h in self.lists], np.uint64)
-        self.tables: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for length in sorted(set(self.length[self.length > 0].tolist())):
-            mine, tables = np.flatnonzero(self.length == length), []
-            for (a, b), values in zip(zip(EDGES[:-1], EDGES[1:], strict=True), block_values(self.prints[mine]), strict=True):
-                flips = np.array([sum(1 << x for x in c) for r in range(RADIUS // BLOCKS + 1) for c in combinations(range(b - a), r)], np.uint64)
-                near = (values[:, None] ^ flips[None]).reshape(-1)
-                order = np.argsort(near, kind="stable")
-                tables.append((near[order], np.repeat(mine, len(flips))[order]))
-            self.tables[length] = tables
+        """For each kind of weights: fingerprints, the lightest item of each window length and, for each length and block, all
+        values within the block's radius of an item's."""
+        self.prints: dict[str, np.ndarray] = {}
+        self.lightest: dict[tuple[str, int], float] = {}
+        self.tables: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.lengths = sorted(set(self.length[self.length > 0].tolist()))
+        for kind in KINDS:
+            weigh = self.weight if kind == "weighted" else lambda h: np.ones(len(h))
+            self.prints[kind] = np.array([fingerprint((signs(h) * weigh(h)[:, None]).sum(0)[None])[0] if len(h) else 0 for h in self.lists], np.uint64)
+            for length in self.lengths:
+                mine, tables = np.flatnonzero(self.length == length), []
+                for (a, b), values in zip(zip(EDGES[:-1], EDGES[1:], strict=True), block_values(self.prints[kind][mine]), strict=True):
+                    flips = np.array([sum(1 << x for x in c) for r in range(RADIUS // BLOCKS + 1) for c in combinations(range(b - a), r)], np.uint64)
+                    near = (values[:, None] ^ flips[None]).reshape(-1).astype(np.uint16)
+                    order = np.argsort(near, kind="stable")
+                    tables.append((near[order], np.repeat(mine.astype(np.int32), len(flips))[order]))
+                self.tables[kind, length] = tables
+                self.lightest[kind, length] = min(float(weigh(self.sets[i]).sum()) for i in mine)
 
     def known(self, hashes: np.ndarray) -> np.ndarray:
         hit = self.filter[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
@@ -100,41 +112,61 @@ class Items:
             out[row[at + n <= before[row + 1]]] = True
         return out
 
+    def candidates(self, kind: str, length: int, prints: np.ndarray) -> np.ndarray:
+        """(place in prints, item) of all items of a length whose fingerprint is within the radius."""
+        windows, items = [], []
+        for (near, owner), values in zip(self.tables[kind, length], block_values(prints), strict=True):
+            values = values.astype(np.uint16)
+            low, high = np.searchsorted(near, values, "left"), np.searchsorted(near, values, "right")
+            many = high - low
+            windows.append(np.repeat(np.arange(len(prints)), many))
+            items.append(owner[np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(int(many.sum()))])
+        pairs = np.unique(np.stack([np.concatenate(windows), np.concatenate(items)], 1), axis=0)
+        return pairs[np.bitwise_count(prints[pairs[:, 0]] ^ self.prints[kind][pairs[:, 1]]) <= RADIUS]
+
     def search(self, words: np.ndarray, least: float) -> list[tuple[int, float, int, int, int]]:
-        """(item, similarity, first word, words, Hamming distance): the best window of a text for each item that has one."""
-        best: dict[int, tuple[float, int, int, int]] = {}
+        """(item, similarity, first word, words, Hamming distance): the best window of a text for each item that has one.
+        similarity is the weighted one where that reaches least, otherwise the plain one; the former are better. The distance
+        is that of the fingerprints of the same kind of weights."""
+        best: dict[int, tuple[bool, float, int, int, int]] = {}
         for n in self.sizes:
             hashes = runs(words, n) if len(words) >= n else runs(words, len(words))
             hit = self.known(hashes)
             if not hit.any():
                 continue
-            hits = np.concatenate([[0], np.cumsum(hit)])
-            weight = self.weight(hashes)
-            total = None
-            for length in (x for x in self.tables if min(self.n, x) == n):
+            weights = {"plain": np.ones(len(hashes)), "weighted": self.weight(hashes)}
+            held = {kind: np.concatenate([[0], np.cumsum(w * hit)]) for kind, w in weights.items()}
+            totals: dict[str, np.ndarray] = {}
+
+            def print_of(kind: str, start: np.ndarray, span: int) -> np.ndarray:
+                if kind not in totals:
+                    totals[kind] = np.concatenate([np.zeros((1, 64)), np.cumsum(signs(hashes) * weights[kind][:, None], axis=0)])  # noqa: B023
+                return fingerprint(totals[kind][start + span] - totals[kind][start])  # noqa: B023
+
+            for length in (x for x in self.lengths if min(self.n, x) == n):
                 span = min(length - n + 1, len(hashes))
-                start = np.flatnonzero(hits[span:] > hits[:-span])
-                if not len(start):
-                    continue
-                if total is None:
-                    total = np.concatenate([np.zeros((1, 64)), np.cumsum(signs(hashes) * weight[:, None], axis=0)])
-                prints = fingerprint(total[start + span] - total[start])
-                windows, items = [], []
-                for (near, owner), values in zip(self.tables[length], block_values(prints), strict=True):
-                    low, high = np.searchsorted(near, values, "left"), np.searchsorted(near, values, "right")
-                    many = high - low
-                    windows.append(np.repeat(np.arange(len(start)), many))
-                    items.append(owner[np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(int(many.sum()))])
-                pairs = np.unique(np.stack([np.concatenate(windows), np.concatenate(items)], 1), axis=0)
-                distance = np.bitwise_count(prints[pairs[:, 0]] ^ self.prints[pairs[:, 1]])
-                for (w, item), d in zip(pairs[distance <= RADIUS].tolist(), distance[distance <= RADIUS].tolist(), strict=True):
-                    inside = np.unique(hashes[start[w] : start[w] + span])
-                    shared = self.weight(np.intersect1d(inside, self.sets[item], assume_unique=True)).sum()
+                pairs = set()
+                for kind in KINDS:
+                    start = np.flatnonzero(held[kind][span:] - held[kind][:-span] >= least * self.lightest[kind, length] - 1e-6)
+                    if len(start):
+                        found = self.candidates(kind, length, print_of(kind, start, span))
+                        pairs.update(zip(start[found[:, 0]].tolist(), found[:, 1].tolist(), strict=True))
+                for at, item in sorted(pairs):
+                    inside = np.unique(hashes[at : at + span])
+                    both = np.intersect1d(inside, self.sets[item], assume_unique=True)
+                    if not len(both):
+                        continue
+                    shared = self.weight(both).sum()
                     union = self.weight(inside).sum() + self.weight(self.sets[item]).sum() - shared
                     similarity = round(float(shared / union), 9) if union > 0 else 0.0
-                    if similarity >= least and (item not in best or (similarity, -int(start[w])) > (best[item][0], -best[item][1])):
-                        best[item] = (similarity, int(start[w]), min(length, len(words)), d)
-        return [(i, *v) for i, v in sorted(best.items())]
+                    rare = similarity >= least
+                    if not rare:
+                        similarity = round(len(both) / (len(inside) + len(self.sets[item]) - len(both)), 9)
+                    if similarity >= least and (item not in best or (rare, similarity, -at) > (*best[item][:2], -best[item][2])):
+                        kind = "weighted" if rare else "plain"
+                        d = int(np.bitwise_count(print_of(kind, np.array([at]), span)[0] ^ self.prints[kind][item]))
+                        best[item] = (rare, similarity, at, min(length, len(words)), d)
+        return [(i, *v[1:]) for i, v in sorted(best.items())]
 
 
 def _rarity(docs: DataFrame, items: Items) -> np.ndarray:
@@ -168,7 +200,7 @@ def _rarity(docs: DataFrame, items: Items) -> np.ndarray:
 
 def with_contamination(docs: DataFrame, items: DataFrame, text_column: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 5, least: float = 0.8, most_words: int = 200_000) -> DataFrame:
     """docs with a column `matches`: array<struct<item_id, similarity, start_word, n_words, hamming>>, the best window for
-    each benchmark item with a similarity of `least` or more.
+    each benchmark item with a plain or weighted similarity of `least` or more.
 
     Words: letters and digits, A-Z lower-cased; shingles of n words, of all words for shorter items. Items are searched in
     blocks of about most_words words, which bounds what is broadcast. Null, empty and wordless texts and items match

@@ -86,3 +86,19 @@ def test_blocks_of_items_and_empty_tables(spark, docs_of, items_of):
     assert [[m.item_id for m in r.matches] for r in whole] == [[r.doc_id] for r in whole] == [[m.item_id for m in r.matches] for r in cut]
     assert with_contamination(docs_of([]), items_of(items)).count() == 0
     assert [r.matches for r in with_contamination(docs_of([(1, "a b c d e f")]), items_of([])).collect()] == [[]]
+
+
+def test_near_copies_of_a_hot_item(spark, docs_of, items_of):
+    """A third of the rows hold an item; copies with a plain similarity of 0.8 or more are found nevertheless."""
+    rng = random.Random(9)
+    item = [f"k{i}" for i in range(49)]  # 45 shingles
+    one, inner, last = list(item), list(item), list(item)
+    one[20], inner[2], last[48] = "changed", "changed", "changed"  # 5, 3 and 1 shingles less
+    others = [" ".join(rng.choices([f"w{i}" for i in range(4000)], k=60)) for _ in range(200)]
+    rows = [(i, others[i]) for i in range(200)] + [(i, f"before {' '.join(item)} after") for i in range(200, 300)]
+    near = [(300 + i, " ".join(["x", "y", *w, "z"])) for i, w in enumerate((one, inner, last))]
+    short = [(400, " ".join(item[:39])), (401, " ".join(item[:30]))]  # 35 and 26 of 45 shingles
+    found = {r.doc_id: r.matches for r in with_contamination(docs_of(rows + near + short), items_of([(1, " ".join(item))])).collect()}
+    assert all([m.item_id for m in found[i]] == [1] for i in range(200, 303))
+    assert [round(found[300 + k][0].similarity, 6) for k in range(2)] == [40 / 50, 42 / 48] and found[302][0].similarity >= 0.8
+    assert not any(found[i] for i in (*range(200), 400, 401))
