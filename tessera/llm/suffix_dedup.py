@@ -6,8 +6,10 @@
 2. Segments. The windows of an anchor with the bytes they cover are a segment; equal segments are one, with a count. All
    windows of a segment that occurs twice are repeated.
 3. Shards. Segments are dealt by anchor hash, so equal windows meet. Each shard sorts the suffixes of its segments by
-   induction (induced.py: blocks of tuples in priority order, on disk beyond a bound) and takes neighbours with a common
-   prefix of `length` bytes.
+   induction (induced.py: blocks of tuples in priority order) and takes neighbours with a common prefix of `length` bytes.
+   A shard is sorted in memory, so no anchor may bring more than shard_bytes: the segments of a larger one are cut into the
+   segments of longer strings within their windows (equal windows have equal ones), in the end of whole windows, of which
+   equal ones are one and none is sorted.
 4. The windows' spans go back to the texts and are merged.
 
 No step gathers a group of copies: copies are counted by partial sums, and their segments collapse.
@@ -80,6 +82,13 @@ def _anchor_rows(length: int, gram: int):
     return run
 
 
+def _digests(data: np.ndarray, low: np.ndarray, end: np.ndarray, prefix: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that name each data[low:end]."""
+    other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(data.astype(np.uint64) + SALT) * powers(len(data), 0xD6E8FEB86659FD93, "second"))])
+    d2 = mix((other[end] - other[low]) * powers(len(other), pow(0xD6E8FEB86659FD93, -1, 1 << 64), "second down")[low])
+    return span_hash(prefix_hash(data) if prefix is None else prefix, low, end), d2
+
+
 def _segment_rows(length: int, gram: int):
     """Segments of the wanted anchors x of each text: anchor hash, two digests, bytes, where its first window starts."""
 
@@ -94,9 +103,8 @@ def _segment_rows(length: int, gram: int):
                 low, high = place - (x >> 10 & 1023), place - (x & 1023)
                 prefix = prefix_hash(data)
                 end = high + length
-                h, d1 = span_hash(prefix, place, place + gram), span_hash(prefix, low, end)
-                other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(data.astype(np.uint64) + SALT) * powers(len(data), 0xD6E8FEB86659FD93, "second"))])
-                d2 = mix((other[end] - other[low]) * powers(len(other), pow(0xD6E8FEB86659FD93, -1, 1 << 64), "second down")[low])
+                h = span_hash(prefix, place, place + gram)
+                d1, d2 = _digests(data, low, end, prefix)
                 raw = data.tobytes()
                 bodies = [raw[a:b] for a, b in zip(low.tolist(), end.tolist(), strict=True)]
                 take = pa.array(owner + row)
@@ -106,6 +114,28 @@ def _segment_rows(length: int, gram: int):
     return run
 
 
+def _finer_rows(length: int, gram: int):
+    """The segments, by strings of `gram` bytes, of segments: a key out of both anchors, two digests, bytes, whose part it is
+    (p, q1, q2), where it starts in that."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parents = [column_of(batch, x) for x in ("h", "d1", "d2")]
+            for row, data, offsets in text_chunks(column_of(batch, "body")):
+                owner, _, hashes, low, high = anchors(data, offsets, length, gram)
+                end = high + length
+                take = pa.array(owner + row)
+                p, q1, q2 = [x.take(take) for x in parents]
+                h = mix(hashes ^ mix(p.to_numpy().astype(np.int64).view(np.uint64) + SALT))
+                d1, d2 = _digests(data, low, end)
+                raw = data.tobytes()
+                bodies = [raw[a:b] for a, b in zip(low.tolist(), end.tolist(), strict=True)]
+                columns = [pa.array(h.view(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(bodies, pa.binary()), p, q1, q2, pa.array(low - offsets[owner])]
+                yield pa.RecordBatch.from_arrays(columns, names=["h", "d1", "d2", "body", "p", "q1", "q2", "low"])
+
+    return run
+
+
 def _sorted_shard(length: int, memory: int):
     """One shard: repeated runs of windows (a, b) of each of its segments that occurs once."""
 
@@ -168,6 +198,34 @@ def whole_characters(raw: bytes, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
+def _repeated_runs(one: DataFrame, length: int, finer: tuple[int, ...], shard_bytes: int, memory: int) -> DataFrame:
+    """(h, d1, d2, a, b): repeated runs of windows of each different segment. one: h, d1, d2, body, c (how often)."""
+    groups = cut(one.groupBy("h").agg(F.count("*").alias("n"), F.sum(F.octet_length("body")).alias("bytes")).where("n > 1"))
+    large = groups.where(F.col("bytes") > shard_bytes).select("h") if finer else groups.limit(0).select("h")
+    split = finer and not large.isEmpty()
+    small, left = groups.where(F.col("bytes") <= shard_bytes) if finer else groups, one
+    if split:
+        large = F.broadcast(large)  # each stands for shard_bytes or more
+        left = one.join(large, "h", "left_anti")
+    total = small.agg(F.sum("bytes")).first()[0] or 0
+    shards = max(1, -(-int(total) // shard_bytes))
+    windows = F.octet_length("body") - length + 1
+    sorted_ones = left.join(small.select("h"), "h", "left_semi").select("h", "d1", "d2", "body")
+    runs = sorted_ones.repartition(shards, "h").mapInArrow(_sorted_shard(length, memory), "h long, d1 long, d2 long, a long, b long")
+    runs = cut(runs.unionByName(one.where("c > 1").select("h", "d1", "d2", F.lit(0).cast("long").alias("a"), windows.cast("long").alias("b"))))
+    if split:
+        schema = "h long, d1 long, d2 long, body binary, p long, q1 long, q2 long, low long"
+        parts = cut(one.join(large, "h", "left_semi").select("h", "d1", "d2", "body").mapInArrow(_finer_rows(length, finer[0]), schema))
+        fine = cut(parts.groupBy("h", "d1", "d2").agg(F.first("body").alias("body"), F.count("*").alias("c")))
+        found = _repeated_runs(fine, length, finer[1:], shard_bytes, memory)
+        back = parts.select("h", "d1", "d2", "p", "q1", "q2", "low").join(found, ["h", "d1", "d2"])
+        whole = cut(runs.unionByName(back.select(F.col("p").alias("h"), F.col("q1").alias("d1"), F.col("q2").alias("d2"), (F.col("low") + F.col("a")).alias("a"), (F.col("low") + F.col("b")).alias("b"))))
+        drop_cut(runs, parts, fine, found)
+        runs = whole
+    drop_cut(groups)
+    return runs
+
+
 def repeated_spans(docs: DataFrame, text_column: str = "text", length: int = 200, gram: int = 96, shard_bytes: int = 1_000_000, memory: int = 1 << 27) -> DataFrame:
     """(t1, t2, text, copies, starts, ends) for each different text that has repeated spans: maximal runs of bytes to
     remove. (t1, t2) is text_key(text). A text of `length` bytes or more that occurs twice is removed whole."""
@@ -188,13 +246,7 @@ def repeated_spans(docs: DataFrame, text_column: str = "text", length: int = 200
 
     segments = cut(texts.where("xs is not null").select("t1", "t2", "text", "xs").mapInArrow(_segment_rows(length, gram), "h long, d1 long, d2 long, body binary, t1 long, t2 long, low long"))
     one = cut(segments.groupBy("h", "d1", "d2").agg(F.first("body").alias("body"), F.count("*").alias("c")))
-    groups = one.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    sorted_ones = one.join(groups, "h", "left_semi").select("h", "d1", "d2", "body")
-    total = sorted_ones.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    shards = max(1, -(-int(total) // shard_bytes))
-    windows = F.octet_length("body") - length + 1
-    runs = sorted_ones.repartition(shards, "h").mapInArrow(_sorted_shard(length, memory), "h long, d1 long, d2 long, a long, b long")
-    runs = cut(runs.unionByName(one.where("c > 1").select("h", "d1", "d2", F.lit(0).cast("long").alias("a"), windows.cast("long").alias("b"))))
+    runs = _repeated_runs(one, length, tuple(g for g in (length * 4 // 5, length) if g > gram), shard_bytes, memory)
     drop_cut(one)
     spans = segments.select("h", "d1", "d2", "t1", "t2", "low").join(runs, ["h", "d1", "d2"]).select("t1", "t2", (F.col("low") + F.col("a")).alias("s"), (F.col("low") + F.col("b") + length - 1).alias("e"))
     lists = cut(spans.distinct().groupBy("t1", "t2").agg(F.collect_list(F.struct("s", "e")).alias("spans")))

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+from tessera.llm import suffix_dedup
 from tessera.llm.queries import op9_suffix_dedup
 from tessera.llm.suffix_dedup import span_digests, without_repeats
 
@@ -56,3 +57,36 @@ def test_kept_texts_and_empty(spark, docs_of):
     kept = {r.doc_id: r.text for r in without_repeats(docs_of(rows)).collect()}
     assert kept == {1: "", 2: "a", 3: None, 4: "short"}
     assert span_digests(docs_of([])).count() == 0 == without_repeats(docs_of([])).count()
+
+
+def test_hot_string_is_split(spark, docs_of, monkeypatch, tmp_path):
+    """A string in most rows with differing text around it: no task gets the segments of all of them."""
+    rng = random.Random(3)
+    word = lambda k: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=k))
+    hot = word(190)
+    rows = [(i, word(150) + hot + word(150)) for i in range(500)]
+    rows += [(600 + i, "x" + rows[i][1][100:400] + word(20)) for i in range(10)] + [(700, hot), (701, "1" + hot + "23456789" + hot + "23456789")]
+    sort, folder = suffix_dedup._sorted_shard, str(tmp_path)
+
+    def noted(length, memory):
+        inner = sort(length, memory)
+
+        def run(batches):
+            import tempfile
+
+            held = list(batches)
+            with tempfile.NamedTemporaryFile("w", dir=folder, delete=False) as file:
+                file.write(str(sum(len(x) for b in held for x in b.column(3).to_pylist())))
+            yield from inner(iter(held))
+
+        return run
+
+    monkeypatch.setattr(suffix_dedup, "_sorted_shard", noted)
+    bound = 20_000
+    spans = suffix_dedup.repeated_spans(docs_of(rows), shard_bytes=bound).collect()
+    assert max(int(p.read_text()) for p in tmp_path.iterdir()) <= 2 * bound
+    monkeypatch.undo()
+    removed = {r.text: sum(e - s for s, e in zip(r.starts, r.ends, strict=True)) for r in spans}
+    want = {i: (gone, n) for _, i, _, gone, n, _ in brute(rows, 200)}
+    assert {i: removed.get(t, 0) for i, t in rows} == {i: gone for i, (gone, _) in want.items()}
+    assert sum(g > 0 for g, _ in want.values()) >= 20
