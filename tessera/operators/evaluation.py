@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import PATTERNS
+from tessera.functions.text import PATTERNS, card_numbers
 from tessera.operators.retrieval import bm25
 from tessera.sources.tables import corpus, table, telemetry
 
@@ -76,8 +76,9 @@ def s15_cutover_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a13_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds of personal data and secrets in each source's documents, sorted."""
     d = table(spark, sf_dir, "documents")
-    kinds = [k for k in sorted(PATTERNS) if k != "card"]
-    found = d.groupBy("source").agg(*[F.bool_or(F.col("text").rlike(PATTERNS[k])).alias(k) for k in kinds])
+    kinds = sorted(PATTERNS)
+    holds = {k: F.size(card_numbers("text")) > 0 if k == "card" else F.col("text").rlike(PATTERNS[k]) for k in kinds}
+    found = d.groupBy("source").agg(*[F.bool_or(holds[k]).alias(k) for k in kinds])
     return found.select("source", F.array_join(F.array_compact(F.array(*[F.when(F.col(k), F.lit(k)) for k in kinds])), ",").alias("categories"))
 
 

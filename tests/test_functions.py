@@ -1,8 +1,13 @@
+import hashlib
+import re
+from collections import defaultdict
+
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators.analytics import governed, nearest_rank
+from tessera.operators.evaluation import a13_categories
 from tessera.operators.retrieval import fused, knn
 from tessera.streaming.events import LIMIT, SECONDS, admitted, st2_rate_limit
 
@@ -86,3 +91,36 @@ def test_admission_against_the_stream(spark):
             want[r.event_id] = len(held) < LIMIT
             held += [r.ts] if want[r.event_id] else []
     assert got == want
+
+
+def luhn(match):
+    digits = [int(x) for x in reversed(re.sub("[^0-9]", "", match))]
+    return sum(d if i % 2 == 0 else 2 * d // 10 + 2 * d % 10 for i, d in enumerate(digits)) % 10 == 0
+
+
+@pytest.mark.parametrize(
+    ("value", "want"),
+    [
+        ("4111 1111 1111 1111 expires", "[REDACTED:CARD] expires"),
+        ("email foo@bar.com and card 4111111111111111", "email [REDACTED:EMAIL] and card [REDACTED:CARD]"),
+        ("reference 1234567812345678 was processed", "reference 1234567812345678 was processed"),
+        ("1234567812345678, 4111-1111-1111-1111, 1234 5678 9012", "1234567812345678, [REDACTED:CARD], [REDACTED:AADHAAR]"),
+        (None, None),
+    ],
+)
+def test_redacted(spark, value, want):
+    assert one(spark, value, text.redacted(F.col("t"))) == want
+
+
+def test_cards_by_brute_force(spark):
+    want, kinds = {}, defaultdict(set)
+    for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect():
+        clean = r.text
+        for kind, pattern in text.PATTERNS.items():
+            valid = lambda m, kind=kind: kind != "card" or luhn(m.group())
+            kinds[r.source] |= {kind for m in re.finditer(pattern, r.text or "", re.A) if valid(m)}
+            clean = clean and re.sub(pattern, lambda m, kind=kind, valid=valid: f"[REDACTED:{kind.upper()}]" if valid(m) else m.group(), clean, flags=re.A)
+        want[r.doc_id] = clean and hashlib.md5(clean.encode()).hexdigest()
+    assert any("card" in k for k in kinds.values())
+    assert {r.doc_id: r.redacted_md5 for r in text.f5_redact(spark, SMALL).collect()} == want
+    assert {r.source: r.categories for r in a13_categories(spark, SMALL).collect()} == {s: ",".join(sorted(k)) for s, k in kinds.items()}
