@@ -28,8 +28,8 @@ def op1_balanced_label_propagation(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def op2_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All paragraphs of 15 words or more with a near duplicate: five-word shingles, similarity 0.8 or more."""
-    found = duplicate_paragraphs(_table(spark, sf_dir, "documents"), n=5, num=80, den=100, least_words=15)
+    """All paragraphs with a near duplicate: five-word shingles, the whole sequence of shorter ones; similarity 0.8 or more."""
+    found = duplicate_paragraphs(_table(spark, sf_dir, "documents"), n=5, num=80, den=100, least_words=1)
     return found.withColumnRenamed("class_id", "class_doc_id")
 
 

@@ -67,3 +67,11 @@ def test_empty_and_bands(spark, docs_of):
     assert duplicate_paragraphs(docs_of([])).count() == 0
     bands, rows = tuned_bands(0.8)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9995 and bands <= 8
+
+
+def test_short_lines(spark, folder_of, small):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    rows += [(9100, "All rights reserved.\none line of six words here"), (9101, "x\nall rights reserved"), (9102, "One line of six words, here!\nX"), (9103, "...\n\n")]
+    found = got(op2_paragraph_minhash(spark, folder_of(rows)))
+    assert found == brute(rows, least=1)
+    assert {(9101, 1), (9102, 0), (9102, 1)} <= {r[:2] for r in found}
