@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -19,9 +19,12 @@ STEP_BYTES = 1 << 18
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and everything
+    runs on this machine. On a cluster an unset folder is an error: each executor would write to a disk of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -48,6 +51,19 @@ def drop_cut(*frames: DataFrame | None) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, with as many underscores behind it as it takes to differ from all columns of docs (upper and lower case alike)."""
+    have = {c.lower() for c in docs.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def all_columns(docs: DataFrame) -> list[Column]:
+    """The columns of docs, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
 def sized(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
     """df, to be broadcast if it has most_rows rows at most; beyond that joins shuffle. df should be cheap to count."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

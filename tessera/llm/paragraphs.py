@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import column_of, cut, distinct_by_row, drop_cut, long_lists, mix, shingle_hashes, sized, text_chunks, word_hashes
-from .linking import SMALL_CELL, components_of, link_large_cells, links_of, pairs_across, split_cells, with_components
-from .ngram_join import PARITY, parities, set_names
+from .linking import FOLD, PARITY, SMALL_CELL, Index, components_of, folds, link_cells, parities, verified
+from .ngram_join import set_names
 
 
 def tuned_bands(threshold: float, recall: float = 0.9995, most_bands: int = 8) -> tuple[int, int]:
@@ -88,7 +88,7 @@ def duplicate_paragraphs(
     schema = T.StructType(
         [T.StructField("id", frame.schema["id"].dataType), T.StructField("paragraph", T.IntegerType())]
         + [T.StructField(x, T.LongType()) for x in ("start", "n_bytes", "n_words", "n")]
-        + [T.StructField("v", T.BinaryType()), T.StructField("p", PARITY), T.StructField("keys", T.ArrayType(T.LongType()))]
+        + [T.StructField("v", T.BinaryType()), T.StructField("p", PARITY), T.StructField("fold", FOLD), T.StructField("keys", T.ArrayType(T.LongType()))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,17 +98,14 @@ def duplicate_paragraphs(
                 (owner, number, start, size, words), tokens, after = paragraph_sets(data, offsets, n, least_words)
                 if len(owner):
                     keys = band_keys(tokens, after, bands, rows_of_band)
-                    columns = [ids.take(pa.array(owner + row)), pa.array(number.astype(np.int32)), pa.array(start), pa.array(size), pa.array(words), pa.array(np.diff(after)), set_names(tokens, after), parities(tokens, after)]
+                    columns = [ids.take(pa.array(owner + row)), pa.array(number.astype(np.int32)), pa.array(start), pa.array(size), pa.array(words), pa.array(np.diff(after)), set_names(tokens, after), parities(tokens, after), folds(tokens, after)]
                     yield pa.RecordBatch.from_arrays([*columns, long_lists(keys.reshape(-1), np.arange(len(keys) + 1) * bands)], names=schema.names)
 
     found = cut(frame.mapInArrow(run, schema))
     met = found.select(F.explode("keys").alias("cell"), "v")
     twice = met.groupBy("cell").agg(F.count("*").alias("c")).where("c > 1").select("cell")
-    marks = found.groupBy("v").agg(F.first("n").alias("n"), F.first("p").alias("p"), F.min("id").alias("id"))
-    cells = cut(met.join(twice, "cell").select("cell", "v").distinct().join(marks.select("v", "n", "p"), "v"))
-    few, many = split_cells(cells, small_cell)
-    few, many = cut(few), cut(many.withColumn("central", F.lit(0)))
-    wanted = cut(marks.join(few.select("v").unionByName(many.select("v")).distinct(), "v", "left_semi").select("v", "id"))
+    marks = cut(found.groupBy("v").agg(F.first("n").alias("n"), F.first("p").alias("p"), F.first("fold").alias("fold"), F.min("id").alias("id")))
+    cells = cut(met.join(twice, "cell").select("cell", "v").distinct().join(marks.select("v", "n", "p"), "v").withColumn("central", F.lit(0)))
 
     def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,14 +114,18 @@ def duplicate_paragraphs(
                 if len(after) > 1:
                     yield pa.RecordBatch.from_arrays([set_names(tokens, after), pa.array(np.diff(after)), long_lists(tokens, after)], names=["v", "n", "tokens"])
 
-    texts = frame.join(sized(wanted.select("id").distinct()), "id", "left_semi").select("text")
-    sets = cut(texts.mapInArrow(tokens_of, "v binary, n long, tokens array<long>").join(sized(wanted.select("v")), "v", "left_semi").dropDuplicates(["v"]))
-    links = link_large_cells(many, sets, num, den)
-    pairs = pairs_across(with_components(few, links), num, den)
-    joined = components_of([*links, links_of(pairs, sets, num, den)])
-    drop_cut(cells, few, many, wanted)
+    def fetch(wanted: DataFrame) -> DataFrame:
+        texts = frame.join(sized(wanted.select("id").distinct()), "id", "left_semi").select("text")
+        return cut(texts.mapInArrow(tokens_of, "v binary, n long, tokens array<long>").join(sized(wanted.select("v")), "v", "left_semi").dropDuplicates(["v"]))
 
-    known = found.drop("keys", "n", "p").join(joined.select(F.col("vertex").alias("v"), "component"), "v", "left").withColumn("root", F.coalesce("component", "v"))
+    index = Index(marks, fetch, num, den)
+    links, _, across = link_cells(cells, index, small_cell)
+    drop_cut(cells)
+    last = verified(across, index)
+    drop_cut(across, marks)
+    joined = components_of([*links, last.select("a", "b")])
+
+    known = found.drop("keys", "n", "p", "fold").join(joined.select(F.col("vertex").alias("v"), "component"), "v", "left").withColumn("root", F.coalesce("component", "v"))
     classes = known.groupBy("root").agg(F.count("*").alias("class_size"), F.min(F.struct("id", "paragraph", "start")).alias("kept")).where("class_size > 1")
     out = known.join(classes, "root")
     return out.select(

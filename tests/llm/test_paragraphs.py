@@ -48,7 +48,7 @@ def test_given_table_and_edges(spark, folder_of, small):
     rng = random.Random(1)
     line = " ".join(f"k{rng.randrange(9999)}" for _ in range(60))
     rows += [(9000, None), (9001, ""), (9002, "\n\n"), (9003, "a\n" + line + "\nb"), (9004, line.upper() + "!\n"), (9005, "é " + line + " end"), (None, line), (9006, line + "\n" + line)]
-    assert got(op2_paragraph_minhash(spark, folder_of(rows))) == brute(rows)
+    assert got(op2_paragraph_minhash(spark, folder_of(rows))) == brute(rows, least=1)
 
 
 def test_large_bands(spark, docs_of):
