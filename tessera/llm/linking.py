@@ -35,7 +35,7 @@ PARITY = T.StructType([T.StructField(f"p{k}", T.LongType()) for k in range(PARIT
 FOLD = T.ArrayType(T.LongType())
 #: Pairs that are broadcast to the sets, 40 bytes each; more of them are shuffled.
 MOST_BROADCAST = 200_000
-ROUNDS = 2
+ROUNDS = 1
 
 
 @dataclass
@@ -132,8 +132,9 @@ def by_size(cells: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def split_cells(cells: DataFrame, small: int = SMALL_CELL) -> tuple[DataFrame, DataFrame]:
-    """Cells of two members or more, as (small ones, large ones)."""
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("members")).where("members > 1")
+    """Cells of two members or more, as (small ones, large ones); of cells with the same members one."""
+    marks = cells.groupBy("cell").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("v")).alias("x1"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("x2"))
+    sizes = marks.where("members > 1").groupBy("members", "x1", "x2").agg(F.min("cell").alias("cell")).select("cell", "members")
     known = cells.join(sizes, "cell")
     return known.where(F.col("members") <= small).drop("members"), known.where(F.col("members") > small).drop("members")
 
@@ -158,8 +159,9 @@ def link_cells(cells: DataFrame, index: Index, small: int = SMALL_CELL, rounds:
         asked = met.where(may_link(F.col("n"), F.col("lead_n"), F.col("p"), F.col("lead_p"), wide, den)).groupBy("a", "b").agg(F.first("n").alias("n"), F.first("p").alias("p"))
         asked = cut(bounded(asked, index).where(bits_can_reach(F.col("na"), F.col("nb"), F.col("bits"), wide, den)))
         near = verified(asked.where(bits_can_reach(F.col("na"), F.col("nb"), F.col("bits"), num, den)), index)
-        left = met.join(near.select("a", "b"), ["a", "b"], "left_anti").select("cell", F.col("a").alias("v"), "n", "p", "central")
-        after = cut(_without_single(left))
+        led = leaders.select("cell", "b")
+        gone = led.join(near.select("a", "b"), "b").select("cell", F.col("a").alias("v")).unionByName(led.withColumnRenamed("b", "v"))
+        after = cut(many.join(gone, ["cell", "v"], "left_anti"))
         drop_cut(many)
         many = after
         links.append(near.select("a", "b"))
@@ -186,10 +188,6 @@ def _ring_pairs(asked: DataFrame, near: DataFrame, names: DataFrame | None, num:
     return apart.join(close, ["b", "k"]).where(reach & (F.col("a") != F.col("x"))).select(F.least("a", "x").alias("a"), F.greatest("a", "x").alias("b"))
 
 
-def _without_single(cells: DataFrame) -> DataFrame:
-    return cells.join(cells.groupBy("cell").agg(F.count("*").alias("members")).where("members > 1").select("cell"), "cell", "left_semi")
-
-
 def _distinct_cells(cells: DataFrame) -> DataFrame:
     """Of cells with the same members one, and none whose members are in one component already."""
     marks = cells.groupBy("cell").agg(F.count("*").alias("n1"), F.bit_xor(F.xxhash64("v")).alias("n2"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("n3"), F.min("cv").alias("low"), F.max("cv").alias("high"))
