@@ -6,7 +6,8 @@ each round a vertex counts, over its keys, how much weight each shard holds ther
 most, if that is more than its own shard holds. Moves are admitted by gain until the target's quota is full. At the end the
 shards' row counts are made equal to within one: surplus rows leave, unlinked ones first, and fill the gaps.
 
-Only sums by shard, gain and hash bucket meet in one place; their number doesn't grow with the corpus.
+Only sums by shard, gain and hash bucket meet in one place; their number doesn't grow with the corpus. A key's row has one
+column for each shard, which suits some hundreds of shards at most.
 """
 
 from __future__ import annotations
@@ -70,7 +71,7 @@ def balanced_shards(docs: DataFrame, id_column: str = "doc_id", text_column: str
     edges = cut(edges.join(often, "key", "left_semi"))
     limit = int(total / shards * (1 + slack)) + 1
     for step in range(rounds):
-        after = cut(_round(labels, edges, shards, limit, step))
+        after = _round(labels, edges, shards, limit, step)
         drop_cut(labels)
         labels = after
 
@@ -80,11 +81,15 @@ def balanced_shards(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def _round(labels: DataFrame, edges: DataFrame, shards: int, limit: int, step: int) -> DataFrame:
-    """One round of moves; half of the vertices, by a hash, may move, so that neighbours don't swap places."""
-    now = edges.join(labels.select("v", "shard"), "v")
-    held = now.groupBy("key", "shard").agg(F.sum("w").alias("held"))
-    pull = now.select("key", "v", "w", F.col("shard").alias("mine")).join(held, "key").groupBy("v", "w", "mine", "shard").agg(F.sum(F.col("held") - F.when(F.col("mine") == F.col("shard"), F.col("w")).otherwise(0)).alias("pull"))
-    best = pull.groupBy("v", "w", "mine").agg(F.max(F.struct("pull", (-F.col("shard")).alias("to"))).alias("best"), F.max(F.when(F.col("mine") == F.col("shard"), F.col("pull"))).alias("stay"))
+    """One round of moves; half of the vertices, by a hash, may move, so that neighbours don't swap places. A key holds one
+    sum for each shard, in one row, so the joins make as many rows as there are edges."""
+    now = cut(edges.join(labels.select("v", F.col("shard").alias("mine")), "v"))
+    sums = now.groupBy("key").agg(*[F.sum(F.when(F.col("mine") == s, F.col("w")).otherwise(0)).alias(f"s{s}") for s in range(shards)])
+    held = sums.select("key", *[f"s{s}" for s in range(shards)])
+    own = lambda s: F.when(F.col("mine") == s, F.col("w")).otherwise(0)
+    pull = now.join(held, "key").groupBy("v").agg(F.first("w").alias("w"), F.first("mine").alias("mine"), *[F.sum(F.col(f"s{s}") - own(s)).alias(f"p{s}") for s in range(shards)])
+    choices = F.array(*[F.struct(F.col(f"p{s}").alias("pull"), F.lit(-s).alias("to")) for s in range(shards)])
+    best = pull.select("v", "w", F.array_max(choices).alias("best"), F.element_at(F.array(*[f"p{s}" for s in range(shards)]), F.col("mine") + 1).alias("stay"))
     gain = F.col("best.pull") - F.coalesce("stay", F.lit(0))
     wish = best.select("v", "w", (-F.col("best.to")).alias("to"), gain.alias("gain")).where((F.col("gain") > 0) & (F.pmod(F.xxhash64("v", F.lit(step)), F.lit(2)) == 0))
     wish = cut(wish.withColumn("level", F.least(F.floor(F.log2(F.col("gain"))), F.lit(GAINS - 1)).cast("int")).withColumn("bucket", F.pmod(F.xxhash64("v"), F.lit(64)).cast("int")))
@@ -94,7 +99,9 @@ def _round(labels: DataFrame, edges: DataFrame, shards: int, limit: int, step: i
     order = Window.partitionBy("to").orderBy(F.desc("level"), "bucket")
     fits = cells.withColumn("reached", F.sum("w").over(order)).where(F.col("reached") <= room).select("to", "level", "bucket")
     moves = wish.join(F.broadcast(fits), ["to", "level", "bucket"], "left_semi").select("v", "to")
-    return labels.join(moves, "v", "left").select("v", "w", F.coalesce("to", "shard").alias("shard"))
+    out = cut(labels.join(moves, "v", "left").select("v", "w", F.coalesce("to", "shard").alias("shard")))
+    drop_cut(now, wish)
+    return out
 
 
 def _evened(placed: DataFrame, total: int, shards: int) -> DataFrame:

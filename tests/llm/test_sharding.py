@@ -51,3 +51,23 @@ def test_copies_stay_together(spark, docs_of):
 def test_small_and_empty(spark, docs_of):
     assert balanced_shards(docs_of([])).count() == 0
     check([(1, "a"), (2, "b"), (3, None)], balanced_shards(docs_of([(1, "a"), (2, "b"), (3, None)])).collect(), 24)
+
+
+def cut_edges(rows, shard):
+    """Pairs of texts of one family in different shards."""
+    family = defaultdict(list)
+    for i, t in rows:
+        if not t.startswith("lone"):
+            family[t.split()[0]].append(shard[i])
+    return sum(a != b for f in family.values() for k, a in enumerate(f) for b in f[:k])
+
+
+def test_fewer_cut_edges_than_dealing_by_hash(spark, docs_of):
+    rng = random.Random(8)
+    rows = []
+    for _ in range(200):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        rows += [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(50, 50 + rng.randint(1, 6))]
+    rows = list(enumerate(rows))
+    shard = {r.doc_id: r.shard for r in balanced_shards(docs_of(rows), shards=8).collect()}
+    assert cut_edges(rows, shard) <= 0.25 * cut_edges(rows, {i: zlib.crc32(str(i).encode()) % 8 for i, _ in rows})
