@@ -41,7 +41,8 @@ def trains(id_column: str = "doc_id") -> Column:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract: every document's score; held_out is false for a null id."""
     scored = score_toxicity(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"), trains())
-    return scored.select("doc_id", F.coalesce(~trains(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.round("evidence", 9).alias("evidence"))
+    score = F.col("toxicity.score")
+    return scored.select("doc_id", F.coalesce(~trains(), F.lit(False)).alias("held_out"), score.alias("score"), (score >= 0.7).cast("int").alias("predicted"), F.round("toxicity.evidence", 9).alias("evidence"))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

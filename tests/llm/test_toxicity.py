@@ -1,11 +1,15 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from tessera.llm.queries import op3_toxicity
-from tessera.llm.toxicity import fit_logistic
+from tessera.llm.queries import trains
+from tessera.llm.toxicity import DISCOUNTS, PAIR_FACTOR, counted, fit_logistic, score_toxicity
 
 WORDS = [f"{a}{b}" for a in "ba be bi bo bu da de di do du ka ke ki ko ku".split() for b in "la le li lo lu ma me mi mo mu".split()]
 BAD = ["vile", "rotten", "filthy"]
@@ -56,5 +60,61 @@ def test_without_labels(spark, folder_of, label_frame):
 
 
 def test_logistic():
-    a, b = fit_logistic(np.array([0.0, 1, 2, 3]), np.array([0.0, 0, 1, 1]), np.ones(4) * 50)
-    assert a > 0 and a * 1.0 + b < 0 < a * 2.0 + b
+    weights, loss = fit_logistic(np.array([[0.0, 1], [1, 1], [2, 1], [3, 1]] * 50), np.array([0.0, 0, 1, 1] * 50))
+    at = lambda x: weights @ [x, 1, 1]
+    assert at(1) < 0 < at(2) and loss < 0.5
+
+
+def plain_ratios(corpus, taught, text, d):
+    """Mean ratios of a text under both models, with dictionaries."""
+    words = lambda t: re.findall("[a-z0-9]+", (t or "").lower())
+    pairs = lambda t: list(zip(["", *words(t)], words(t)))
+    n = [Counter(), Counter()]
+    two = [Counter(), Counter()]
+    for t, y in set(taught):
+        n[y].update(set(words(t)))
+        two[y].update(set(pairs(t)))
+    shared = Counter(w for t in set(corpus) for w in set(words(t)))
+    total = sum(shared.values()) + len(shared) + 1
+    q = lambda w: (shared[w] + 1) / total
+    own = DISCOUNTS[d]
+
+    def word(c, w):
+        return max(n[c][w] - own, 0) / sum(n[c].values()) + sum(min(x, own) for x in n[c].values()) / sum(n[c].values()) * q(w)
+
+    def pair(c, h, w):
+        after = {k: x for k, x in two[c].items() if k[0] == h}
+        if not after:
+            return word(c, w)
+        each = PAIR_FACTOR * own
+        return (max(two[c][h, w] - each, 0) + sum(min(x, each) for x in after.values()) * word(c, w)) / sum(after.values())
+
+    vocabulary = set(shared)
+    for c in (0, 1):  # distributions: with the one unseen word of q they sum to 1
+        assert abs(sum(word(c, w) for w in vocabulary) + sum(min(x, own) for x in n[c].values()) / sum(n[c].values()) / total - 1) < 1e-9
+    of_word = [math.log(word(1, w) / word(0, w)) for w in words(text)]
+    of_pair = [math.log(pair(1, h, w) / pair(0, h, w)) for h, w in pairs(text)]
+    return np.mean(of_pair), max(of_pair), np.mean(of_word), max(of_word)
+
+
+def test_model_against_dictionaries(spark):
+    rng = random.Random(4)
+    some = WORDS[:25]
+    texts = [" ".join(rng.choices(some + (BAD if k % 3 == 0 else []), k=rng.randint(3, 30))) for k in range(90)]
+    texts += texts[:12]
+    taught = [(t, int(k % 3 == 0)) for k, t in enumerate(texts[:60])] + [(texts[1], 0)]
+    slim = spark.createDataFrame([*enumerate(texts), (500, None)], "id long, text string")
+    counts = counted(slim, spark.createDataFrame(taught, "text string, label int"), (1,))
+    for text in [*texts[55:75], "none of these known", texts[0]]:
+        data, offsets = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])
+        for d in (0, 1, 3):
+            assert np.allclose(counts.features(data, offsets, d)[0], plain_ratios(texts, taught, text, d))
+
+
+def test_columns_of_any_name_stay(spark, docs_of, label_frame):
+    docs, labels = corpus(200)
+    odd = docs_of(docs).withColumnsRenamed({"lang": "Score", "source": "evidence", "n_chars": "toxicity"}).withColumn("a`b. c", F.lit(7))
+    out = score_toxicity(odd, label_frame(labels), trains())
+    assert out.columns == [*odd.columns, "toxicity_"]
+    first = out.where("doc_id = 3").first()
+    assert (first["evidence"], first["a`b. c"], first["toxicity"], first["Score"]) == ("s", 7, None, None) and 0 <= first["toxicity_"]["score"] <= 1
