@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, column_of, mix, text_chunks, word_hashes
+from .common import BASE, all_columns, column_of, cut, drop_cut, free_name, mix, sized, text_chunks, word_hashes
 
 BLOCKS, RADIUS = 5, 19
 KINDS = ("plain", "weighted")
@@ -191,6 +191,7 @@ def _rarity(docs: DataFrame, items: Items) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(holds[at], rows))], names=["at", "n"])
 
     found = docs.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    shipped.unpersist()
     total = float(found.loc[found["at"] < 0, "n"].sum())
     df = np.zeros(len(items.vocabulary))
     inside = found[found["at"] >= 0]
@@ -198,48 +199,75 @@ def _rarity(docs: DataFrame, items: Items) -> np.ndarray:
     return np.log((1 + total) / (1 + df)) / np.log(1 + total) if total > 0 else np.ones(len(df))
 
 
-def with_contamination(docs: DataFrame, items: DataFrame, text_column: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 5, least: float = 0.8, most_words: int = 200_000) -> DataFrame:
-    """docs with a column `matches`: array<struct<item_id, similarity, start_word, n_words, hamming>>, the best window for
-    each benchmark item with a plain or weighted similarity of `least` or more.
+def with_contamination(docs: DataFrame, items: DataFrame, text_column: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 5, least: float = 0.8, most_words: int = 200_000, result: str = "matches") -> DataFrame:
+    """docs with one more column, the last one: array<struct<item_id, similarity, start_word, n_words, hamming>>, the best
+    window for each benchmark item with a plain or weighted similarity of `least` or more. It is called `result`, with
+    underscores behind it where docs has a column of that name; all columns of docs stay as they are.
 
     Words: letters and digits, A-Z lower-cased; shingles of n words, of all words for shorter items. Items are searched in
-    blocks of about most_words words, which bounds what is broadcast. Null, empty and wordless texts and items match
-    nothing; equal items each match. A column matches of docs is replaced; other columns stay. An empty table gives no
-    rows.
+    blocks of about most_words words, one after the other: no more than one block is broadcast at a time, whatever the
+    benchmark's size. Null, empty and wordless texts and items match nothing; equal items each match, and so do items that
+    repeat an id. Ids of docs aren't read: null and repeated ones do no harm, and rows with equal texts have equal matches.
+    An empty table gives no rows.
     """
+    name = free_name(docs, result)
     words = F.size(F.split(F.col(item_text), r"\s+")) + 1
     plain = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).alias("item"), F.col(item_text).cast("string").alias("text"))
     blocks = max(1, -(-int(items.agg(F.sum(words)).first()[0] or 0) // most_words))
-    kind = items.schema[item_id].dataType.simpleString()
-    texts = docs.select(F.col(text_column).cast("string").alias("text"))
+    id_type = items.schema[item_id].dataType
+    schema = f"array<struct<item_id:{id_type.simpleString()},similarity:double,start_word:int,n_words:int,hamming:int>>"
+    text = F.col("`" + text_column.replace("`", "``") + "`").cast("string")
+    if blocks == 1:
+        search = _search(docs.select(text.alias("text")), plain, n, least, schema, id_type)
+        return docs.withColumn(name, search[0](text) if search else F.expr(f"cast(array() as {schema})"))
     parts = []
+    slim = docs.select(text.alias("text"))
     for block in range(blocks):
-        rows = plain.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()  # about most_words words
-        ready = Items([r["item"] for r in rows], [r["text"] for r in rows], n)
-        if not ready.sizes:
-            continue
-        ready.weights = np.maximum(_rarity(texts, ready), 1e-6)
-        ready.index()
-        parts.append(docs.sparkSession.sparkContext.broadcast(ready))
-    schema = f"array<struct<item_id:{kind},similarity:double,start_word:int,n_words:int,hamming:int>>"
+        search = _search(slim, plain.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block), n, least, schema, id_type)
+        if search:
+            hits = slim.select(F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2"), search[0](F.col("text")).alias("found"))
+            parts.append(cut(hits.where(F.size("found") > 0).dropDuplicates(["t1", "t2"])))
+            search[1].unpersist()
+    one, two = free_name(docs, "__t1"), free_name(docs, "__t2")
     if not parts:
-        return docs.withColumn("matches", F.expr(f"cast(array() as {schema})"))
+        return docs.withColumn(name, F.expr(f"cast(array() as {schema})"))
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    # each text has one row a block at most
+    found = cut(found.groupBy("t1", "t2").agg(F.flatten(F.collect_list("found")).alias("found")).select(F.col("t1").alias(one), F.col("t2").alias(two), F.array_sort("found").alias(name)))
+    drop_cut(*parts)
+    keyed = docs.withColumns({one: F.xxhash64(text), two: F.xxhash64(text, F.lit(1))})
+    out = keyed.join(sized(found), [one, two], "left")
+    return out.select(*all_columns(docs), F.coalesce(F.col(name), F.expr(f"cast(array() as {schema})")).alias(name))
+
+
+def _search(texts: DataFrame, block: DataFrame, n: int, least: float, schema: str, id_type):
+    """(a function of a text column, what it has broadcast) for the items of a block; None if it has no words."""
+    rows = block.orderBy("item").collect()  # about most_words words
+    ready = Items([r["item"] for r in rows], [r["text"] for r in rows], n)
+    if not ready.sizes:
+        return None
+    ready.weights = np.maximum(_rarity(texts, ready), 1e-6)
+    ready.index()
+    part = texts.sparkSession.sparkContext.broadcast(ready)
 
     def search(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        items = part.value
         for column in columns:
             out: list[list[dict]] = []
             for _, data, offsets in text_chunks(column):
                 hashes, before, _, _ = word_hashes(data, offsets, "alnum")
-                may = [part.value.may_hold(hashes, before) for part in parts]
+                may = items.may_hold(hashes, before)
                 for row in range(len(before) - 1):
                     mine = hashes[before[row] : before[row + 1]]
-                    found = [(part.value.names[i], *rest) for part, able in zip(parts, may, strict=True) if len(mine) and able[row] for i, *rest in part.value.search(mine, least)]
+                    found = [(items.names[i], *rest) for i, *rest in items.search(mine, least)] if len(mine) and may[row] else []
                     out.append([dict(zip(("item_id", "similarity", "start_word", "n_words", "hamming"), x, strict=True)) for x in found])
             yield pa.array(out, arrow_type)
 
-    arrow_type = pa.list_(pa.struct([("item_id", _arrow(items.schema[item_id].dataType)), ("similarity", pa.float64()), ("start_word", pa.int32()), ("n_words", pa.int32()), ("hamming", pa.int32())]))
+    arrow_type = pa.list_(pa.struct([("item_id", _arrow(id_type)), ("similarity", pa.float64()), ("start_word", pa.int32()), ("n_words", pa.int32()), ("hamming", pa.int32())]))
     # called nondeterministic so that no filter on the column, nor one that explode implies, runs the search again
-    return docs.withColumn("matches", F.arrow_udf(search, schema).asNondeterministic()(F.col(text_column).cast("string")))
+    return F.arrow_udf(search, schema).asNondeterministic(), part
 
 
 def _arrow(kind):

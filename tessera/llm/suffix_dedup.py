@@ -26,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_of, cut, drop_cut, every_span_hash, mix, powers, prefix_hash, span_hash, text_chunks
+from .common import all_columns, column_of, cut, drop_cut, every_span_hash, free_name, mix, powers, prefix_hash, sized, span_hash, text_chunks
 from .induced import repeated_windows
 
 SALT = np.uint64(0xC2B2AE3D27D4EB4F)
+#: Rows of one anchor hash that a join may bring to one task; hashes with more are joined apart, without a shuffle by hash.
+HOT_ROWS = 20_000
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -226,16 +228,27 @@ def _repeated_runs(one: DataFrame, length: int, finer: tuple[int, ...], shard_by
     return runs
 
 
+def _repeated(frame: DataFrame) -> DataFrame:
+    """The rows of frame whose h stands in two rows or more."""
+    twice = cut(frame.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"))
+    hot = twice.where(F.col("c") > HOT_ROWS).select("h")
+    if hot.isEmpty():
+        return frame.join(twice.select("h"), "h", "left_semi")
+    hot = sized(hot)  # one for each HOT_ROWS rows at most
+    return frame.join(hot, "h", "left_semi").unionByName(frame.join(hot, "h", "left_anti").join(twice.where(F.col("c") <= HOT_ROWS).select("h"), "h", "left_semi"))
+
+
 def repeated_spans(docs: DataFrame, text_column: str = "text", length: int = 200, gram: int = 96, shard_bytes: int = 1_000_000, memory: int = 1 << 27) -> DataFrame:
     """(t1, t2, text, copies, starts, ends) for each different text that has repeated spans: maximal runs of bytes to
-    remove. (t1, t2) is text_key(text). A text of `length` bytes or more that occurs twice is removed whole."""
+    remove. (t1, t2) is text_key(text). A text of `length` bytes or more that occurs twice is removed whole. length: from
+    gram to 1023."""
+    if not gram <= length <= 1023:
+        raise ValueError("length must be between gram and 1023: anchor rows hold it in ten bits")
     base = docs.select(F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text")).select(*text_key("text"), "text")
     found = cut(base.mapInArrow(_anchor_rows(length, gram), "h long, t1 long, t2 long, x long"))
-    twice = found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    met = cut(found.join(twice, "h").distinct())
+    met = cut(_repeated(found).distinct())
     drop_cut(found)
-    apart = met.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    wanted = met.join(apart, "h", "left_semi").groupBy("t1", "t2").agg(F.collect_list("x").alias("xs"))
+    wanted = _repeated(met).groupBy("t1", "t2").agg(F.collect_list("x").alias("xs"))
     long_enough = base.where(F.octet_length("text") >= length)
     copies = long_enough.groupBy("t1", "t2").agg(F.count("*").alias("copies"))
     several = copies.where("copies > 1").withColumn("whole", F.lit(True))
@@ -312,10 +325,13 @@ def span_digests(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 def without_repeats(docs: DataFrame, text_column: str = "text", length: int = 200) -> DataFrame:
     """docs with all repeated spans taken out of the text; a character that a span's edge would cut stays. Null texts stay
-    null. All columns and rows stay, whatever their names; what depends on the text, such as a length, is the caller's."""
+    null. All columns and rows stay, whatever their names; what depends on the text, such as a length, is the caller's.
+    Rows with equal texts, and rows that repeat an id, have equal and each their own results. An empty table stays empty."""
     found = repeated_spans(docs, text_column, length)
-    kept = cut(found.select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), _cut_out("text")("text", "starts", "ends").alias("__kept")))
-    one, two = text_key("__text")
-    keyed = docs.withColumn("__text", F.coalesce(F.col(text_column).cast("string"), F.lit(""))).withColumns({"__t1": one, "__t2": two})
-    out = keyed.join(kept, ["__t1", "__t2"], "left")
-    return out.withColumn(text_column, F.coalesce("__kept", F.col(text_column).cast("string"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain, one, two, kept = (free_name(docs, x) for x in ("__text", "__t1", "__t2", "__kept"))
+    cut_texts = cut(found.select(F.col("t1").alias(one), F.col("t2").alias(two), _cut_out("text")("text", "starts", "ends").alias(kept)))
+    t1, t2 = text_key(plain)
+    text = F.col("`" + text_column.replace("`", "``") + "`").cast("string")
+    out = docs.withColumn(plain, F.coalesce(text, F.lit(""))).withColumns({one: t1, two: t2}).join(cut_texts, [one, two], "left")
+    new = F.coalesce(F.col(kept), text).alias(text_column)
+    return out.select(*[new if name == text_column else c for name, c in zip(docs.columns, all_columns(docs), strict=True)])
