@@ -21,7 +21,7 @@ def grams(w, n):
 
 
 def brute(rows, items, n=5, least=0.8):
-    """All windows of all lengths against all items, without fingerprints."""
+    """All windows of all lengths against all items, without fingerprints: weighted similarity where it reaches least, else plain."""
     words = [words_of(t) for _, t in rows]
     item_words = [(i, words_of(t)) for i, t in items if words_of(t)]
     sets = [set(grams(w, n)) for _, w in item_words]
@@ -38,12 +38,14 @@ def brute(rows, items, n=5, least=0.8):
             best = None
             for a in range(max(1, len(w) - len(iw) + 1)):
                 inside = set(grams(w[a : a + len(iw)], min(n, len(iw))))
-                shared = sum(weight(g) for g in inside & s)
-                x = round(shared / (sum(map(weight, inside)) + sum(map(weight, s)) - shared), 9)
-                if x >= least and (best is None or x > best[0]):
+                union = inside | s
+                rare = round(sum(map(weight, inside & s)) / sum(map(weight, union)), 9)
+                plain = round(len(inside & s) / len(union), 9)
+                x = (rare >= least, rare if rare >= least else plain)
+                if x[1] >= least and (best is None or x > best[0]):
                     best = (x, a)
             if best:
-                out[doc, item] = best
+                out[doc, item] = (best[0][1], best[1])
     return out
 
 
