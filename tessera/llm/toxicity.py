@@ -32,8 +32,8 @@ from .common import BASE, all_columns, column_of, cut, drop_cut, free_name, mix,
 #: Discounts of word counts that are tried; pairs, which are noisier, have PAIR_FACTOR times as much.
 DISCOUNTS = (1, 2, 4, 8, 16, 32)
 PAIR_FACTOR = 4
-#: Rows of counts that a task holds before it adds equal ones up.
-HELD_ROWS = 1 << 20
+#: Values (rows times columns) of counts that a task holds before it adds equal rows up and, if they stay as many, hands them on.
+HELD_VALUES = 1 << 20
 
 
 def pair_hash(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -83,9 +83,9 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = heads(words, before)
             for of_pair, at in ((0, _distinct(rows, words)), (1, _distinct(rows, h, words))):
                 held.append((np.full(len(at), of_pair, np.int64), h[at].view(np.int64) * of_pair, words[at].view(np.int64), 1 - y[at], y[at]))
-        if sum(len(x[0]) for x in held) > HELD_ROWS:
+        if sum(len(x[0]) for x in held) * 5 > HELD_VALUES:
             held = _added(held, 3)
-            if len(held[0][0]) > HELD_ROWS:
+            if len(held[0][0]) * 10 > HELD_VALUES:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in held.pop()], names=["of_pair", "h", "w", "n0", "n1"])
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in _added(held, 3)[0]], names=["of_pair", "h", "w", "n0", "n1"])
@@ -100,9 +100,9 @@ def _texts_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = np.repeat(np.arange(len(before) - 1), np.diff(before))
             at = _distinct(rows, words)
             held.append((words[at].view(np.int64), np.ones(len(at), np.int64)))
-        if sum(len(x[0]) for x in held) > HELD_ROWS:
+        if sum(len(x[0]) for x in held) * 2 > HELD_VALUES:
             held = _added(held, 1)
-            if len(held[0][0]) > HELD_ROWS:
+            if len(held[0][0]) * 4 > HELD_VALUES:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in held.pop()], names=["w", "n"])
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in _added(held, 1)[0]], names=["w", "n"])
@@ -169,14 +169,15 @@ def _places(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, keys[at] == wanted
 
 
-def _sampled(labelled: DataFrame, most_bytes: int) -> DataFrame:
-    """Labelled rows, thinned by a hash of the id to about most_bytes of text of each class."""
-    size = {r["label"]: r["n"] or 0 for r in labelled.groupBy("label").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+def _sampled(slim: DataFrame, chosen: DataFrame, most_rows: int, most_bytes: int) -> DataFrame:
+    """Texts with their labels: of each class about most_rows rows and most_bytes bytes (by the mean size of all texts), thinned
+    by a hash of the id. Only ids are thinned before the join, so no text moves: the sample of ids is bounded and broadcast."""
+    size = slim.agg(F.avg(F.octet_length("text"))).first()[0] or 1.0
     keep = F.lit(False)
-    for label, n in size.items():
-        share = min(1.0, most_bytes / max(n, 1))
-        keep = keep | ((F.col("label") == label) & (F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) < int(share * (1 << 30))))
-    return labelled.where(keep)
+    for r in chosen.groupBy("label").agg(F.count("*").alias("n")).collect():  # two classes
+        share = min(1.0, most_rows / r["n"], most_bytes / (r["n"] * size))
+        keep = keep | ((F.col("label") == r["label"]) & (F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) < int(share * (1 << 30))))
+    return slim.join(F.broadcast(chosen.where(keep)), "id").where("text is not null")  # about 2 * most_rows rows of 12 bytes
 
 
 def _taken(n: str, factor: int) -> list[Column]:
@@ -235,6 +236,7 @@ def score_toxicity(
     text_column: str = "text",
     label_column: str = "toxic",
     result: str = "toxicity",
+    most_rows: int = 10_000,
     most_bytes: int = 32_000_000,
     passages: tuple[int, ...] = (1, 4),
 ) -> DataFrame:
@@ -243,8 +245,8 @@ def score_toxicity(
 
     labels(id_column, label_column): rows with a null id or label count for nothing; of several rows for an id the greatest
     label holds. train: a condition on the id column; labels of other rows are never read. The classifier's sample: about
-    most_bytes of labelled text of each class, by a hash of the id, which also bounds what is shipped; a fifth of it
-    calibrates, the rest gives counts. Of rows that repeat an id or a text each is scored; equal texts have equal scores.
+    most_rows rows or most_bytes of labelled text of each class, whichever is less, by a hash of the id, which also bounds
+    what is shipped; a fifth of it calibrates, the rest gives counts. Of rows that repeat an id or a text each is scored; equal texts have equal scores.
     Null, empty and wordless texts have features of 0. Without training rows with words of both classes every score is the
     share of toxic ones (0 without any). An empty table gives no rows.
     """
@@ -252,7 +254,7 @@ def score_toxicity(
     name = free_name(docs, result)
     chosen = labels.where(train & F.col(id_column).isNotNull() & F.col(label_column).isin(0, 1)).groupBy(F.col(id_column).alias("id")).agg(F.max(F.col(label_column).cast("int")).alias("label"))
     slim = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    rows = cut(_sampled(slim.where("text is not null").join(chosen, "id"), most_bytes))
+    rows = cut(_sampled(slim, chosen, most_rows, most_bytes))
     calibrates = F.pmod(F.xxhash64(F.lit("calibrate"), "id"), F.lit(5)) == 0
     counts = counted(slim, rows.where(~calibrates), passages)
     if counts is None:
