@@ -18,6 +18,11 @@ BASE_INVERSE = pow(BASE, -1, 1 << 64)
 STEP_BYTES = 1 << 18
 
 
+#: Rows of an Arrow batch while a table is written: 10 000 rows, Spark's default, of whole texts take tens of megabytes in the
+#: JVM and in the worker of each task.
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and everything
     runs on this machine. On a cluster an unset folder is an error: each executor would write to a disk of its own."""
@@ -35,7 +40,12 @@ def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tessera/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    before = spark.conf.get(BATCH_CONF)
+    spark.conf.set(BATCH_CONF, str(min(int(before), BATCH_ROWS)))
+    try:
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.set(BATCH_CONF, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._tessera_path = path
     return back

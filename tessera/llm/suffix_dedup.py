@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import all_columns, column_of, cut, drop_cut, every_span_hash, free_name, mix, powers, prefix_hash, sized, span_hash, text_chunks
 from .induced import repeated_windows
@@ -238,9 +237,10 @@ def _repeated(frame: DataFrame) -> DataFrame:
     return frame.join(hot, "h", "left_semi").unionByName(frame.join(hot, "h", "left_anti").join(twice.where(F.col("c") <= HOT_ROWS).select("h"), "h", "left_semi"))
 
 
-def repeated_spans(docs: DataFrame, text_column: str = "text", length: int = 200, gram: int = 96, shard_bytes: int = 1_000_000, memory: int = 1 << 27) -> DataFrame:
-    """(t1, t2, text, copies, starts, ends) for each different text that has repeated spans: maximal runs of bytes to
-    remove. (t1, t2) is text_key(text). A text of `length` bytes or more that occurs twice is removed whole. length: from
+def repeated_spans(docs: DataFrame, text_column: str = "text", length: int = 200, gram: int = 96, shard_bytes: int = 1_000_000, memory: int = 1 << 27, kept: str = "") -> DataFrame:
+    """(t1, t2, text, copies, starts, ends, kept) for each different text that has repeated spans: maximal runs of bytes to
+    remove, and what is left: with kept "sha256" its digest, with "text" the text but for the parts of characters that a
+    span's edges cut, else null. (t1, t2) is text_key(text). A text of `length` bytes or more that occurs twice is removed whole. length: from
     gram to 1023."""
     if not gram <= length <= 1023:
         raise ValueError("length must be between gram and 1023: anchor rows hold it in ten bits")
@@ -268,19 +268,21 @@ def repeated_spans(docs: DataFrame, text_column: str = "text", length: int = 200
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            starts, ends = [], []
-            for size, whole, spans in zip(column_of(batch, "n").to_pylist(), column_of(batch, "whole").to_pylist(), column_of(batch, "spans"), strict=True):
+            starts, ends, left = [], [], []
+            for size, whole, spans, text in zip(column_of(batch, "n").to_pylist(), column_of(batch, "whole").to_pylist(), column_of(batch, "spans"), column_of(batch, "text"), strict=True):
                 if whole:
                     s, e = np.array([0]), np.array([size])
                 else:
                     s, e = merged(spans.values.field("s").to_numpy(), spans.values.field("e").to_numpy())
                 starts.append(s)
                 ends.append(e)
+                left.append(_left(text.as_py().encode(), s.tolist(), e.tolist(), kept) if kept else None)
             kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([column_of(batch, x) for x in ("t1", "t2", "text", "copies")] + [pa.array(starts, kind), pa.array(ends, kind)], names=["t1", "t2", "text", "copies", "starts", "ends"])
+            columns = [column_of(batch, x) for x in ("t1", "t2", "text", "copies")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(starts, kind), pa.array(ends, kind), pa.array(left, pa.string())], names=["t1", "t2", "text", "copies", "starts", "ends", "kept"])
 
     with_size = out.withColumn("n", F.octet_length("text").cast("long")).select("t1", "t2", "text", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "n", "whole", "spans")
-    return with_size.mapInArrow(run, "t1 long, t2 long, text string, copies long, starts array<long>, ends array<long>")
+    return with_size.mapInArrow(run, "t1 long, t2 long, text string, copies long, starts array<long>, ends array<long>, kept string")
 
 
 def text_key(column: str):
@@ -288,23 +290,11 @@ def text_key(column: str):
     return F.xxhash64(column).alias("t1"), F.xxhash64(F.col(column), F.lit(1)).alias("t2")
 
 
-def _cut_out(kind: str):
-    """A function of (text, starts, ends): the SHA-256 of the remaining bytes, or the remaining text without the parts of
-    characters that a span's edges cut."""
-
-    def apply(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, starts, ends in columns:
-            out = []
-            for text, s, e in zip(texts, starts, ends, strict=True):
-                raw, spans = text.as_py().encode(), list(zip(s.as_py(), e.as_py(), strict=True))
-                if kind == "sha256":
-                    out.append(hashlib.sha256(kept_bytes(raw, *zip(*spans, strict=True))).hexdigest())
-                else:
-                    whole = [whole_characters(raw, a, b) for a, b in spans]
-                    out.append(kept_bytes(raw, *zip(*whole, strict=True)).decode())
-            yield pa.array(out, pa.string())
-
-    return F.arrow_udf(apply, T.StringType())
+def _left(raw: bytes, starts: list[int], ends: list[int], kind: str) -> str:
+    if kind == "sha256":
+        return hashlib.sha256(kept_bytes(raw, starts, ends)).hexdigest()
+    whole = [whole_characters(raw, a, b) for a, b in zip(starts, ends, strict=True)]
+    return kept_bytes(raw, *zip(*whole, strict=True)).decode()
 
 
 def span_digests(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = 200) -> DataFrame:
@@ -315,9 +305,9 @@ def span_digests(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_column).alias("id"), text.alias("text")).select("id", *text_key("text"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
-    found = repeated_spans(docs, text_column, length)
+    found = repeated_spans(docs, text_column, length, kept="sha256")
     removed = F.expr("aggregate(zip_with(ends, starts, (e, s) -> e - s), 0L, (a, x) -> a + x)")
-    found = found.select("t1", "t2", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), _cut_out("sha256")("text", "starts", "ends").alias("kept"))
+    found = found.select("t1", "t2", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), "kept")
     out = rows.join(cut(found), ["t1", "t2"], "left")
     zero = F.lit(0).cast("long")
     return out.select(F.col("id").alias(id_column), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"))
@@ -327,9 +317,9 @@ def without_repeats(docs: DataFrame, text_column: str = "text", length: int = 20
     """docs with all repeated spans taken out of the text; a character that a span's edge would cut stays. Null texts stay
     null. All columns and rows stay, whatever their names; what depends on the text, such as a length, is the caller's.
     Rows with equal texts, and rows that repeat an id, have equal and each their own results. An empty table stays empty."""
-    found = repeated_spans(docs, text_column, length)
+    found = repeated_spans(docs, text_column, length, kept="text")
     plain, one, two, kept = (free_name(docs, x) for x in ("__text", "__t1", "__t2", "__kept"))
-    cut_texts = cut(found.select(F.col("t1").alias(one), F.col("t2").alias(two), _cut_out("text")("text", "starts", "ends").alias(kept)))
+    cut_texts = cut(found.select(F.col("t1").alias(one), F.col("t2").alias(two), F.col("kept").alias(kept)))
     t1, t2 = text_key(plain)
     text = F.col("`" + text_column.replace("`", "``") + "`").cast("string")
     out = docs.withColumn(plain, F.coalesce(text, F.lit(""))).withColumns({one: t1, two: t2}).join(cut_texts, [one, two], "left")
