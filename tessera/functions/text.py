@@ -1,4 +1,4 @@
-"""Text functions and the policies over their findings, as column expressions. Patterns mean the same to Java and RE2."""
+"""Text functions and the policies over their findings, as column expressions."""
 
 from __future__ import annotations
 
@@ -14,19 +14,29 @@ from tessera.sources.tables import EMAIL, table, turns
 
 #: The kinds of personal data and secrets, in the order in which they are looked for and replaced.
 PATTERNS = {
-    "jwt": r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+",
-    "api_key": r"\b(?:sk|pk|api|key)[_-][A-Za-z0-9_-]{16,}",
+    "jwt": r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b",
+    "api_key": r"(?i)\b(?:sk|pk|api|key)[-_](?:[A-Za-z0-9]+[-_])?[A-Za-z0-9]{16,}\b",
     "email": EMAIL,
-    "card": r"\b(?:[0-9][ -]?){12,18}[0-9]\b",
-    "phone": r"\b[6-9][0-9]{9}\b",
+    "phone": r"(?<!\d)(?:\+?91[-\s]?)?[6-9]\d{9}(?!\d)",
     "pan": r"\b[A-Z]{5}[0-9]{4}[A-Z]\b",
-    "aadhaar": r"\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b",
+    "aadhaar": r"(?<!\d)\d{4}[-\s]?\d{4}[-\s]?\d{4}(?!\d)",
+    "card": r"(?<!\d)(?:\d[-\s]?){13,19}(?!\d)",
 }
-SCORES = {"jwt": 1.0, "api_key": 1.0, "email": 0.8, "phone": 0.8, "pan": 0.95, "aadhaar": 0.95, "card": 0.9}
-SECRETS = ("jwt", "api_key")
-#: Words that make a sentence absolute, phrases that refuse.
-ABSOLUTE = r"\b(?:always|never|all|none|every|must|cannot|only|guaranteed)\b"
-REFUSALS = ["i don't know", "i do not know", "cannot answer", "can't answer", "no information", "not enough information", "not mentioned", "unable to"]
+#: Findings in their order, as (category, detail, score, kinds).
+FINDINGS = [
+    ("secrets", "credential_shaped_token", 1.0, ("jwt", "api_key")),
+    ("pii", "contact_identifier", 0.8, ("email", "phone")),
+    ("pii", "government_id", 0.95, ("pan", "aadhaar")),
+    ("pii", "card_number", 0.9, ("card",)),
+]
+#: Language that makes a sentence an absolute claim, phrases that refuse.
+ABSOLUTE = r"(?i)\b(cannot|can not|can't|must|prohibited|forbidden|never|always|required to|not allowed|not permitted)\b"
+REFUSALS = ["does not contain", "doesn't contain", "no relevant context", "not contain the answer", "don't know", "do not know", "cannot determine", "unable to determine", "no information", "not provided in the context"]
+#: What a retrieval query must not hold, and its length.
+QUERY_MARKERS = ["ignore previous", "ignore all previous", "system prompt", "http://", "https://", "sql:"]
+QUERY_LENGTH = (3, 500)
+#: Questions that may go to the public regulatory web.
+PUBLIC_MARKERS = ["rbi circular", "reserve bank of india", "sebi circular", "npci circular", "public regulation", "regulatory circular"]
 SPACE = "[ \\t\\n\\r]+"
 #: Code points that nobody sees.
 INVISIBLE = "[​-‏‪-‮⁠⁦-⁩﻿]"
@@ -47,23 +57,62 @@ def sentences(c: Column | str) -> Column:
     return F.filter(F.split(marked, "\n"), lambda x: x != "")
 
 
+def refiner_sentences(c: Column | str) -> Column:
+    """Split after . ! or ? before white space and a capital, a digit or a bracket."""
+    return F.filter(F.split(collapsed(c), "(?<=[.!?]) (?=[A-Z0-9(])"), lambda x: x != "")
+
+
+def bound(c: Column | str, f) -> Column:
+    """f of the value of c, worked out once however often f uses it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
+def is_card(x: Column) -> Column:
+    digits = F.regexp_replace(x, r"[-\s]", "")
+    return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
+
+
 def card_numbers(c: Column | str) -> Column:
     """Numbers of 13 to 19 digits that pass the Luhn check."""
-    found = F.regexp_extract_all(c, F.lit(PATTERNS["card"]), F.lit(0))
-    return F.filter(F.transform(found, lambda x: F.regexp_replace(x, "[^0-9]", "")), lambda x: F.call_function("luhn_check", x))
+    found = F.filter(F.regexp_extract_all(c, F.lit(PATTERNS["card"]), F.lit(0)), is_card)
+    return F.transform(found, lambda x: F.regexp_replace(x, r"[-\s]", ""))
+
+
+def holds(c: Column | str, kind: str) -> Column:
+    """Whether a text holds a kind of personal data or secret; cheap tests spare most texts the pattern."""
+    c = F.col(c) if isinstance(c, str) else c
+    gate = {"jwt": F.contains(c, F.lit("eyJ")), "email": F.contains(c, F.lit("@")), "api_key": c.rlike("[A-Za-z0-9]{16}")}.get(kind, c.rlike("[0-9]"))
+    return gate & (F.size(card_numbers(c)) > 0 if kind == "card" else c.rlike(PATTERNS[kind]))
 
 
-def without_cards(c: Column) -> Column:
-    """Matches of the card pattern that pass the Luhn check replaced by a token; all else stays."""
-    found = F.regexp_extract_all(c, F.lit(PATTERNS["card"]), F.lit(0))
-    token = lambda x: F.when(F.call_function("luhn_check", F.regexp_replace(x, "[^0-9]", "")), "[REDACTED:CARD]").otherwise(F.coalesce(x, F.lit("")))
-    return F.array_join(F.zip_with(F.split(c, PATTERNS["card"], -1), found, lambda a, x: F.concat(a, token(x))), "")
+def findings(c: Column | str) -> Column:
+    """array<struct<category, detail, score>> in the order of FINDINGS; null for a null text."""
+    each = []
+    for category, detail, score, kinds in FINDINGS:
+        found = holds(c, kinds[0])
+        for kind in kinds[1:]:
+            found = found | holds(c, kind)
+        each.append(F.when(found, F.struct(F.lit(category).alias("category"), F.lit(detail).alias("detail"), F.lit(score).alias("score"))))
+    return F.array_compact(F.array(*each))
+
+
+def replaced(c: Column, kind: str) -> Column:
+    """Each match of a kind (cards: those that pass the Luhn check) replaced by a token with a digest of the value."""
+    token = lambda x: F.concat(F.lit(f"[REDACTED:{kind.upper()}:"), F.substring(F.sha2(x, 256), 1, 8), F.lit("]"))
+    value = (lambda x: F.when(is_card(x), token(x)).otherwise(x)) if kind == "card" else token
+    pattern = PATTERNS[kind]
+
+    def all_of(t: Column) -> Column:
+        found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        return F.when(holds(t, kind), F.array_join(F.zip_with(F.split(t, pattern, -1), found, lambda a, x: F.concat(a, F.when(x.isNull(), "").otherwise(value(x)))), "")).otherwise(t)
+
+    return bound(c, all_of)
 
 
 def redacted(c: Column) -> Column:
-    """All kinds replaced in the order of PATTERNS: cards before aadhaar, which would eat three groups of a spaced card."""
-    for kind, pattern in PATTERNS.items():
-        c = without_cards(c) if kind == "card" else F.regexp_replace(c, pattern, f"[REDACTED:{kind.upper()}]")
+    """All kinds replaced in the order of PATTERNS."""
+    for kind in PATTERNS:
+        c = replaced(c, kind)
     return c
 
 
@@ -91,24 +140,20 @@ def f1_canonicalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f3_sensitive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of each document with at least one; a card number has to pass the Luhn check."""
-    d = table(spark, sf_dir, "documents")
-    found = {k: F.col("text").rlike(p) for k, p in PATTERNS.items() if k != "card"} | {"card": F.size(card_numbers("text")) > 0}
-    kinds = F.array_compact(F.array(*[F.when(found[k], F.lit(k)) for k in sorted(PATTERNS)]))
-    score = F.greatest(*[F.when(found[k], F.lit(v)).otherwise(0.0) for k, v in SCORES.items()])
-    return d.select("doc_id", F.array_join(kinds, ",").alias("kinds"), score.alias("score")).where("score > 0")
+    """Findings of each document with at least one, in their order, and the greatest score."""
+    d = table(spark, sf_dir, "documents").select("doc_id", findings("text").alias("f")).where(F.size("f") > 0)
+    return d.select("doc_id", F.array_join("f.detail", ",").alias("details"), F.array_max("f.score").alias("score"))
 
 
 def f5_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with secrets, e-mail addresses and numbers replaced, in order, by a token; digest of the result."""
-    c = table(spark, sf_dir, "documents")
-    text = redacted(F.col("text"))
-    return c.select("doc_id", F.md5(text).alias("redacted_md5"), (text != F.col("text")).alias("changed"))
+    c = table(spark, sf_dir, "documents").select("doc_id", "text", redacted(F.col("text")).alias("clean"))
+    return c.select("doc_id", F.md5("clean").alias("redacted_md5"), (F.col("clean") != F.col("text")).alias("changed"))
 
 
 def f7_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", F.posexplode(sentences("text")).alias("pos", "sentence")).select("conv_id", "turn", "pos", "sentence")
+    return c.select("conv_id", "turn", F.posexplode(refiner_sentences("text")).alias("pos", "sentence")).select("conv_id", "turn", "pos", "sentence")
 
 
 def f10_faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,21 +164,21 @@ def f10_faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("conv_id", "turn", F.round(share_of(F.col("a"), F.col("q")), 6).alias("faithfulness"), answerability.alias("answerability"))
 
 
-def f17_unsupported_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of documents with an absolute word that share less than 0.4 of their content words with the first
-    sentence of their document."""
-    d = table(spark, sf_dir, "documents").select("doc_id", sentences("text").alias("s")).where(F.size("s") > 1)
-    each = d.select("doc_id", F.element_at("s", 1).alias("first"), F.posexplode("s").alias("pos", "sentence")).where(F.lower("sentence").rlike(ABSOLUTE) & (F.col("pos") > 0))
-    overlap = share_of(content_words("sentence"), content_words("first"))
-    return each.select("doc_id", "pos", F.round(overlap, 6).alias("overlap")).where("overlap < 0.4")
+def unsupported_claims(answer: Column, context_words: Column) -> Column:
+    """array<struct<pos, overlap>>: sentences with an absolute claim that share less than 0.4 of their content words with the
+    context; sentences without content words claim nothing."""
+    each = F.transform(sentences(answer), lambda s, i: F.struct(i.alias("pos"), s.rlike(ABSOLUTE).alias("absolute"), content_words(s).alias("words")))
+    share = F.transform(F.filter(each, lambda x: x["absolute"] & (F.size(x["words"]) > 0)), lambda x: F.struct(x["pos"].alias("pos"), F.round(F.size(F.array_intersect(x["words"], context_words)) / F.size(x["words"]), 6).alias("overlap")))
+    return F.filter(share, lambda x: x["overlap"] < 0.4)
 
 
-def f18_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bracketed citations of all documents, split at commas and semicolons."""
-    d = table(spark, sf_dir, "documents")
-    inner = F.flatten(F.transform(F.regexp_extract_all("text", F.lit(r"\[([^\[\]]+)\]"), F.lit(1)), lambda x: F.split(x, "[,;]")))
-    names = F.array_distinct(F.filter(F.transform(inner, F.trim), lambda x: x != ""))
-    return d.select("doc_id", F.size(names).alias("cited")).groupBy("cited").agg(F.count("*").alias("documents"))
+def f17_unsupported_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims in answers, each with one more sentence that claims what the question says (turns divisible by 4) or the answer, against the
+    question as context."""
+    t = turns(spark, sf_dir)
+    said = F.array_join(F.slice(F.split(F.when(F.col("turn") % 4 == 0, F.col("question")).otherwise(F.col("answer")), " "), 1, 8), " ")
+    found = t.select("conv_id", "turn", unsupported_claims(F.concat("answer", F.lit(" It must always hold that "), said, F.lit(".")), content_words("question")).alias("f"))
+    return found.select("conv_id", "turn", F.explode("f").alias("f")).select("conv_id", "turn", "f.pos", "f.overlap")
 
 
 def f22_rollout_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,31 +189,53 @@ def f22_rollout_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return users.select("user_id", bucket.alias("bucket"), (bucket < 2500).alias("treatment"))
 
 
+def allowed_hosts(host: Column, allowed: list[str]) -> Column:
+    """Whether a host is one of the allowed domains or below one."""
+    out = F.lit(False)
+    for domain in allowed:
+        out = out | (host == domain) | host.endswith("." + domain)
+    return out
+
+
+#: Domains that pages may come from.
+ALLOWED = ["example.com", "example.org"]
+_AUTHORITY = r"^[A-Za-z]+://([^/?#]*)"
+
+
 def f23_canonical_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scheme, host without www., path (/ if there is none) of all pages; fragments go. allowed: https without user data."""
+    """Canonical URL (fragment gone, / for an empty path, query kept) and domain (no www., no port) of pages; null where a URL
+    is not HTTPS, holds user data or leaves the allowed domains."""
     p = table(spark, sf_dir, "pages")
-    host = F.regexp_replace(F.lower(F.regexp_extract("url", "^[A-Za-z]+://([^/?#]*)", 1)), "^www[.]", "")
-    path = F.regexp_extract("url", "^[A-Za-z]+://[^/?#]*([^?#]*)", 1)
-    return p.select("page_id", host.alias("host"), F.when(path == "", "/").otherwise(path).alias("path"), (F.col("url").startswith("https://") & ~F.contains(host, F.lit("@"))).alias("allowed"))
+    authority = F.regexp_extract("url", _AUTHORITY, 1)
+    host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(authority, ":[0-9]*$", "")), "[.]+$", ""), "^www[.]", "")
+    path, query = F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1), F.regexp_extract("url", r"^[^?#]*(\?[^#]*)", 1)
+    ok = F.lower("url").startswith("https://") & ~F.contains(authority, F.lit("@")) & (host != "") & allowed_hosts(host, ALLOWED)
+    url = F.concat(F.lit("https://"), authority, F.when(path == "", "/").otherwise(path), F.when(query == "?", "").otherwise(query))
+    return p.select("page_id", F.when(ok, host).alias("domain"), F.when(ok, url).alias("canonical_url"), ok.alias("allowed"))
 
 
 def p6_web_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages without tags within 6000 characters each and 20 000 for a host, in page order."""
+    """Pages of allowed domains without tags, within 6000 characters each and 20 000 for a host, in page order."""
     p = table(spark, sf_dir, "pages")
     text = F.trim(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), SPACE, " "))
-    host = F.regexp_extract("url", "^[A-Za-z]+://([^/?#]*)", 1)
-    sized = p.select("page_id", host.alias("host"), F.least(F.length(text), F.lit(6000)).alias("n"))
+    host = F.lower(F.regexp_extract("url", _AUTHORITY, 1))
+    sized = p.select("page_id", host.alias("host"), F.least(F.length(text), F.lit(6000)).alias("n")).where(allowed_hosts(F.col("host"), ALLOWED))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("host").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return sized.withColumn("before", before).where("before < 20000").select("page_id", "host", F.least("n", 20000 - F.col("before")).cast("long").alias("used"))
 
 
+def query_reason(c: Column | str) -> Column:
+    """Why a text can't serve as a retrieval query; ok if it can. Control characters count before white space collapses."""
+    c = F.col(c) if isinstance(c, str) else c
+    bad = F.exists(F.array(*[F.lit(m) for m in QUERY_MARKERS]), lambda m: F.contains(F.lower(collapsed(c)), m))
+    return F.when(c.rlike("\\p{Cc}"), "control").when(~F.length(collapsed(c)).between(*QUERY_LENGTH), "length").when(bad, "marker").otherwise("ok")
+
+
 def p10_query_validator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a user's turn can serve as a query: 3 to 500 characters, no control characters, no instruction markers."""
+    """Users' turns by whether they can serve as a query, and by whether they may go to the public regulatory web."""
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
-    markers = ["ignore previous", "system prompt", "<script", "```", "http://", "drop table"]  # fixed values
-    bad = F.exists(F.array(*[F.lit(m) for m in markers]), lambda m: F.contains(F.lower("text"), m))
-    reason = F.when(F.col("text").rlike("[\\x00-\\x1F\\x7F]"), "control").when(~F.length("text").between(3, 500), "length").when(bad, "marker").otherwise("ok")
-    return c.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    public = F.exists(F.array(*[F.lit(m) for m in PUBLIC_MARKERS]), lambda m: F.contains(F.lower(collapsed(F.col("text"))), m))
+    return c.groupBy(query_reason("text").alias("reason"), public.alias("public")).agg(F.count("*").alias("n"))
 
 
 def p12_cell_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,41 +245,41 @@ def p12_cell_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.length(cell).cast("long").alias("shown"), F.md5(cell).alias("cell_md5"))
 
 
-def d1_guardrail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decision for each document's text: secrets block, personal data is redacted, the rest passes."""
-    found = f3_sensitive_scan(spark, sf_dir)
-    secret = F.arrays_overlap(F.split("kinds", ","), F.array(*[F.lit(s) for s in SECRETS]))
-    decided = found.select("doc_id", F.when(secret, "block").otherwise("redact").alias("action"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return d.join(decided, "doc_id", "left").groupBy("source", F.coalesce("action", F.lit("allow")).alias("action")).agg(F.count("*").alias("n"))
-
-
-QUERIES = {f.__name__: f for f in (f1_canonicalize, f3_sensitive_scan, f5_redact, f7_sentences, f10_faithfulness, f17_unsupported_claims, f18_citations, f22_rollout_bucket, f23_canonical_url, p6_web_text, p10_query_validator, p12_cell_bound, d1_guardrail)}
+QUERIES = {f.__name__: f for f in (f1_canonicalize, f3_sensitive_scan, f5_redact, f7_sentences, f10_faithfulness, f17_unsupported_claims, f22_rollout_bucket, f23_canonical_url, p6_web_text, p10_query_validator, p12_cell_bound)}
 
 _WORDS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda x: length(x) > 2))"
 _FLAT = "trim(regexp_replace({0}, '[ \\t\\n\\r]+', ' ', 'g'))"
 _SENTENCES = "list_filter(string_split(regexp_replace(" + _FLAT + ", '([.!?]) ', '\\1' || chr(10), 'g'), chr(10)), lambda x: x <> '')"
+_REFINER = "list_filter(string_split(regexp_replace(" + _FLAT + ", '([.!?]) ([A-Z0-9(])', '\\1' || chr(10) || '\\2', 'g'), chr(10)), lambda x: x <> '')"
 _SHARE = "case when len({0}) = 0 or len({1}) = 0 then 0.0 else len(list_intersect({0}, {1})) / len({0}) end"
-_DIGITS = "list_transform(regexp_extract_all(text, '" + PATTERNS["card"] + "'), lambda x: regexp_replace(x, '[^0-9]', '', 'g'))"
+#: RE2 has no look-around: a digit's edge is matched as another character.
+_SQL_PATTERNS = PATTERNS | {"phone": r"(?:^|[^0-9])(?:\+?91[-\s]?)?[6-9][0-9]{9}(?:[^0-9]|$)", "aadhaar": r"(?:^|[^0-9])[0-9]{4}[-\s]?[0-9]{4}[-\s]?[0-9]{4}(?:[^0-9]|$)"}
+_DIGITS = r"list_transform(regexp_extract_all({0}, '(?:^|[^0-9])((?:[0-9][-\s]?){{13,19}})(?:[^0-9]|$)', 1), lambda x: regexp_replace(x, '[^0-9]', '', 'g'))"
 _LUHN = "list_sum(list_transform(range(length(x)), lambda i: case when i % 2 = 1 then (2 * substr(reverse(x), i + 1, 1)::int) // 10 + (2 * substr(reverse(x), i + 1, 1)::int) % 10 else substr(reverse(x), i + 1, 1)::int end)) % 10 = 0"
-_SCAN = f"""scan as (select doc_id, source, text, {", ".join(f"regexp_matches(text, '{p}') as {k}" for k, p in PATTERNS.items() if k != "card")}, len(list_filter({_DIGITS}, lambda x: {_LUHN})) > 0 as card from documents),
-found as (select doc_id, source, concat_ws(',', {", ".join(f"case when {k} then '{k}' end" for k in sorted(PATTERNS))}) kinds, greatest({", ".join(f"case when {k} then {v}::double else 0.0::double end" for k, v in SCORES.items())}) score, jwt or api_key as secret from scan)"""
-_REDACTED = "text"
-for _k in ("jwt", "api_key", "email", "phone", "pan", "aadhaar"):
-    _REDACTED = f"regexp_replace({_REDACTED}, '{PATTERNS[_k]}', '[REDACTED:{_k.upper()}]', 'g')"
+
+
+def sql_holds(text: str, kind: str) -> str:
+    """DuckDB: whether a text holds a kind."""
+    if kind == "card":
+        return f"len(list_filter({_DIGITS.format(text)}, lambda x: length(x) between 13 and 19 and {_LUHN})) > 0"
+    return f"regexp_matches({text}, '{_SQL_PATTERNS[kind]}')"
+
+
+def sql_findings(text: str) -> str:
+    """DuckDB: a list of details, nulls between them, in the order of FINDINGS."""
+    return "[" + ", ".join(f"case when {' or '.join(sql_holds(text, k) for k in kinds)} then '{detail}' end" for _, detail, _, kinds in FINDINGS) + "]"
+
+
 _TURNS = "t as (select q.conv_id, q.turn, q.text question, a.text answer from conversations q join conversations a on a.conv_id = q.conv_id and a.turn = q.turn + 1 where q.role = 'user' and a.role = 'assistant')"
 
 ORACLES = {
-    "f3_sensitive_scan": f"with {_SCAN} select doc_id, kinds, score from found where score > 0",
-    "f5_redact": f"select doc_id, md5({_REDACTED}) redacted_md5, {_REDACTED} <> text as changed from documents",
-    "f7_sentences": f"select conv_id, turn, (generate_subscripts(s, 1) - 1)::int pos, unnest(s) sentence from (select conv_id, turn, {_SENTENCES.format('text')} s from conversations)",
+    "f3_sensitive_scan": f"with f as (select doc_id, list_filter({sql_findings('text')}, lambda x: x is not null) f from documents) select doc_id, array_to_string(f, ',') details, list_max(list_transform(f, lambda x: case x when 'credential_shaped_token' then 1.0::double when 'contact_identifier' then 0.8::double when 'government_id' then 0.95::double else 0.9::double end)) score from f where len(f) > 0",
+    "f7_sentences": f"select conv_id, turn, (generate_subscripts(s, 1) - 1)::int pos, unnest(s) sentence from (select conv_id, turn, {_REFINER.format('text')} s from conversations)",
     "f10_faithfulness": f"with {_TURNS}, w as (select *, {_WORDS.format('answer')} a, {_WORDS.format('question')} q from t) select conv_id, turn, round({_SHARE.format('a', 'q')}, 6) faithfulness, (case when len(a) = 0 then 0.0 when not ({' or '.join(f'contains(lower(answer), {chr(39)}{r.replace(chr(39), chr(39) * 2)}{chr(39)})' for r in REFUSALS)}) then 1.0 when len(a) <= 25 then 0.3 else 0.7 end)::double answerability from w",
-    "f17_unsupported_claims": f"with s as (select doc_id, {_SENTENCES.format('text')} s from documents), e as (select doc_id, s[1] as first, (generate_subscripts(s, 1) - 1)::int pos, unnest(s) sentence from s where len(s) > 1), w as (select doc_id, pos, {_WORDS.format('sentence')} a, {_WORDS.format('first')} b from e where pos > 0 and regexp_matches(lower(sentence), '{ABSOLUTE}')) select doc_id, pos, round({_SHARE.format('a', 'b')}, 6) as overlap from w where round({_SHARE.format('a', 'b')}, 6) < 0.4",
-    "f18_citations": r"select cited, count(*) documents from (select doc_id, len(list_distinct(list_filter(list_transform(flatten(list_transform(regexp_extract_all(text, '\[([^\[\]]+)\]', 1), lambda x: regexp_split_to_array(x, '[,;]'))), lambda x: trim(x)), lambda x: x <> '')))::int cited from documents) group by 1",
+    "f17_unsupported_claims": f"with {_TURNS}, k as (select conv_id, turn, question, answer || ' It must always hold that ' || array_to_string(string_split(case when turn % 4 = 0 then question else answer end, ' ')[1:8], ' ') || '.' answer from t), s as (select conv_id, turn, {_WORDS.format('question')} c, {_SENTENCES.format('answer')} s from k), e as (select conv_id, turn, c, (generate_subscripts(s, 1) - 1)::int pos, unnest(s) sentence from s), w as (select conv_id, turn, pos, c, {_WORDS.format('sentence')} a from e where regexp_matches(sentence, '{ABSOLUTE.replace(chr(39), chr(39) * 2)}')) select conv_id, turn, pos, round(len(list_intersect(a, c)) / len(a), 6) as overlap from w where len(a) > 0 and round(len(list_intersect(a, c)) / len(a), 6) < 0.4",
     "f22_rollout_bucket": "select user_id, b bucket, b < 2500 treatment from (select user_id, (('0x' || substr(sha256('reranker:v1' || chr(0) || user_id::varchar), 1, 16))::ubigint % 10000)::int b from (select distinct user_id from events))",
-    "f23_canonical_url": "select page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^www[.]', '') host, case when regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) = '' then '/' else regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) end path, starts_with(url, 'https://') and not contains(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1), '@') allowed from pages",
-    "p6_web_text": f"with s as (select page_id, regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) host, least(length({_FLAT.format(chr(39).join(['regexp_replace(html, ', '<[^>]*>', ', ', ' ', ', ', 'g', ')']))}), 6000) n from pages), b as (select *, coalesce(sum(n) over (partition by host order by page_id rows between unbounded preceding and 1 preceding), 0) before from s) select page_id, host, least(n, 20000 - before)::bigint used from b where before < 20000",
-    "p10_query_validator": r"select case when regexp_matches(text, '[\x00-\x1F\x7F]') then 'control' when not length(text) between 3 and 500 then 'length' when contains(lower(text), 'ignore previous') or contains(lower(text), 'system prompt') or contains(lower(text), '<script') or contains(lower(text), '```') or contains(lower(text), 'http://') or contains(lower(text), 'drop table') then 'marker' else 'ok' end reason, count(*) n from conversations where role = 'user' group by 1",
+    "f23_canonical_url": f"with p as (select page_id, url, regexp_extract(url, '{_AUTHORITY}', 1) a, regexp_replace(regexp_replace(lower(regexp_replace(regexp_extract(url, '{_AUTHORITY}', 1), ':[0-9]*$', '')), '[.]+$', ''), '^www[.]', '') host, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) path, regexp_extract(url, '^[^?#]*(\\?[^#]*)', 1) q from pages), k as (select *, starts_with(lower(url), 'https://') and not contains(a, '@') and host <> '' and ({' or '.join(f"host = '{d}' or ends_with(host, '.{d}')" for d in ALLOWED)}) ok from p) select page_id, case when ok then host end as domain, case when ok then 'https://' || a || case when path = '' then '/' else path end || case when q = '?' then '' else q end end canonical_url, ok allowed from k",
+    "p6_web_text": f"with s as (select page_id, lower(regexp_extract(url, '{_AUTHORITY}', 1)) host, least(length({_FLAT.format(chr(39).join(['regexp_replace(html, ', '<[^>]*>', ', ', ' ', ', ', 'g', ')']))}), 6000) n from pages), k as (select * from s where {' or '.join(f"host = '{d}' or ends_with(host, '.{d}')" for d in ALLOWED)}), b as (select *, coalesce(sum(n) over (partition by host order by page_id rows between unbounded preceding and 1 preceding), 0) before from k) select page_id, host, least(n, 20000 - before)::bigint used from b where before < 20000",
+    "p10_query_validator": f"with c as (select text, lower({_FLAT.format('text')}) flat from conversations where role = 'user') select case when regexp_matches(text, '\\p{{Cc}}') then 'control' when not length(flat) between 3 and 500 then 'length' when {' or '.join(f"contains(flat, '{m}')" for m in QUERY_MARKERS)} then 'marker' else 'ok' end reason, {' or '.join(f"contains(flat, '{m}')" for m in PUBLIC_MARKERS)} as public, count(*) n from c group by all",
     "p12_cell_bound": "select doc_id, length(c)::bigint shown, md5(c) cell_md5 from (select doc_id, case when length(text) > 2000 then substring(text, 1, 2000) || '…' else text end c from documents)",
-    "d1_guardrail": f"with {_SCAN} select source, case when secret then 'block' when score > 0 then 'redact' else 'allow' end as action, count(*) n from found group by all",
 }

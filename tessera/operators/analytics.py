@@ -50,9 +50,36 @@ def q4_revenue_by_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q5_outer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers without orders, by segment."""
+    """Customers and accounts joined outright: rows with both sides, without accounts, without a customer, by segment."""
     c, o = governed(spark, sf_dir, "customers"), governed(spark, sf_dir, "accounts")
-    return c.join(o, F.col("o_custkey") == F.col("c_custkey"), "left_anti").groupBy("c_mktsegment").agg(F.count("*").alias("idle"))
+    both = c.join(o.where("o_orderstatus = 'F'"), F.col("o_custkey") == F.col("c_custkey"), "full")
+    return both.groupBy("c_mktsegment").agg(F.count_if(F.col("o_orderkey").isNotNull() & F.col("c_custkey").isNotNull()).alias("matched"), F.count_if(F.col("o_orderkey").isNull()).alias("without_account"), F.count_if(F.col("c_custkey").isNull()).alias("without_customer"))
+
+
+def q5_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts of each customer, 0 where there are none."""
+    c, o = governed(spark, sf_dir, "customers"), governed(spark, sf_dir, "accounts")
+    return c.join(o, F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("accounts"))
+
+
+def q8_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return governed(spark, sf_dir, "accounts").select("o_orderstatus", "o_orderpriority").distinct()
+
+
+def q11_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of 100 of the greatest accounts."""
+    o = governed(spark, sf_dir, "accounts")
+    return o.orderBy(F.desc_nulls_first("o_totalprice"), "o_orderkey").offset(100).limit(100).select("o_orderkey", "o_totalprice")
+
+
+def q13_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = governed(spark, sf_dir, "transactions")
+    return t.cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.grouping_id().cast("int").alias("level"))
+
+
+def q13_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = governed(spark, sf_dir, "transactions")
+    return t.groupingSets([[F.col("l_returnflag")], [F.col("l_linestatus")], []], "l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
 
 
 def q6_pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,10 +118,16 @@ def q14_date_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q17_byte_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of each source in id order while their UTF-8 bytes stay within the budget; the crossing row goes whole."""
-    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.octet_length("text").alias("bytes"))
-    total = F.sum("bytes").over(Window.partitionBy("source").orderBy("doc_id"))
-    return d.withColumn("total", total).where(F.col("total") <= MAX_BYTES).groupBy("source").agg(F.count("*").alias("rows"), F.max("total").alias("bytes_returned"))
+    """What a statement over each source's documents in id order returns: MAX_ROWS rows at most, and within MAX_BYTES; the row
+    that crosses the budget is dropped whole, its bytes are counted. truncated: whether rows are left over. Only the first
+    MAX_ROWS + 1 rows of a source leave a partition."""
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))
+    by_source = Window.partitionBy("source").orderBy("doc_id")
+    fetched = d.withColumn("place", F.row_number().over(by_source)).where(F.col("place") <= MAX_ROWS + 1)
+    total = fetched.withColumn("total", F.sum("bytes").over(by_source.rowsBetween(Window.unboundedPreceding, 0)))
+    inside = (F.col("total") <= MAX_BYTES) & (F.col("place") <= MAX_ROWS)
+    reached = (F.col("total") - F.col("bytes") <= MAX_BYTES) & (F.col("place") <= MAX_ROWS)
+    return total.groupBy("source").agg(F.count_if(inside).alias("rows"), F.coalesce(F.max(F.when(reached, F.col("total"))), F.lit(0)).alias("bytes_returned"), (F.count("*") > F.count_if(inside)).alias("truncated"))
 
 
 def q19_masked_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,20 +236,45 @@ def d7_crag_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select("conv_id", "coverage", decision.alias("decision"))
 
 
-def d16_proposal_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users' events as proposals: a signup or view proposes, a click approves within 300 seconds or finds it expired, a
-    purchase after that executes, an error fails. The state after each user's last event."""
-    e = table(spark, sf_dir, "events").withColumn("s", F.unix_timestamp("ts"))
-    by_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    before, at = F.lag("event_type").over(by_user), F.lag("s").over(by_user)
-    state = (
-        F.when(F.col("event_type").isin("signup", "view"), "proposed")
-        .when((F.col("event_type") == "click") & F.col("before").isin("signup", "view"), F.when(F.col("s") - F.col("at") <= 300, "executing").otherwise("expired"))
-        .when((F.col("event_type") == "purchase") & (F.col("before") == "click"), "executed")
-        .when(F.col("event_type") == "error", "failed")
-        .otherwise("ignored")
-    )
-    return e.withColumns({"before": before, "at": at}).groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+def a5_bypass_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rewrites by feature: why they were left out (k below 20: disabled, from 80 on: too short), tokens, rate of fallbacks."""
+    t = telemetry(spark, sf_dir)
+    reason = lambda name, c: F.count_if(c).alias(f"bypass_{name}")
+    return t.groupBy("feature").agg(F.count("*").alias("n"), reason("disabled", F.col("k") < 20), reason("too_short", F.col("k") >= 80), F.sum("k").alias("tokens"), F.round(F.avg(F.col("fallback").cast("int")), 6).alias("fallback_rate"))
+
+
+def a7_reflection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reflection runs, served and shadow apart: iterations are k modulo 3 and 1, accepted from k = 30 on, abstained from 95 on;
+    rates of first-pass acceptance, revision, abstention and fallback, mean iterations."""
+    t = telemetry(spark, sf_dir).select((F.col("user_id") % 2 == 0).alias("served"), "feature", (F.col("k") % 3 + 1).alias("i"), (F.col("k") >= 30).alias("ok"), (F.col("k") >= 95).alias("abstain"), "fallback")
+    rate = lambda c, name: F.round(F.avg(c.cast("int")), 6).alias(name)
+    return t.groupBy("served", "feature").agg(F.count("*").alias("n"), rate(F.col("ok") & (F.col("i") <= 1), "first_pass"), rate(F.col("i") > 1, "revised"), rate(F.col("abstain"), "abstained"), rate(F.col("fallback"), "fallback_rate"), F.round(F.avg("i"), 6).alias("mean_iterations"))
+
+
+def a11_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's features as health checks: ok if none has seen an error, else degraded."""
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.bool_and(F.col("event_type") != "error").alias("ok"))
+    return e.select("user_id", F.when(F.col("ok"), "ok").otherwise("degraded").alias("status"))
+
+
+def u1_attempted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases that were scored (labels) or skipped (items), each once."""
+    return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")).union(table(spark, sf_dir, "benchmark").select("item_id")).distinct()
+
+
+def u3_source_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of documents and of embedded documents: what either has alone; empty if a cut-over may go on."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    held = d.join(table(spark, sf_dir, "embeddings").where("label is not null").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
+    one, two = d.select("source").distinct(), held.select("source").distinct()
+    return one.exceptAll(two).withColumn("only_in", F.lit("documents")).unionByName(two.exceptAll(one).withColumn("only_in", F.lit("embedded")))
+
+
+def u4_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Local and web evidence as one table, by origin and host or source."""
+    local = table(spark, sf_dir, "documents").select(F.lit("local").alias("origin"), F.col("source").alias("place"))
+    web = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[A-Za-z]+://([^/?#]*)", 1).alias("place"), F.lit("web").alias("origin"))
+    return local.unionByName(web).groupBy("origin", "place").agg(F.count("*").alias("n"))
 
 
 def s1_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,25 +290,30 @@ def s2_ingestion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("lang").agg(F.count("*").alias("discovered"), F.count_if(F.col("ingestion_status") == "active").alias("succeeded"), F.countDistinct("source").alias("sources"), F.sum("n_chars").alias("chars"))
 
 
-_ALL = [q4_revenue_by_branch, q5_outer_join, q6_pricing_summary, q7_distinct_customers, q10_limited_scan, q12_windowed_share, q13_rollup, q14_date_arithmetic, q17_byte_budget, q19_masked_projection, i1_history_page, i2_conversation_thread, i3_conversation_search, i5_latest_state, i8_upsert, i11_row_diff, i17_sources, a1_rolling_stats, a6_decision_counts, a8_cache_tiers, a9_label_agreement, w6_sliding_count, u2_report_diff, d7_crag_decision, d16_proposal_lifecycle, s1_chunks, s2_ingestion_report]
+_ALL = [q4_revenue_by_branch, q5_outer_join, q5_left_join, q6_pricing_summary, q7_distinct_customers, q8_distinct, q10_limited_scan, q11_offset, q12_windowed_share, q13_rollup, q13_cube, q13_grouping_sets, q14_date_arithmetic, q17_byte_budget, q19_masked_projection, i1_history_page, i2_conversation_thread, i3_conversation_search, i5_latest_state, i8_upsert, i11_row_diff, i17_sources, a1_rolling_stats, a5_bypass_reasons, a6_decision_counts, a7_reflection, a8_cache_tiers, a9_label_agreement, a11_health, w6_sliding_count, u1_attempted, u2_report_diff, u3_source_sets, u4_evidence, d7_crag_decision, s1_chunks, s2_ingestion_report]
 QUERIES = {f.__name__: f for f in _ALL}
 
 _RANK = "list_sort(list(duration_ms))[least(count(*) - 1, floor(count(*) * {0}))::int + 1]"
 _TELEMETRY = "t as (select event_type feature, ts, event_id, user_id, value duration_ms, (props->>'$.k')::int k, (props->>'$.k')::int % 5 = 0 fallback from events)"
-_MAIL = r"regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')"
+_MAIL = r"regexp_matches(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b')"
 _WORDS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda x: length(x) > 2))"
 _FLAT = "trim(regexp_replace(question, '[ \\t\\n\\r]+', ' ', 'g'))"
 
 ORACLES = {
     "q4_revenue_by_branch": "select r_name, n_name, count(*) orders, round(sum(o_totalprice::decimal(18,2))::double, 2) revenue from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by all",
-    "q5_outer_join": "select c_mktsegment, count(*) idle from customer where c_custkey not in (select o_custkey from orders) group by 1",
+    "q5_outer_join": "select c_mktsegment, count(*) filter (o_orderkey is not null and c_custkey is not null) matched, count(*) filter (o_orderkey is null) without_account, count(*) filter (c_custkey is null) without_customer from customer full join (select * from orders where o_orderstatus = 'F') o on o_custkey = c_custkey group by 1",
+    "q5_left_join": "select c_custkey, count(o_orderkey) accounts from customer left join orders on o_custkey = c_custkey group by 1",
+    "q8_distinct": "select distinct o_orderstatus, o_orderpriority from orders",
+    "q11_offset": "select o_orderkey, o_totalprice from orders order by o_totalprice desc nulls first, o_orderkey limit 100 offset 100",
+    "q13_cube": "select l_returnflag, l_linestatus, count(*) n, grouping_id(l_returnflag, l_linestatus)::int as level from lineitem group by cube (l_returnflag, l_linestatus)",
+    "q13_grouping_sets": "select l_returnflag, l_linestatus, count(*) n from lineitem group by grouping sets ((l_returnflag), (l_linestatus), ())",
     "q6_pricing_summary": "select l_returnflag, l_linestatus, sum(l_quantity::bigint)::bigint sum_qty, round(sum(l_extendedprice::decimal(18,2))::double, 2) sum_price, round(sum(l_extendedprice::decimal(18,2) * (1 - l_discount::decimal(18,2)))::double, 4) sum_paid, count(*) n from lineitem where l_shipdate <= timestamp '1998-09-02' group by all",
     "q7_distinct_customers": "select o_orderpriority, count(distinct o_custkey) customers from orders group by 1 having count(distinct o_custkey) > 1",
     "q10_limited_scan": "select o_orderkey, o_totalprice from orders order by o_totalprice desc nulls first, o_orderkey limit 200",
     "q12_windowed_share": "with o as (select o_orderstatus, o_orderpriority, sum(o_totalprice::decimal(18,2)) total from orders group by all) select o_orderstatus, o_orderpriority, round(total::double / sum(total) over (partition by o_orderstatus)::double, 6) as share from o",
     "q13_rollup": "select l_returnflag, l_linestatus, count(*) n, sum(l_quantity::bigint)::bigint qty from lineitem group by rollup (l_returnflag, l_linestatus)",
     "q14_date_arithmetic": "select date_trunc('month', o_orderdate)::date as month, count(*) n from orders where o_orderdate >= (select max(o_orderdate) from orders) - interval 1 year group by 1",
-    "q17_byte_budget": "select source, count(*) as rows, max(total)::bigint bytes_returned from (select source, sum(strlen(text)) over (partition by source order by doc_id) total from documents) where total <= 250000 group by 1",
+    "q17_byte_budget": "with d as (select source, coalesce(strlen(text), 0) b, row_number() over (partition by source order by doc_id) p, sum(coalesce(strlen(text), 0)) over (partition by source order by doc_id) t from documents) select source, count(*) filter (t <= 250000 and p <= 200) as rows, coalesce(max(t) filter (t - b <= 250000 and p <= 200), 0)::bigint bytes_returned, count(*) > count(*) filter (t <= 250000 and p <= 200) truncated from d group by 1",
     "q19_masked_projection": "select c_custkey, '***' harmless, c_mktsegment from customer",
     "i1_history_page": "select user_id, place::int place, event_id from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) place from events) where place between 21 and 40",
     "i2_conversation_thread": f"with f as (select conv_id, arg_min(text, turn) question from conversations where role = 'user' group by 1), s as (select conv_id, min(turn) first_turn, max(turn) last_turn, least(count(*), 200) shown from conversations group by 1) select conv_id, first_turn, last_turn, shown, case when length({_FLAT}) <= 60 then {_FLAT} else regexp_replace(substring({_FLAT}, 1, 60), ' [^ ]*$', '') || '…' end title from s left join f using (conv_id)",
@@ -266,7 +329,12 @@ ORACLES = {
     "w6_sliding_count": "select event_id, count(*) over (partition by user_id order by s range between 3600 preceding and current row) within_hour from (select *, epoch(date_trunc('second', ts))::bigint s from events)",
     "u2_report_diff": "select item_id, 'unlabelled' side from benchmark where item_id not in (select doc_id from labels) union all select item_id, 'unscored' from benchmark where item_id not in (select doc_id from documents)",
     "d7_crag_decision": f"with t as (select q.conv_id, q.turn, q.text question, a.text answer from conversations q join conversations a on a.conv_id = q.conv_id and a.turn = q.turn + 1 where q.role = 'user' and a.role = 'assistant'), g as (select conv_id, turn, case when len({_WORDS.format('question')}) = 0 then 0 else len(list_intersect({_WORDS.format('question')}, {_WORDS.format('answer')})) / len({_WORDS.format('question')}) end r, row_number() over (partition by conv_id order by turn) n from t), s as (select conv_id, round(max(r), 6) coverage, bool_or(round(r, 6) >= 0.5) supportive from g where n <= 8 group by 1) select conv_id, coverage, case when coverage >= 0.7 and supportive then 'correct' when coverage < 0.5 and not supportive then 'incorrect' else 'ambiguous' end decision from s",
-    "d16_proposal_lifecycle": "with e as (select event_type, epoch(date_trunc('second', ts)) s, lag(event_type) over w as before, lag(epoch(date_trunc('second', ts))) over w as seen from events window w as (partition by user_id order by ts, event_id)) select case when event_type in ('signup', 'view') then 'proposed' when event_type = 'click' and before in ('signup', 'view') then case when s - seen <= 300 then 'executing' else 'expired' end when event_type = 'purchase' and before = 'click' then 'executed' when event_type = 'error' then 'failed' else 'ignored' end state, count(*) n from e group by 1",
+    "a5_bypass_reasons": f"with {_TELEMETRY} select feature, count(*) n, count(*) filter (k < 20) bypass_disabled, count(*) filter (k >= 80) bypass_too_short, sum(k)::bigint tokens, round(avg(fallback::int), 6) fallback_rate from t group by 1",
+    "a7_reflection": f"with {_TELEMETRY} select user_id % 2 = 0 served, feature, count(*) n, round(avg((k >= 30 and k % 3 = 0)::int), 6) first_pass, round(avg((k % 3 > 0)::int), 6) revised, round(avg((k >= 95)::int), 6) abstained, round(avg(fallback::int), 6) fallback_rate, round(avg(k % 3 + 1), 6) mean_iterations from t group by all",
+    "a11_health": "select user_id, case when bool_or(event_type = 'error') then 'degraded' else 'ok' end status from events group by 1",
+    "u1_attempted": "select doc_id id from labels union select item_id from benchmark",
+    "u3_source_sets": "with h as (select distinct source from documents where doc_id in (select vec_id from embeddings where label is not null)) select distinct source, 'documents' only_in from documents where source not in (select source from h) union all select source, 'embedded' from h where source not in (select source from documents)",
+    "u4_evidence": "select origin, place, count(*) n from (select 'local' origin, source place from documents union all select 'web', regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) from pages) group by all",
     "s1_chunks": "with d as (select doc_id, string_split(text, ' ') w from documents), c as (select doc_id, w, unnest(range(((len(w) - 1) // 200) + 1))::int as chunk from d) select doc_id, chunk, (chunk // 5 + 1)::int page_number, md5(array_to_string(w[chunk * 200 + 1 : chunk * 200 + 200], ' ')) text_md5 from c",
     "s2_ingestion_report": f"select lang, count(*) discovered, count(*) filter (not {_MAIL}) succeeded, count(distinct source) sources, sum(n_chars)::bigint chars from documents group by 1",
 }

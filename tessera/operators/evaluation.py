@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import PATTERNS, card_numbers
+from tessera.functions.text import PATTERNS, holds, sql_holds
 from tessera.operators.retrieval import bm25
 from tessera.sources.tables import corpus, table, telemetry
 
@@ -77,8 +77,7 @@ def a13_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds of personal data and secrets in each source's documents, sorted."""
     d = table(spark, sf_dir, "documents")
     kinds = sorted(PATTERNS)
-    holds = {k: F.size(card_numbers("text")) > 0 if k == "card" else F.col("text").rlike(PATTERNS[k]) for k in kinds}
-    found = d.groupBy("source").agg(*[F.bool_or(holds[k]).alias(k) for k in kinds])
+    found = d.groupBy("source").agg(*[F.bool_or(holds("text", k)).alias(k) for k in kinds])
     return found.select("source", F.array_join(F.array_compact(F.array(*[F.when(F.col(k), F.lit(k)) for k in kinds])), ",").alias("categories"))
 
 
@@ -106,6 +105,6 @@ ORACLES = {
     "i15_stale_reclaim": "with e as (select *, max(case when event_type = 'purchase' then 1 end) over (partition by user_id order by ts, event_id rows between 1 following and unbounded following) later from events) select case when ts < (select max(ts) from events) - interval 5 minutes then 'failed' else 'executing' end state, count(*) n, count(distinct user_id) users from e where event_type = 'click' and later is null group by 1",
     "s5_delete_and_approve": f"with s as (select source, count(*) n from documents group by 1), g as (select (select source from s order by n desc, source desc limit 1) gone, (select source from s order by n, source limit 1) approved) select source, case when source = approved or not {_MAIL} then 'active' else 'quarantined' end ingestion_status, count(*) n from documents, g where source <> gone group by all",
     "s15_cutover_check": "select source, count(*) documents, count(v) embedded, count(*) = count(v) complete from documents left join (select distinct vec_id v from embeddings) on v = doc_id group by 1",
-    "a13_categories": "select source, concat_ws(',', " + ", ".join(f"case when bool_or(regexp_matches(text, '{PATTERNS[k]}')) then '{k}' end" for k in sorted(PATTERNS) if k != "card") + ") categories from documents group by 1",
+    "a13_categories": "select source, concat_ws(',', " + ", ".join(f"case when bool_or({sql_holds('text', k)}) then '{k}' end" for k in sorted(PATTERNS)) + ") categories from documents group by 1",
     "f25_date_parts": "select year(o_orderdate)::int y, quarter(o_orderdate)::int q, count(*) n, min(date_trunc('week', o_orderdate))::date first_week, max(dayofyear(o_orderdate))::int last_day from orders group by all",
 }

@@ -197,7 +197,7 @@ def r20_char_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (r1_dense_knn, r2_bm25, r3_hybrid_rrf, r6_embedding_fusion, r9_rerank, r14_semantic_cache, r16_cache_key, r17_embedding_memo, r18_evidence_dedupe, r20_char_budget)}
 
 _COSINE = "round(list_dot_product(a.embedding::double[], b.embedding::double[]) / (sqrt(list_dot_product(a.embedding::double[], a.embedding::double[])) * sqrt(list_dot_product(b.embedding::double[], b.embedding::double[]))), 9)"
-_ACTIVE = r"active as (select doc_id id, text from documents where not regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'))"
+_ACTIVE = r"active as (select doc_id id, text from documents where not regexp_matches(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b'))"
 _BM25 = f"""{_ACTIVE}, asked as (select distinct item_id query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) term from benchmark),
 post as (select id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) dl, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) term from active),
 tf as (select term, id, dl, count(*) tf from post where term in (select term from asked) group by all), df as (select term, count(*) df from tf group by all),

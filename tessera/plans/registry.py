@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.functions import text
-from tessera.operators import analytics, evaluation, retrieval
+from tessera.functions import answers, guardrails, text
+from tessera.operators import analytics, evaluation, lifecycle, retrieval
 from tessera.streaming import events
 
-MODULES = [retrieval, text, analytics, evaluation, events]
+MODULES = [retrieval, text, guardrails, answers, analytics, lifecycle, evaluation, events]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

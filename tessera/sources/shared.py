@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new place below spark.checkpoint.dir; below a folder of our own where that is unset (local runs)."""
+    """A new place below spark.checkpoint.dir; below a folder of our own where that is unset and all runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: What makes a document wait for approval: an e-mail address in its text.
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+#: Fixed value: an e-mail address. One in its text makes a document wait for approval.
+EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

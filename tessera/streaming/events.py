@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,11 +82,20 @@ def st2_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(out)
 
 
+def _newer(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    rows = pd.concat(list(frames)).sort_values("event_id")
+    mark = state.get[0] if state.exists else -(1 << 62)
+    times = rows["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+    marks = np.maximum.accumulate(np.append(mark, times))
+    state.update((int(marks[-1]),))
+    yield pd.DataFrame({"user_id": rows["user_id"], "event_id": rows["event_id"], "applied": times > marks[:-1]})
+
+
 def st3_high_water_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events joined as a stream with the static labels of their users, newest value by user taken from what was written."""
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("user_id"), "quality").dropDuplicates(["user_id"])
-    seen = drained(stream(spark, sf_dir).select("user_id", "event_id", "ts").join(labels, "user_id"))
-    return seen.groupBy("user_id", "quality").agg(F.max("ts").alias("updated_at"), F.count("*").alias("n"))
+    """Whether each change (event, in order of arrival) of a user's setting is applied: only if it is strictly newer than all
+    before. What a key holds is one time."""
+    keyed = stream(spark, sf_dir).select("user_id", "event_id", "ts").groupBy("user_id")
+    return drained(keyed.applyInPandasWithState(_newer, "user_id long, event_id long, applied boolean", "mark long", "append", GroupStateTimeout.NoTimeout))
 
 
 QUERIES = {f.__name__: f for f in (st_tumbling, st_sessions, st2_rate_limit, st3_high_water_mark)}
@@ -93,5 +103,5 @@ QUERIES = {f.__name__: f for f in (st_tumbling, st_sessions, st2_rate_limit, st3
 ORACLES = {
     "st_tumbling": "with e as (select *, time_bucket(interval 6 hours, ts, timestamp '1970-01-01') s from events) select s as start, event_type, count(*) n, sum(value::decimal(18,2))::double total from e where s + interval 6 hours <= (select max(ts) from events) - interval 10 minutes group by all",
     "st_sessions": "with e as (select user_id, ts, coalesce(ts - lag(ts) over (partition by user_id order by ts) >= interval 12 hours, true)::int as fresh from events), g as (select *, sum(fresh) over (partition by user_id order by ts) k from e), s as (select user_id, min(ts) as start, max(ts) + interval 12 hours as until, count(*) n from g group by user_id, k) select * from s where until <= (select max(ts) from events) - interval 10 minutes",
-    "st3_high_water_mark": "select user_id, quality, max(ts) updated_at, count(*) n from events join (select doc_id user_id, any_value(quality) quality from labels group by 1) using (user_id) group by all",
+    "st3_high_water_mark": "select user_id, event_id, coalesce(ts > max(ts) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), true) applied from events",
 }
