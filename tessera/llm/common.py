@@ -41,7 +41,7 @@ def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     path = f"{shared_folder(spark)}/tessera/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     before = spark.conf.get(BATCH_CONF)
-    spark.conf.set(BATCH_CONF, str(min(int(before), BATCH_ROWS)))
+    spark.conf.set(BATCH_CONF, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
     try:
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     finally:
