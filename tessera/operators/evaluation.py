@@ -29,6 +29,17 @@ def f21_retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranks.select("item_id", "golden", (F.col("hits") > 0).alias("hit"), F.round(F.coalesce(1.0 / F.col("first"), F.lit(0.0)), 6).alias("reciprocal_rank"), F.round(F.col("hits") / F.col("golden"), 6).alias("recall"))
 
 
+def f20_source_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each item with goldens: how many of their sources BM25's first 20 bring, the share, whether any."""
+    d = table(spark, sf_dir, "documents")
+    source = d.select("doc_id", "source")
+    found = bm25(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), d.select(F.col("doc_id").alias("id"), "text"), 20)
+    wanted = goldens(spark, sf_dir).join(source, "doc_id").select("item_id", "source").distinct()
+    actual = found.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id")).join(source, "doc_id").select("item_id", "source").distinct().withColumn("hit", F.lit(1))
+    each = wanted.join(actual, ["item_id", "source"], "left").groupBy("item_id").agg(F.count("*").alias("golden"), F.count("hit").alias("matched"))
+    return each.select("item_id", "golden", "matched", F.round(F.col("matched") / F.col("golden"), 6).alias("ratio"), (F.col("matched") > 0).alias("passed"))
+
+
 def d11_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plans by feature and reason: errors are an emergency, signups are disabled, others by 25 percent roll-out."""
     e = telemetry(spark, sf_dir)
@@ -86,7 +97,7 @@ def f25_date_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy(F.year("o_orderdate").alias("y"), F.quarter("o_orderdate").alias("q")).agg(F.count("*").alias("n"), F.min(F.date_trunc("week", "o_orderdate")).cast("date").alias("first_week"), F.max(F.dayofyear("o_orderdate")).alias("last_day"))
 
 
-_ALL = [f21_retrieval_quality, d11_cohorts, d13_cacheable, i15_stale_reclaim, s5_delete_and_approve, s15_cutover_check, a13_categories, f25_date_parts]
+_ALL = [f20_source_overlap, f21_retrieval_quality, d11_cohorts, d13_cacheable, i15_stale_reclaim, s5_delete_and_approve, s15_cutover_check, a13_categories, f25_date_parts]
 QUERIES = {f.__name__: f for f in _ALL}
 
 _T = "t as (select event_type feature, user_id, (props->>'$.k')::int k, (props->>'$.k')::int % 5 = 0 fallback from events)"
@@ -99,6 +110,7 @@ bm as (select item_id, doc_id, round(sum(w), 6) score from asked join w using (t
 _LINES = "select distinct {0}, line from (select {0}, unnest(string_split(text, chr(10))) line from {1}) where len(string_split(line, ' ')) >= 5"
 
 ORACLES = {
+    "f20_source_overlap": f"with {_BM}, g as (select distinct item_id, doc_id from ({_LINES.format('item_id', 'benchmark')}) join ({_LINES.format('doc_id', 'documents')}) using (line)), wanted as (select distinct item_id, source from g join documents using (doc_id)), found as (select distinct item_id, source, 1 hit from top join documents using (doc_id) where rank <= 20) select item_id, count(*) golden, count(hit) matched, round(count(hit) / count(*), 6)::double ratio, count(hit) > 0 passed from wanted left join found using (item_id, source) group by 1",
     "f21_retrieval_quality": f"with {_BM}, g as (select distinct item_id, doc_id from ({_LINES.format('item_id', 'benchmark')}) join ({_LINES.format('doc_id', 'documents')}) using (line)) select item_id, count(*) golden, count(rank) > 0 hit, round(coalesce(1.0 / min(rank), 0), 6)::double reciprocal_rank, round(count(rank) / count(*), 6)::double recall from g left join (select * from top where rank <= 20) using (item_id, doc_id) group by 1",
     "d11_cohorts": f"with {_T} select feature, case when feature = 'signup' then 'disabled' when feature = 'error' then 'emergency' when ('0x' || substr(sha256('hyde:v1' || chr(0) || user_id::varchar), 1, 16))::ubigint % 10000 < 2500 then 'treatment' else 'control' end reason, count(*) n, count(distinct user_id) users from t group by all",
     "d13_cacheable": f"with {_T}, x as (select feature, not fallback and feature <> 'error' and k >= 50 ok from t) select feature, count(*) filter (ok) cacheable, count(*) filter (not ok) refused from x group by 1",

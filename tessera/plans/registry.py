@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.functions import answers, guardrails, text
-from tessera.operators import analytics, evaluation, lifecycle, retrieval
-from tessera.streaming import events
+from tessera.functions import answers, decoding, guardrails, text
+from tessera.operators import analytics, evaluation, lifecycle, reports, retrieval
+from tessera.streaming import events, state
 
-MODULES = [retrieval, text, guardrails, answers, analytics, lifecycle, evaluation, events]
+MODULES = [retrieval, text, decoding, guardrails, answers, analytics, lifecycle, evaluation, reports, events, state]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
