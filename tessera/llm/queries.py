@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import drop_cut
 from .decontaminate import with_contamination
 from .embeddings import near_duplicate_vectors
 from .licenses import CONFIDENCE, scan_licenses
 from .ngram_join import jaccard_components
 from .packing import pack_documents
 from .paragraphs import duplicate_paragraphs
+from .prefix_trie import prefix_trie, rebuilt, turn_digests
 from .sharding import balanced_shards
 from .suffix_dedup import span_digests
 from .toxicity import score_toxicity
@@ -101,6 +103,15 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), capacity=2048, open_bins=256)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract: the nodes of the rebuilt conversations' trie. An empty table has no nodes, rows without conv_id count for
+    nothing, turns that repeat a number stand in the order of a digest of role and text."""
+    turns, every, spent = rebuilt(turn_digests(_table(spark, sf_dir, "conversations")))
+    found = prefix_trie(turns, every)
+    drop_cut(*spent)
+    return found
+
+
 QUERIES = {
     "op1_balanced_label_propagation": op1_balanced_label_propagation,
     "op2_paragraph_minhash": op2_paragraph_minhash,
@@ -112,12 +123,20 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _DOT = "list_dot_product({0}.v, {1}.v)"
 _REACHED = "r(a, b) as (select id, id from node union select r.a, l.b from r join l on r.b = l.a)"
 
+
+def _crc32(text: str) -> str:
+    """Unsigned crc32 of an ASCII string."""
+    byte = "list_reduce(list_concat([xor(a, b)], [0::ubigint, 0, 0, 0, 0, 0, 0, 0]), lambda v, _: case when v % 2 = 1 then xor(v // 2, 3988292384::ubigint) else v // 2 end)"
+    return f"xor(list_reduce(list_concat([4294967295::ubigint], list_transform(string_split({text}, ''), lambda c: ascii(c)::ubigint)), lambda a, b: {byte}), 4294967295::ubigint)"
+
+
 ORACLES: dict[str, str] = {
     "op7_embedding_pigeonhole": f"""with recursive ok as (select vec_id id, label, embedding::double[] v from embeddings where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0
 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
@@ -129,4 +148,15 @@ s as (select distinct id, unnest(case when len(w) = 0 then [] when len(w) < 3 th
 size as (select id, count(*) n from s group by id), p as (select x.id a, y.id b, count(*) shared from s x join s y on x.g = y.g and x.id <> y.id group by all),
 l as (select a, b from p join size i on i.id = a join size j on j.id = b where 100 * shared >= 90 * (i.n + j.n - shared)), node as (select doc_id id from documents), {_REACHED}
 select r.a doc_id, coalesce(any_value(size.n), 0)::bigint n_shingles, min(r.b) component_id from r left join size on size.id = r.a group by r.a""",
+    "op11_prefix_trie": f"""with t as (select conv_id c, coalesce(role, '') r, coalesce(text, '') t, row_number() over (partition by conv_id order by turn nulls first) p from conversations where conv_id is not null),
+i as (select c, c - c % 100 donor, {_crc32("c::varchar")} % 6 h from (select distinct c from t)),
+b as (select i.c, t.p, t.r, t.t from i join t on t.c = i.donor and t.p <= i.h union all select t.c, t.p, t.r, t.t from t join i using (c) where t.p > i.h),
+s as (select i.c, coalesce(g.s, []) s from i left join (select c, list({{'r': r, 't': t}} order by p) s from b group by c) g using (c)),
+m as (select c, d, s[1:d] k, case when d > 0 then length(s[d].t) else 0 end size, d = len(s) here from s, unnest(range(0, len(s) + 1)) u(d)),
+n as (select k, d, min(c) c, count(*) n, any_value(size) size, coalesce(string_agg(c::varchar, ',' order by c) filter (here), '') ids from m group by k, d),
+kids as (select k[1:d - 1] k, d - 1 d, count(*) n from n where d > 0 group by all),
+full_n as (select n.*, coalesce(kids.n, 0) kids from n left join kids on kids.k = n.k and kids.d = n.d),
+below as (select k[1:e] k, e d, sum((n - 1) * size) saved, count(*) filter (kids = 0) leaves from full_n, unnest(range(0, d + 1)) u(e) group by all)
+select x.c::bigint conv_id, x.d::bigint depth, up.c::bigint parent_conv_id, x.n::bigint n_convs, x.kids::bigint n_children, below.leaves::bigint n_leaves, below.saved::bigint saved_tokens, sha256(x.ids) ends_sha256
+from full_n x join below on below.k = x.k and below.d = x.d left join n up on x.d > 0 and up.d = x.d - 1 and up.k = x.k[1:x.d - 1]""",
 }
