@@ -9,10 +9,13 @@ from .common import drop_cut
 from .decontaminate import with_contamination
 from .embeddings import near_duplicate_vectors
 from .licenses import CONFIDENCE, scan_licenses
+from .merkle import leaf_digest, manifest
 from .ngram_join import jaccard_components
 from .packing import pack_documents
 from .paragraphs import duplicate_paragraphs
 from .prefix_trie import prefix_trie, rebuilt, turn_digests
+from .secret_rules import BASE_RULES
+from .secrets import with_secrets
 from .sharding import balanced_shards
 from .suffix_dedup import span_digests
 from .toxicity import score_toxicity
@@ -112,6 +115,27 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+MANIFEST_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract: every row's leaf and proof; tampering lower-cases the text where 3 divides crc32 of the id (never for a null
+    id)."""
+    low = F.translate(F.col("text"), _UPPER, _LOWER)
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, leaf_digest([low if f == "text" else F.col(f) for f in MANIFEST_FIELDS]))
+    return manifest(_table(spark, sf_dir, "documents"), MANIFEST_FIELDS, group="lang", key="doc_id", tampered=changed)
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract: spans of the base kinds, counted and digested, and of all kinds as text."""
+    found = with_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    told = "array_join(transform({}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"
+    base = "filter(secrets, s -> s.kind in (" + ", ".join(f"'{r.kind}'" for r in BASE_RULES) + "))"
+    counts = [F.expr(f"cast(size(filter(secrets, s -> s.kind = '{r.kind}')) as long)").alias(f"n_{r.kind}") for r in BASE_RULES]
+    return found.select("doc_id", *counts, F.sha2(F.expr(told.format(base)), 256).alias("base_sha256"), F.expr(told.format("secrets")).alias("spans"))
+
+
 QUERIES = {
     "op1_balanced_label_propagation": op1_balanced_label_propagation,
     "op2_paragraph_minhash": op2_paragraph_minhash,
@@ -124,9 +148,10 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_secret_scan": op13_secret_scan,
 }
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _DOT = "list_dot_product({0}.v, {1}.v)"
 _REACHED = "r(a, b) as (select id, id from node union select r.a, l.b from r join l on r.b = l.a)"
 
@@ -137,6 +162,31 @@ def _crc32(text: str) -> str:
     return f"xor(list_reduce(list_concat([4294967295::ubigint], list_transform(string_split({text}, ''), lambda c: ascii(c)::ubigint)), lambda a, b: {byte}), 4294967295::ubigint)"
 
 
+def _levels(name: str, most: int) -> str:
+    """CTEs over {name}0(tree, i, h): {name}1.. above it, {name}s0.. the siblings of each node, {name}top the roots."""
+    out, top = [], []
+    for k in range(most):
+        open_trees = f"(select tree from {name}{k} where i > 0)"
+        side = "coalesce(string_agg(b.h, '' order by b.i) filter (b.i {} a.i), '')"
+        out.append(f"{name}s{k} as (select a.tree, a.i, {side.format('<')} l, {side.format('>')} r from {name}{k} a join {name}{k} b on a.tree = b.tree and a.i // 8 = b.i // 8 where a.tree in {open_trees} group by a.tree, a.i)")
+        out.append(f"{name}{k + 1} as (select tree, i // 8 i, sha256(string_agg(h, '' order by i)) h from {name}{k} where tree in {open_trees} group by tree, i // 8)")
+        top.append(f"select tree, h from {name}{k} where tree not in {open_trees}")
+    return ", ".join([*out, f"{name}top as ({' union all '.join(top)})"])
+
+
+def _folds(name: str, start: str, most: int) -> str:
+    """CTEs {name}p0.. over start(tree, i, ..., f, proof): f folded with the siblings of level k and the proof so far."""
+    out = [f"{name}p0 as ({start})"]
+    for k in range(most):
+        out.append(f"{name}p{k + 1} as (select p.* replace (case when s.i is null then f else sha256(s.l || f || s.r) end as f, case when s.i is null then proof else proof || s.l || s.r end as proof) from {name}p{k} p left join {name}s{k} s on s.tree = p.tree and s.i = p.i // {8**k})")
+    return ", ".join(out)
+
+
+def _leaf(text: str) -> str:
+    fields = ["doc_id::varchar", "source", "lang", "n_chars::varchar", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
 ORACLES: dict[str, str] = {
     "op7_embedding_pigeonhole": f"""with recursive ok as (select vec_id id, label, embedding::double[] v from embeddings where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0
 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
@@ -159,4 +209,10 @@ full_n as (select n.*, coalesce(kids.n, 0) kids from n left join kids on kids.k
 below as (select k[1:e] k, e d, sum((n - 1) * size) saved, count(*) filter (kids = 0) leaves from full_n, unnest(range(0, d + 1)) u(e) group by all)
 select x.c::bigint conv_id, x.d::bigint depth, up.c::bigint parent_conv_id, x.n::bigint n_convs, x.kids::bigint n_children, below.leaves::bigint n_leaves, below.saved::bigint saved_tokens, sha256(x.ids) ends_sha256
 from full_n x join below on below.k = x.k and below.d = x.d left join n up on x.d > 0 and up.d = x.d - 1 and up.k = x.k[1:x.d - 1]""",
+    "op12_merkle_manifest": f"""with d as (select *, {_leaf("text")} leaf, case when {_crc32("doc_id::varchar")} % 3 = 0 then {_leaf(f"translate(text, '{_UPPER}', '{_LOWER}')")} end other from documents),
+l as (select *, coalesce('=' || lang, '-') tree, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 i from d), a0 as (select tree, i, leaf h from l), {_levels("a", 9)},
+b0 as (select 'all' tree, row_number() over (order by tree::blob) - 1 i, h, tree grp from atop), {_levels("b", 6)},
+{_folds("a", "select tree, i, doc_id, leaf, coalesce(other, leaf) f, '' proof from l", 9)},
+{_folds("b", "select 'all' tree, b0.i, p.doc_id, p.leaf, b0.h subroot, p.f, p.proof from ap9 p join b0 on b0.grp = p.tree", 6)}
+select doc_id, leaf, subroot, h root, sha256(proof) proof_sha256, f folded_root, f = h verified from bp6 cross join btop""",
 }
