@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.text import folded
+from tessera.functions.text import canonical, folded
 from tessera.sources.tables import table
 
 #: Runs that may be encoded text, the share of characters to be printable, the layers that are opened.
@@ -41,33 +41,57 @@ def says_something(text: str) -> bool:
     return " " in text.strip() and seen >= PRINTABLE * len(text)
 
 
+def inside(text: str, layers: int = LAYERS) -> Iterator[str]:
+    """Encoded texts that say something, each before what is encoded in it."""
+    for inner in opened(text) if layers else ():
+        if says_something(inner):
+            yield inner
+        yield from inside(inner, layers - 1)
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _layers(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in parts:
         out = []
         for text in s:
-            found, now = [], [text]
-            for _ in range(LAYERS):
-                now = [inner for outer in now for inner in opened(outer)]
-                found += [t for t in now if says_something(t)]
-            out.append(found)
+            out.append(list(inside(text)))
         yield pd.Series(out, dtype=object)
 
 
 def decoded_layers(c: Column | str) -> Column:
-    """Texts encoded in a text, those of the outer layer first; a layer that says nothing is opened all the same. Texts without
+    """Texts encoded in a text, each before what is encoded in it; a layer that says nothing is opened all the same. Texts without
     a run that may be encoded, and null ones, don't leave the JVM."""
     c = F.col(c) if isinstance(c, str) else c
     may = F.coalesce(c.rlike(BASE64_RUN), F.lit(False))
     return F.when(may, _layers(F.when(may, c).otherwise(""))).otherwise(F.array().cast("array<string>"))
 
 
+@F.pandas_udf(T.StringType())
+def _with_layers(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in parts:
+        yield s.map(lambda text: "\n".join([text, *inside(text)]))
+
+
+def scannable(df: DataFrame, column: str, name: str) -> DataFrame:
+    """df with the canonical form of a text, and on lines behind it what is encoded in that: what scanners look at. Only
+    texts with a run that may be encoded go through Python twice."""
+    may = F.coalesce(F.col(name).rlike(BASE64_RUN), F.lit(False))
+    layered = df.withColumn(name, canonical(column)).withColumn(f"{name}_layers", _with_layers(F.when(may, F.col(name)).otherwise("")))
+    return layered.withColumn(name, F.when(may, F.col(f"{name}_layers")).otherwise(F.col(name))).drop(f"{name}_layers")
+
+
 def outside_text(c: Column | str, length: int = OUTSIDE_LENGTH) -> Column:
     """Compatibility forms folded, unseen characters out, white space collapsed, cut."""
     clean = F.regexp_replace(F.regexp_replace(folded(c), UNSEEN, ""), _BLANK, " ")
     return F.substring(F.trim(clean), 1, length)
 
 
+def f1_canonicalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as scanners see them."""
+    c = scannable(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text", "seen")
+    return c.select("conv_id", "turn", F.md5("seen").alias("canonical_md5"))
+
+
 def f2_decoded_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns sent encoded: in hexadecimal, in base64, or in base64 twice."""
     c = table(spark, sf_dir, "conversations").where("text is not null")
@@ -84,5 +108,5 @@ def f24_outside_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", F.length(text).alias("length"), F.md5(text).alias("text_md5"))
 
 
-QUERIES = {f.__name__: f for f in (f2_decoded_layers, f24_outside_text)}
+QUERIES = {f.__name__: f for f in (f1_canonicalize, f2_decoded_layers, f24_outside_text)}
 ORACLES: dict[str, str] = {}

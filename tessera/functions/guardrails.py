@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import canonical, findings, redacted, sql_findings
+from tessera.functions.decoding import scannable
+from tessera.functions.text import bound, findings, redacted, sql_findings
 from tessera.sources.tables import table
 
 #: Categories that always block, those that block from a score on, those that are redacted.
@@ -26,12 +27,18 @@ def would_block(found: Column) -> Column:
 
 
 def decided(found: Column, mode: str = "enforce", redacts: bool = True) -> Column:
-    """struct<action, would_block> for array<struct<category, detail, score>>. Monitor mode allows everything and keeps
-    would_block; without redacts personal data is allowed, as at ingestion."""
-    block = would_block(found)
-    redact = F.exists(found, lambda f: f["category"].isin(REDACT)) if redacts else F.lit(False)
-    action = F.lit("allow") if mode == "monitor" else F.when(block, "block").when(redact, "redact").otherwise("allow")
-    return F.struct(action.alias("action"), block.alias("would_block"))
+    """struct<action, would_block> for array<struct<category, detail, score>>, which is worked out once. Monitor mode allows
+    everything and keeps would_block; without redacts personal data is allowed, as at ingestion."""
+
+    def verdict(found: Column) -> Column:
+        redact = F.exists(found, lambda f: f["category"].isin(REDACT)) if redacts else F.lit(False)
+        return F.struct(would_block(found).alias("block"), redact.alias("redact"))
+
+    def named(v: Column) -> Column:
+        action = F.lit("allow") if mode == "monitor" else F.when(v["block"], "block").when(v["redact"], "redact").otherwise("allow")
+        return F.struct(action.alias("action"), v["block"].alias("would_block"))
+
+    return bound(bound(found, verdict), named)
 
 
 def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,10 +63,10 @@ def d1_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d2_input_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users' turns in canonical form, scanned and decided: what goes on to the model (nothing if blocked, redacted text, or
+    """Users' turns in canonical form with what is encoded in them, scanned and decided: what goes on to the model (nothing if blocked, redacted text, or
     the canonical text), and whether an event is recorded."""
-    c = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", canonical("text").alias("t"))
-    d = c.withColumn("f", findings("t")).withColumn("d", decided(F.col("f")))
+    c = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
+    d = scannable(c, "text", "t").withColumn("d", decided(findings("t")))
     served = F.when(F.col("d.action") == "block", None).when(F.col("d.action") == "redact", redacted(F.col("t"))).otherwise(F.col("t"))
     return d.select("conv_id", "turn", F.col("d.action").alias("action"), (F.col("d.would_block") | (F.col("d.action") == "redact")).alias("event"), F.md5(served).alias("served_md5"))
 

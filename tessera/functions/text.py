@@ -38,8 +38,10 @@ QUERY_LENGTH = (3, 500)
 #: Questions that may go to the public regulatory web.
 PUBLIC_MARKERS = ["rbi circular", "reserve bank of india", "sebi circular", "npci circular", "public regulation", "regulatory circular"]
 SPACE = "[ \\t\\n\\r]+"
-#: Code points that nobody sees.
-INVISIBLE = "[​-‏‪-‮⁠⁦-⁩﻿]"
+#: Code points that nobody sees, control characters other than tabs and line ends, what ends a line.
+INVISIBLE = "[\\u200B-\\u200F\\u202A-\\u202E\\u2060\\u2066-\\u2069\\uFEFF]"
+CONTROL = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F]"
+LINE_END = "\\r\\n|[\\n\\r\\u2028\\u2029]"
 
 
 def collapsed(c: Column | str) -> Column:
@@ -128,15 +130,11 @@ def folded(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def canonical(c: Column | str) -> Column:
-    """Compatibility forms folded, invisible and control characters out, white space of each line collapsed."""
-    clean = F.regexp_replace(F.regexp_replace(folded(c), INVISIBLE, ""), "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]", "")
-    lines = F.transform(F.split(clean, "\n"), lambda x: F.trim(F.regexp_replace(x, "[ \\t\\r]+", " ")))
-    return F.trim(F.array_join(lines, "\n"))
-
-
-def f1_canonicalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", F.md5(canonical("text")).alias("canonical_md5"))
+    """Compatibility forms folded, invisible and control characters out, white space of each line collapsed, no blanks or line
+    ends around the whole."""
+    clean = F.regexp_replace(F.regexp_replace(folded(c), INVISIBLE, ""), CONTROL, "")
+    lines = F.transform(F.split(clean, LINE_END, -1), lambda x: F.trim(F.regexp_replace(x, "[ \\t\\u1680]+", " ")))
+    return F.regexp_replace(F.array_join(lines, "\n"), "^[ \n]+|[ \n]+$", "")
 
 
 def f3_sensitive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,26 +200,36 @@ ALLOWED = ["example.com", "example.org"]
 _AUTHORITY = r"^[A-Za-z]+://([^/?#]*)"
 
 
+def web_address(url: str) -> tuple[Column, Column, Column]:
+    """(host without www. and port, canonical URL, whether it may be read): HTTPS, no user data, an allowed domain."""
+    authority = F.regexp_extract(url, _AUTHORITY, 1)
+    host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(authority, ":[0-9]*$", "")), "[.]+$", ""), "^www[.]", "")
+    path, query = F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1), F.regexp_extract(url, r"^[^?#]*(\?[^#]*)", 1)
+    ok = F.lower(url).startswith("https://") & ~F.contains(authority, F.lit("@")) & (host != "") & allowed_hosts(host, ALLOWED)
+    return host, F.concat(F.lit("https://"), authority, F.when(path == "", "/").otherwise(path), F.when(query == "?", "").otherwise(query)), ok
+
+
 def f23_canonical_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical URL (fragment gone, / for an empty path, query kept) and domain (no www., no port) of pages; null where a URL
     is not HTTPS, holds user data or leaves the allowed domains."""
-    p = table(spark, sf_dir, "pages")
-    authority = F.regexp_extract("url", _AUTHORITY, 1)
-    host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(authority, ":[0-9]*$", "")), "[.]+$", ""), "^www[.]", "")
-    path, query = F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1), F.regexp_extract("url", r"^[^?#]*(\?[^#]*)", 1)
-    ok = F.lower("url").startswith("https://") & ~F.contains(authority, F.lit("@")) & (host != "") & allowed_hosts(host, ALLOWED)
-    url = F.concat(F.lit("https://"), authority, F.when(path == "", "/").otherwise(path), F.when(query == "?", "").otherwise(query))
-    return p.select("page_id", F.when(ok, host).alias("domain"), F.when(ok, url).alias("canonical_url"), ok.alias("allowed"))
+    host, url, ok = web_address("url")
+    return table(spark, sf_dir, "pages").select("page_id", F.when(ok, host).alias("domain"), F.when(ok, url).alias("canonical_url"), ok.alias("allowed"))
+
+
+#: Characters of a page that are kept, of a host's pages together, and pages of a host.
+PAGE_LENGTH, HOST_LENGTH, HOST_PAGES = 6000, 20000, 5
 
 
 def p6_web_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of allowed domains without tags, within 6000 characters each and 20 000 for a host, in page order."""
-    p = table(spark, sf_dir, "pages")
+    """Pages that may be read, without tags: HOST_PAGES of a host at most, within PAGE_LENGTH characters each and HOST_LENGTH
+    together, in page order. The window ranks within a host; only its first pages leave a task."""
+    host, _, ok = web_address("url")
     text = F.trim(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), SPACE, " "))
-    host = F.lower(F.regexp_extract("url", _AUTHORITY, 1))
-    sized = p.select("page_id", host.alias("host"), F.least(F.length(text), F.lit(6000)).alias("n")).where(allowed_hosts(F.col("host"), ALLOWED))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("host").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return sized.withColumn("before", before).where("before < 20000").select("page_id", "host", F.least("n", 20000 - F.col("before")).cast("long").alias("used"))
+    by_host = Window.partitionBy("host").orderBy("page_id")
+    first = table(spark, sf_dir, "pages").where(ok).withColumn("host", host).withColumn("place", F.row_number().over(by_host)).where(F.col("place") <= HOST_PAGES)
+    sized = first.select("page_id", "host", F.least(F.length(text), F.lit(PAGE_LENGTH)).alias("n"))
+    before = F.coalesce(F.sum("n").over(by_host.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return sized.withColumn("before", before).where(F.col("before") < HOST_LENGTH).select("page_id", "host", F.least("n", HOST_LENGTH - F.col("before")).cast("long").alias("used"))
 
 
 def query_reason(c: Column | str) -> Column:
@@ -245,7 +253,7 @@ def p12_cell_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.length(cell).cast("long").alias("shown"), F.md5(cell).alias("cell_md5"))
 
 
-QUERIES = {f.__name__: f for f in (f1_canonicalize, f3_sensitive_scan, f5_redact, f7_sentences, f10_faithfulness, f17_unsupported_claims, f22_rollout_bucket, f23_canonical_url, p6_web_text, p10_query_validator, p12_cell_bound)}
+QUERIES = {f.__name__: f for f in (f3_sensitive_scan, f5_redact, f7_sentences, f10_faithfulness, f17_unsupported_claims, f22_rollout_bucket, f23_canonical_url, p6_web_text, p10_query_validator, p12_cell_bound)}
 
 _WORDS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda x: length(x) > 2))"
 _FLAT = "trim(regexp_replace({0}, '[ \\t\\n\\r]+', ' ', 'g'))"
@@ -271,6 +279,7 @@ def sql_findings(text: str) -> str:
 
 
 _TURNS = "t as (select q.conv_id, q.turn, q.text question, a.text answer from conversations q join conversations a on a.conv_id = q.conv_id and a.turn = q.turn + 1 where q.role = 'user' and a.role = 'assistant')"
+_ADDRESS = f"with p as (select page_id, url, html, regexp_extract(url, '{_AUTHORITY}', 1) a, regexp_replace(regexp_replace(lower(regexp_replace(regexp_extract(url, '{_AUTHORITY}', 1), ':[0-9]*$', '')), '[.]+$', ''), '^www[.]', '') host, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) path, regexp_extract(url, '^[^?#]*(\\?[^#]*)', 1) q from pages), k as (select *, starts_with(lower(url), 'https://') and not contains(a, '@') and host <> '' and ({' or '.join(f"host = '{d}' or ends_with(host, '.{d}')" for d in ALLOWED)}) ok from p)"
 
 ORACLES = {
     "f3_sensitive_scan": f"with f as (select doc_id, list_filter({sql_findings('text')}, lambda x: x is not null) f from documents) select doc_id, array_to_string(f, ',') details, list_max(list_transform(f, lambda x: case x when 'credential_shaped_token' then 1.0::double when 'contact_identifier' then 0.8::double when 'government_id' then 0.95::double else 0.9::double end)) score from f where len(f) > 0",
@@ -278,8 +287,8 @@ ORACLES = {
     "f10_faithfulness": f"with {_TURNS}, w as (select *, {_WORDS.format('answer')} a, {_WORDS.format('question')} q from t) select conv_id, turn, round({_SHARE.format('a', 'q')}, 6) faithfulness, (case when len(a) = 0 then 0.0 when not ({' or '.join(f'contains(lower(answer), {chr(39)}{r.replace(chr(39), chr(39) * 2)}{chr(39)})' for r in REFUSALS)}) then 1.0 when len(a) <= 25 then 0.3 else 0.7 end)::double answerability from w",
     "f17_unsupported_claims": f"with {_TURNS}, k as (select conv_id, turn, question, answer || ' It must always hold that ' || array_to_string(string_split(case when turn % 4 = 0 then question else answer end, ' ')[1:8], ' ') || '.' answer from t), s as (select conv_id, turn, {_WORDS.format('question')} c, {_SENTENCES.format('answer')} s from k), e as (select conv_id, turn, c, (generate_subscripts(s, 1) - 1)::int pos, unnest(s) sentence from s), w as (select conv_id, turn, pos, c, {_WORDS.format('sentence')} a from e where regexp_matches(sentence, '{ABSOLUTE.replace(chr(39), chr(39) * 2)}')) select conv_id, turn, pos, round(len(list_intersect(a, c)) / len(a), 6) as overlap from w where len(a) > 0 and round(len(list_intersect(a, c)) / len(a), 6) < 0.4",
     "f22_rollout_bucket": "select user_id, b bucket, b < 2500 treatment from (select user_id, (('0x' || substr(sha256('reranker:v1' || chr(0) || user_id::varchar), 1, 16))::ubigint % 10000)::int b from (select distinct user_id from events))",
-    "f23_canonical_url": f"with p as (select page_id, url, regexp_extract(url, '{_AUTHORITY}', 1) a, regexp_replace(regexp_replace(lower(regexp_replace(regexp_extract(url, '{_AUTHORITY}', 1), ':[0-9]*$', '')), '[.]+$', ''), '^www[.]', '') host, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) path, regexp_extract(url, '^[^?#]*(\\?[^#]*)', 1) q from pages), k as (select *, starts_with(lower(url), 'https://') and not contains(a, '@') and host <> '' and ({' or '.join(f"host = '{d}' or ends_with(host, '.{d}')" for d in ALLOWED)}) ok from p) select page_id, case when ok then host end as domain, case when ok then 'https://' || a || case when path = '' then '/' else path end || case when q = '?' then '' else q end end canonical_url, ok allowed from k",
-    "p6_web_text": f"with s as (select page_id, lower(regexp_extract(url, '{_AUTHORITY}', 1)) host, least(length({_FLAT.format(chr(39).join(['regexp_replace(html, ', '<[^>]*>', ', ', ' ', ', ', 'g', ')']))}), 6000) n from pages), k as (select * from s where {' or '.join(f"host = '{d}' or ends_with(host, '.{d}')" for d in ALLOWED)}), b as (select *, coalesce(sum(n) over (partition by host order by page_id rows between unbounded preceding and 1 preceding), 0) before from k) select page_id, host, least(n, 20000 - before)::bigint used from b where before < 20000",
+    "f23_canonical_url": f"{_ADDRESS} select page_id, case when ok then host end as domain, case when ok then 'https://' || a || case when path = '' then '/' else path end || case when q = '?' then '' else q end end canonical_url, ok allowed from k",
+    "p6_web_text": f"{_ADDRESS}, f as (select *, row_number() over (partition by host order by page_id) place from k where ok), s as (select page_id, host, least(length({_FLAT.format(chr(39).join(['regexp_replace(html, ', '<[^>]*>', ', ', ' ', ', ', 'g', ')']))}), 6000) n from f where place <= 5), b as (select *, coalesce(sum(n) over (partition by host order by page_id rows between unbounded preceding and 1 preceding), 0) before from s) select page_id, host, least(n, 20000 - before)::bigint used from b where before < 20000",
     "p10_query_validator": f"with c as (select text, lower({_FLAT.format('text')}) flat from conversations where role = 'user') select case when regexp_matches(text, '\\p{{Cc}}') then 'control' when not length(flat) between 3 and 500 then 'length' when {' or '.join(f"contains(flat, '{m}')" for m in QUERY_MARKERS)} then 'marker' else 'ok' end reason, {' or '.join(f"contains(flat, '{m}')" for m in PUBLIC_MARKERS)} as public, count(*) n from c group by all",
     "p12_cell_bound": "select doc_id, length(c)::bigint shown, md5(c) cell_md5 from (select doc_id, case when length(text) > 2000 then substring(text, 1, 2000) || '…' else text end c from documents)",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.guardrails import decided
 from tessera.functions.text import collapsed, findings, sql_findings
-from tessera.operators.retrieval import knn
+from tessera.operators.vector_index import knn
 from tessera.sources.shared import scratch
 from tessera.sources.tables import EMAIL, corpus, table, telemetry
 

@@ -5,89 +5,29 @@ Ties: score descending, then id ascending; scores are rounded to 9 digits before
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.text_index import TextIndex, terms
+from tessera.operators.vector_index import knn
+from tessera.sources.shared import kept
 from tessera.sources.tables import corpus, table
 
-#: BM25 saturation and length weight, the length that counts as average, the fusion constant, list sizes.
-K1, B, AVERAGE_LENGTH = 1.2, 0.75, 256
+#: The fusion constant, list sizes.
 RRF_K, CANDIDATES, TOP = 60, 20, 5
 CACHE_THRESHOLD = 0.95
-#: Query vectors that one pass over the corpus holds in memory.
-QUERY_BLOCK = 4096
 
 
 def ranked(df: DataFrame, by: str = "query_id", score: str = "score", tie: str = "id") -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), F.asc(tie))))
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, same: str | None = None) -> DataFrame:
-    """(query_id, id, score, rank): the k vectors with the greatest cosine. queries(query_id, vector[, same]),
-    vectors(id, vector[, same]). Queries are held in blocks; each task keeps k candidates of a batch for each query, so that
-    the shuffle carries k rows a query and batch, not all pairs. Null and zero vectors match nothing."""
-    columns = ["query_id", "vector"] + ([same] if same else [])
-    spark, parts = queries.sparkSession, []
-    usable = "vector is not null and exists(vector, x -> x <> 0)"
-    ordered = queries.where(usable).select(*columns)
-    blocks = max(1, -(-ordered.count() // QUERY_BLOCK))
-    for block in range(blocks):
-        rows = ordered.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()  # about QUERY_BLOCK rows
-        if not rows:
-            continue
-        names = np.array([r["query_id"] for r in rows])
-        matrix = np.array([r["vector"] for r in rows], float)
-        matrix /= np.linalg.norm(matrix, axis=1)[:, None]
-        groups = np.array([r[same] for r in rows]) if same else None
-        shared = spark.sparkContext.broadcast((names, matrix, groups))
-
-        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, matrix, groups = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                ids = batch.column(0).to_numpy()
-                x = batch.column(1).flatten().to_numpy().astype(float).reshape(len(ids), -1)
-                cosine = np.round(matrix @ (x / np.linalg.norm(x, axis=1)[:, None]).T, 9)
-                if groups is not None:
-                    cosine = np.where(groups[:, None] == batch.column(2).to_numpy()[None], cosine, -np.inf)
-                order = np.lexsort((np.broadcast_to(ids, cosine.shape), -cosine), axis=1)[:, :k]
-                q = np.repeat(np.arange(len(names)), order.shape[1])
-                s = cosine[q, order.reshape(-1)]
-                keep = np.isfinite(s)
-                yield pa.RecordBatch.from_arrays([pa.array(names[q][keep]), pa.array(ids[order.reshape(-1)][keep]), pa.array(s[keep])], names=["query_id", "id", "score"])
-
-        source = vectors.where(usable).select("id", "vector", *([same] if same else []))
-        parts.append(source.mapInArrow(score, "query_id long, id long, score double"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, id long, score double, rank int")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return ranked(out).where(F.col("rank") <= k)
-
-
-def terms(column: str):
-    return F.regexp_extract_all(F.lower(column), F.lit("[a-z0-9]+"), F.lit(0))
-
-
 def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, rank). queries(query_id, text), docs(id, text). Only postings of terms that some query has
-    leave the scan's stage; every different term of a query counts once."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms("text"))).alias("term"))
-    read = docs.select("id", terms("text").alias("terms")).withColumn("dl", F.size("terms"))
-    total = docs.agg(F.count("*").alias("total"))
-    postings = read.select("id", "dl", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = postings.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weighted = tf.join(df, "term").crossJoin(total).withColumn("w", idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / AVERAGE_LENGTH)))
-    scored = asked.join(weighted.select("term", "id", "w"), "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
-    return ranked(scored).where(F.col("rank") <= k)
+    """(query_id, id, score, rank) from an index of docs(id, text), built for these queries(query_id, text)."""
+    index = TextIndex(docs)
+    found = index.search(queries, k)
+    index.release()
+    return found
 
 
 def fused(lists: list[DataFrame], k: int) -> DataFrame:

@@ -1,11 +1,11 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and tables kept there for a while."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -17,3 +17,26 @@ def scratch(spark: SparkSession, name: str) -> str:
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Delete what stands at these paths, through the file system that they name."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written and read back: later steps read the table, and a lost executor loses none of it."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._kept_at = path
+    return back
+
+
+def released(*frames: DataFrame | None) -> None:
+    """Delete tables that kept() wrote and that nothing reads any more."""
+    for df in frames:
+        if path := getattr(df, "_kept_at", None):
+            removed(df.sparkSession, path)

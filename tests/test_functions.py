@@ -1,10 +1,12 @@
 import base64
 import hashlib
+import math
 import re
 import unicodedata
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +14,9 @@ from tessera.functions import answers, decoding, guardrails, text
 from tessera.operators.analytics import governed, nearest_rank
 from tessera.operators.evaluation import a13_categories
 from tessera.operators.lifecycle import s3_upsert_sink
-from tessera.operators.retrieval import fused, knn
+from tessera.operators.retrieval import fused
+from tessera.operators.text_index import TextIndex
+from tessera.operators.vector_index import VectorIndex, knn
 from tessera.streaming.events import LIMIT, SECONDS, admitted, st2_rate_limit
 
 SMALL = "/root/testdata/sf0.001"
@@ -247,10 +251,30 @@ def test_redaction_by_brute_force(spark):
 
 
 def plain_canonical(t):
-    t = unicodedata.normalize("NFKC", t)
-    t = re.sub(text.INVISIBLE, "", t)
-    t = re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "", t)
-    return "\n".join(re.sub("[ \t\r]+", " ", x).strip(" ") for x in t.split("\n")).strip(" ")
+    """Character by character, without the patterns of the library."""
+    unseen = {0x2060, 0xFEFF, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2066, 0x206A), *range(0x7F, 0xA0), *range(32)} - {9, 10, 13}
+    lines = "".join(c for c in unicodedata.normalize("NFKC", t) if ord(c) not in unseen).splitlines()
+    return "\n".join(" ".join(x.split()) for x in lines).strip()
+
+
+@pytest.mark.parametrize("t", ["\n hello \n", "a\rb\r\nc", "x\u0085y\u009f", "\u2028a\u2029 b\t\tc\u1680d", "\r\n\r\n", "ab\u200b\u2060\ufeffc", "  "])
+def test_canonical_edges(spark, t):
+    assert one(spark, t, text.canonical("t")) == plain_canonical(t)
+
+
+def test_encoded_secret_is_blocked(spark, tmp_path):
+    key = "my key is sk-abcdefghijklmnop1234 keep it"
+    said = [key, base64.b64encode(key.encode()).decode(), base64.b64encode(base64.b64encode(key.encode())).decode(), key.encode().hex(), "nothing to see here", None]
+    spark.createDataFrame([(i, 1, "user", t) for i, t in enumerate(said)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r.action for r in guardrails.d2_input_pipeline(spark, str(tmp_path)).collect()}
+    assert got == {0: "block", 1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow"}
+    seen = {r.conv_id: r.canonical_md5 for r in decoding.f1_canonicalize(spark, str(tmp_path)).collect()}
+    assert seen[1] == hashlib.md5(f"{said[1]}\n{key}".encode()).hexdigest() and seen[5] is None
+
+
+def test_findings_stand_once_in_the_plan(spark):
+    for query in (guardrails.d1_guardrail, guardrails.d1_modes, guardrails.d2_input_pipeline, guardrails.d3_context_pipeline, guardrails.d4_output_pipeline):
+        assert query(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString().count("credential_shaped_token") == 1
 
 
 def test_pipelines_by_brute_force(spark):
@@ -268,7 +292,7 @@ def test_pipelines_by_brute_force(spark):
 
     digest = lambda t: None if t is None else hashlib.md5(t.encode()).hexdigest()
     turns = spark.read.parquet(f"{SMALL}/conversations.parquet").collect()
-    form = {(r.conv_id, r.turn): r.canonical_md5 for r in text.f1_canonicalize(spark, SMALL).collect()}
+    form = {(r.conv_id, r.turn): r.canonical_md5 for r in decoding.f1_canonicalize(spark, SMALL).collect()}
     assert form == {(r.conv_id, r.turn): digest(plain_canonical(r.text)) for r in turns}
     entered = {(r.conv_id, r.turn): (r.action, r.served_md5) for r in guardrails.d2_input_pipeline(spark, SMALL).collect()}
     left = {(r.conv_id, r.turn): (r.action, r.served_md5) for r in guardrails.d4_output_pipeline(spark, SMALL).collect()}
@@ -287,3 +311,58 @@ def test_upsert_replaces_only_its_partitions(spark):
     for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect():
         want[r.source, "active" if zlib.crc32(r.source.encode()) % 2 == 0 else "quarantined"] += 1
     assert rows == want and {s for _, s in want} == {"active", "quarantined"}
+
+
+@pytest.mark.parametrize("same", [None, "label"])
+def test_vector_index_prunes_and_is_exact(spark, same):
+    """Vectors in bunches: the index answers as brute force does and compares less than 0.3 of all pairs; one bunch holds a
+    third of all vectors and so fills many blocks."""
+    rng = np.random.default_rng(5)
+    bunches = rng.normal(size=(40, 24))
+    of = np.concatenate([np.zeros(1000, int), rng.integers(1, 40, 2000)])
+    x = (bunches[of] + rng.normal(scale=0.15, size=(3000, 24))).astype(np.float32)
+    x[7] = x[8]  # a tie
+    rows = [(i, v.tolist(), int(i % 3)) for i, v in enumerate(x)] + [(5000, None, 1), (5001, [0.0] * 24, 1), (5002, [1.0] * 3, 1), (5003, [float("nan")] * 24, 1)]
+    frame = spark.createDataFrame(rows, "id long, vector array<float>, label int")
+    queries = frame.where("id % 25 = 7 or id >= 5000").where("id <> 5002").withColumnRenamed("id", "query_id")
+    index = VectorIndex(frame, 24, same, block=128, cells=64)
+    assert index.cells > 10
+    got = {(r.query_id, r["rank"]): (r.id, r.score) for r in index.search(queries, 5).collect()}
+    index.release()
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    want = {}
+    for q in range(7, 3000, 25):
+        scores = np.round(unit[q] @ unit.T, 9)
+        best = sorted((-s, i) for i, s in enumerate(scores) if not same or i % 3 == q % 3)[:5]
+        want.update({(q, k): (i, -s) for k, (s, i) in enumerate(best, 1)})
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 1e-8 for k in want)
+    pairs, every = index.compared
+    assert every == 120 * 3000 and pairs < 0.3 * every
+
+
+def test_text_index_leaves_blocks_out(spark):
+    """Short queries over texts of Zipf-like words: equal to plain sums, without reading all postings."""
+    rng = np.random.default_rng(6)
+    words = [f"w{k}" for k in range(400)]
+    odds = 1 / np.arange(1, 401) ** 1.1
+    docs = [(i, " ".join(rng.choice(words, rng.integers(5, 300), p=odds / odds.sum()))) for i in range(1500)] + [(9000, None), (9001, ""), (9002, "!!")]
+    queries = [(1, "w0 w350"), (2, "w1 w1 W2"), (3, "nothing here"), (4, "w0"), (5, "w390 w10 w3"), (6, None)]
+    index = TextIndex(spark.createDataFrame(docs, "id long, text string"))
+    got = {(r.query_id, r["rank"]): (r.id, r.score) for r in index.search(spark.createDataFrame(queries, "query_id long, text string"), 5).collect()}
+    counts = {i: Counter((t or "").split()) for i, t in docs if t != "!!"} | {9002: Counter()}
+    want = {}
+    for q, text_ in queries:
+        scores = Counter()
+        for term in set((text_ or "").lower().split()):
+            df = sum(term in c for c in counts.values())
+            for i, c in counts.items():
+                if c[term]:
+                    scores[i] += math.log((len(docs) - df + 0.5) / (df + 0.5) + 1) * c[term] * 2.2 / (c[term] + 1.2 * (0.25 + 0.75 * sum(c.values()) / 256))
+        for k, (s, i) in enumerate(sorted((-round(s, 6), i) for i, s in scores.items())[:5], 1):
+            want[q, k] = (i, -s)
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
+    read, every = index.read
+    index.release()
+    assert read < 0.7 * every
