@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.decoding import scannable
 from tessera.functions.text import bound, findings, redacted, sql_findings
-from tessera.sources.tables import table
+from tessera.sources.tables import table, texts
 
 #: Categories that always block, those that block from a score on, those that are redacted.
 ALWAYS_BLOCK = ["prompt_injection", "secrets", "malicious_url", "prompt_leak"]
@@ -44,7 +44,7 @@ def decided(found: Column, mode: str = "enforce", redacts: bool = True) -> Colum
 def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents (doc_id, source, found): what their text gives, and toxicity as far as the labels mark it (score 0.9; 0.7,
     below the threshold, for those whose quality is good)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", findings("text").alias("f"))
+    d = texts(spark, sf_dir).select("doc_id", "source", findings("text").alias("f"))
     marks = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id", F.when(F.col("quality") == 1, 0.7).otherwise(0.9).alias("toxic_score"))
     toxic = F.when(F.col("toxic_score").isNotNull(), F.struct(F.lit("toxicity").alias("category"), F.lit("label").alias("detail"), F.col("toxic_score").alias("score")))
     return d.join(marks, "doc_id", "left").select("doc_id", "source", F.array_compact(F.array_append("f", toxic)).alias("found"))
@@ -52,7 +52,7 @@ def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def d1_guardrail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of each source by the action on their text's findings, and how many of them would be blocked."""
-    d = table(spark, sf_dir, "documents").select("source", decided(findings("text")).alias("d"))
+    d = texts(spark, sf_dir).select("source", decided(findings("text")).alias("d"))
     return d.groupBy("source", "d.action").agg(F.count("*").alias("n"), F.count_if("d.would_block").alias("would_block"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.sources.tables import EMAIL, table, turns
+from tessera.sources.tables import EMAIL, table, texts, turns
 
 #: The kinds of personal data and secrets, in the order in which they are looked for and replaced.
 PATTERNS = {
@@ -139,13 +139,13 @@ def canonical(c: Column | str) -> Column:
 
 def f3_sensitive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of each document with at least one, in their order, and the greatest score."""
-    d = table(spark, sf_dir, "documents").select("doc_id", findings("text").alias("f")).where(F.size("f") > 0)
+    d = texts(spark, sf_dir).select("doc_id", findings("text").alias("f")).where(F.size("f") > 0)
     return d.select("doc_id", F.array_join("f.detail", ",").alias("details"), F.array_max("f.score").alias("score"))
 
 
 def f5_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with secrets, e-mail addresses and numbers replaced, in order, by a token; digest of the result."""
-    c = table(spark, sf_dir, "documents").select("doc_id", "text", redacted(F.col("text")).alias("clean"))
+    c = texts(spark, sf_dir).select("doc_id", "text", redacted(F.col("text")).alias("clean"))
     return c.select("doc_id", F.md5("clean").alias("redacted_md5"), (F.col("clean") != F.col("text")).alias("changed"))
 
 

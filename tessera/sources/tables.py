@@ -13,10 +13,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt out by key where it is read in fewer pieces than tasks can run: Spark doesn't split a file's row groups, and the
+    texts of one would all fall to one task. Larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for work on their texts."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their ingestion status; the scan reads only the columns that a query goes on to use."""
     status = F.when(F.contains("text", F.lit("@")) & F.col("text").rlike(EMAIL), "quarantined").otherwise("active")
-    return table(spark, sf_dir, "documents").withColumn("ingestion_status", status)
+    return texts(spark, sf_dir).withColumn("ingestion_status", status)
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
