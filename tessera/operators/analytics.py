@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.sources.tables import corpus, table, telemetry, turns
+from tessera.sources.files import ingested
+from tessera.sources.tables import EMAIL, corpus, table, telemetry, texts, turns
 
 MAX_ROWS, MAX_BYTES, WINDOW = 200, 250_000, 1000
+#: Conversations of a page of search results.
+SEARCH_PAGE = 20
 #: Views of the governed schema, their sensitive columns.
 SENSITIVE = {"customers": {"c_name"}}
 
@@ -152,8 +155,12 @@ def i2_conversation_thread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def i3_conversation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations in which a user's turn holds a word, each under its first question as title, the most recently touched first;
+    the second page of SEARCH_PAGE."""
     c = table(spark, sf_dir, "conversations")
-    return c.where(F.col("text").ilike("%the%") & (F.col("role") == "user")).groupBy("conv_id").agg(F.max("turn").alias("touched"))
+    asked = c.where("role = 'user'").groupBy("conv_id").agg(F.max(F.when(F.col("text").ilike("%the%"), F.col("turn"))).alias("touched"), F.min_by("text", "turn").alias("first"))
+    title = F.substring(F.trim(F.regexp_replace("first", "[ \\t\\n\\r]+", " ")), 1, 60)
+    return asked.where("touched is not null").orderBy(F.desc("touched"), "conv_id").offset(SEARCH_PAGE).limit(SEARCH_PAGE).select("conv_id", title.alias("title"), "touched")
 
 
 def i5_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,9 +198,13 @@ def a1_rolling_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a6_decision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples by grade: a k of 70 or more is correct, below 50 incorrect, between them ambiguous."""
-    t = telemetry(spark, sf_dir)
-    return t.groupBy("feature").agg(F.count_if(F.col("k") >= 70).alias("correct"), F.count_if(F.col("k") < 50).alias("incorrect"), F.count_if(F.col("k").between(50, 69)).alias("ambiguous"))
+    """Samples by grade (a k of 70 or more is correct, below 50 incorrect, between them ambiguous), their shares, and the share
+    of corrections, which are all that aren't correct."""
+    t, k = telemetry(spark, sf_dir), F.col("k")
+    grades = {"correct": k >= 70, "incorrect": k < 50, "ambiguous": k.between(50, 69)}
+    counts = t.groupBy("feature").agg(F.count("*").alias("n"), *[F.count_if(c).alias(name) for name, c in grades.items()])
+    rate = lambda c, name: F.round(c / F.col("n"), 6).alias(name)
+    return counts.select("feature", *grades, *[rate(F.col(name), f"{name}_rate") for name in grades], rate(F.col("n") - F.col("correct"), "corrected_rate"))
 
 
 def a8_cache_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,9 +222,12 @@ def a9_label_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def w6_sliding_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each event how many of its user's fall into the 3600 seconds up to it."""
-    e = table(spark, sf_dir, "events").withColumn("s", F.unix_timestamp("ts"))
-    return e.select("event_id", F.count("*").over(Window.partitionBy("user_id").orderBy("s").rangeBetween(-3600, 0)).alias("within_hour"))
+    """For each event how many of its user's fall into the 3600 seconds up to it. Events are dealt by user and hour, those of the hour
+    before beside them, so that a user with a third of all events fills many tasks."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_timestamp("ts").alias("s")).withColumn("h", F.floor(F.col("s") / 3600))
+    both = e.withColumn("hour", F.explode(F.array("h", F.col("h") + 1)))
+    counted = both.withColumn("within_hour", F.count("*").over(Window.partitionBy("user_id", "hour").orderBy("s").rangeBetween(-3600, 0)))
+    return counted.where("h = hour").select("event_id", "within_hour")
 
 
 def u2_report_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,17 +239,6 @@ def u2_report_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gone.unionByName(attempted.exceptAll(scored).withColumn("side", F.lit("unscored")))
 
 
-def d7_crag_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as queries, their first 8 answers as graded chunks: relevance is the share of the question's words."""
-    t = turns(spark, sf_dir)
-    words = lambda c: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)), lambda x: F.length(x) > 2))
-    graded = t.withColumn("q", words("question")).withColumn("relevance", F.when(F.size("q") == 0, 0.0).otherwise(F.size(F.array_intersect("q", words("answer"))) / F.size("q")))
-    first = last_of(graded, "conv_id", 8, F.asc("turn"))
-    sums = first.groupBy("conv_id").agg(F.round(F.max("relevance"), 6).alias("coverage"), F.bool_or(F.round("relevance", 6) >= 0.5).alias("supportive"))
-    decision = F.when((F.col("coverage") >= 0.7) & F.col("supportive"), "correct").when((F.col("coverage") < 0.5) & ~F.col("supportive"), "incorrect").otherwise("ambiguous")
-    return sums.select("conv_id", "coverage", decision.alias("decision"))
-
-
 def a5_bypass_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rewrites by feature: why they were left out (k below 20: disabled, from 80 on: too short), tokens, rate of fallbacks."""
     t = telemetry(spark, sf_dir)
@@ -286,11 +289,14 @@ def s1_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s2_ingestion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = corpus(spark, sf_dir)
-    return d.groupBy("lang").agg(F.count("*").alias("discovered"), F.count_if(F.col("ingestion_status") == "active").alias("succeeded"), F.countDistinct("source").alias("sources"), F.sum("n_chars").alias("chars"))
+    """Documents as files by language: found, failed (nothing in them), waiting for approval and served, with their chunks."""
+    d = texts(spark, sf_dir).select("lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("content"))
+    mail = F.contains("text", F.lit("@")) & F.col("text").rlike(EMAIL)
+    count = lambda s: F.count_if(F.col("status") == s).alias(s)
+    return ingested(d, mail).groupBy("lang").agg(F.count("*").alias("discovered"), count("active"), count("quarantined"), count("failed"), F.countDistinct("source").alias("sources"), F.sum("chunks").alias("chunks"))
 
 
-_ALL = [q4_revenue_by_branch, q5_outer_join, q5_left_join, q6_pricing_summary, q7_distinct_customers, q8_distinct, q10_limited_scan, q11_offset, q12_windowed_share, q13_rollup, q13_cube, q13_grouping_sets, q14_date_arithmetic, q17_byte_budget, q19_masked_projection, i1_history_page, i2_conversation_thread, i3_conversation_search, i5_latest_state, i8_upsert, i11_row_diff, i17_sources, a1_rolling_stats, a5_bypass_reasons, a6_decision_counts, a7_reflection, a8_cache_tiers, a9_label_agreement, a11_health, w6_sliding_count, u1_attempted, u2_report_diff, u3_source_sets, u4_evidence, d7_crag_decision, s1_chunks, s2_ingestion_report]
+_ALL = [q4_revenue_by_branch, q5_outer_join, q5_left_join, q6_pricing_summary, q7_distinct_customers, q8_distinct, q10_limited_scan, q11_offset, q12_windowed_share, q13_rollup, q13_cube, q13_grouping_sets, q14_date_arithmetic, q17_byte_budget, q19_masked_projection, i1_history_page, i2_conversation_thread, i3_conversation_search, i5_latest_state, i8_upsert, i11_row_diff, i17_sources, a1_rolling_stats, a5_bypass_reasons, a6_decision_counts, a7_reflection, a8_cache_tiers, a9_label_agreement, a11_health, w6_sliding_count, u1_attempted, u2_report_diff, u3_source_sets, u4_evidence, s1_chunks, s2_ingestion_report]
 QUERIES = {f.__name__: f for f in _ALL}
 
 _RANK = "list_sort(list(duration_ms))[least(count(*) - 1, floor(count(*) * {0}))::int + 1]"
@@ -317,18 +323,17 @@ ORACLES = {
     "q19_masked_projection": "select c_custkey, '***' harmless, c_mktsegment from customer",
     "i1_history_page": "select user_id, place::int place, event_id from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) place from events) where place between 21 and 40",
     "i2_conversation_thread": f"with f as (select conv_id, arg_min(text, turn) question from conversations where role = 'user' group by 1), s as (select conv_id, min(turn) first_turn, max(turn) last_turn, least(count(*), 200) shown from conversations group by 1) select conv_id, first_turn, last_turn, shown, case when length({_FLAT}) <= 60 then {_FLAT} else regexp_replace(substring({_FLAT}, 1, 60), ' [^ ]*$', '') || '…' end title from s left join f using (conv_id)",
-    "i3_conversation_search": "select conv_id, max(turn) touched from conversations where text ilike '%the%' and role = 'user' group by 1",
+    "i3_conversation_search": "with f as (select conv_id, max(turn) filter (text ilike '%the%') touched, arg_min(text, turn) first from conversations where role = 'user' group by 1) select conv_id, substring(trim(regexp_replace(first, '[ \\t\\n\\r]+', ' ', 'g')), 1, 60) title, touched from f where touched is not null order by touched desc, conv_id limit 20 offset 20",
     "i5_latest_state": "select user_id, event_type, event_id from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) r from events) where r = 1",
     "i8_upsert": "select sha256(text) fingerprint, arg_min(conv_id, conv_id * 1000000 + turn) created_by, arg_max(turn, conv_id * 1000000 + turn) turn, count(*) writes from conversations where role = 'user' group by 1",
     "i11_row_diff": "with b as (select user_id, first(event_type order by ts, event_id) a, last(event_type order by ts, event_id) b, first(value order by ts, event_id) c, last(value order by ts, event_id) d from events group by 1), s as (select user_id, 'event_type' field, a old, b new from b union all select user_id, 'value', printf('%.2f', c), printf('%.2f', d) from b) select * from s where old is distinct from new",
     "i17_sources": f"select source, count(*) documents, count(*) filter ({_MAIL}) pending, min(doc_id) oldest from documents where trim(source) <> '' group by 1",
     "a1_rolling_stats": f"with {_TELEMETRY}, r as (select * from (select *, row_number() over (partition by feature order by ts desc, event_id desc) n from t) where n <= 1000) select feature, count(*) n, {_RANK.format(0.5)} p50, {_RANK.format(0.95)} p95, round(avg(fallback::int), 6) fallback_rate, any_value(tokens)::bigint tokens from r join (select feature, sum(k) tokens from t group by 1) using (feature) group by feature",
-    "a6_decision_counts": f"with {_TELEMETRY} select feature, count(*) filter (k >= 70) correct, count(*) filter (k < 50) incorrect, count(*) filter (k between 50 and 69) ambiguous from t group by 1",
+    "a6_decision_counts": f"with {_TELEMETRY}, c as (select feature, count(*) n, count(*) filter (k >= 70) correct, count(*) filter (k < 50) incorrect, count(*) filter (k between 50 and 69) ambiguous from t group by 1) select feature, correct, incorrect, ambiguous, round(correct / n, 6) correct_rate, round(incorrect / n, 6) incorrect_rate, round(ambiguous / n, 6) ambiguous_rate, round(1 - correct / n, 6) corrected_rate from c",
     "a8_cache_tiers": f"with {_TELEMETRY}, h as (select feature, coalesce(epoch(date_trunc('second', ts)) - lag(epoch(date_trunc('second', ts))) over (partition by feature, user_id, k order by ts, event_id) <= 900, false) hit from t) select feature, count(*) filter (hit) hits, count(*) filter (not hit) misses, round(avg(hit::int), 6) hit_rate from h group by 1",
     "a9_label_agreement": "select source, round_even(avg(quality), 3) quality, round_even(avg(toxic), 3) toxic, count(*) filter (toxic = 1) violations from documents left join labels using (doc_id) group by 1",
     "w6_sliding_count": "select event_id, count(*) over (partition by user_id order by s range between 3600 preceding and current row) within_hour from (select *, epoch(date_trunc('second', ts))::bigint s from events)",
     "u2_report_diff": "select item_id, 'unlabelled' side from benchmark where item_id not in (select doc_id from labels) union all select item_id, 'unscored' from benchmark where item_id not in (select doc_id from documents)",
-    "d7_crag_decision": f"with t as (select q.conv_id, q.turn, q.text question, a.text answer from conversations q join conversations a on a.conv_id = q.conv_id and a.turn = q.turn + 1 where q.role = 'user' and a.role = 'assistant'), g as (select conv_id, turn, case when len({_WORDS.format('question')}) = 0 then 0 else len(list_intersect({_WORDS.format('question')}, {_WORDS.format('answer')})) / len({_WORDS.format('question')}) end r, row_number() over (partition by conv_id order by turn) n from t), s as (select conv_id, round(max(r), 6) coverage, bool_or(round(r, 6) >= 0.5) supportive from g where n <= 8 group by 1) select conv_id, coverage, case when coverage >= 0.7 and supportive then 'correct' when coverage < 0.5 and not supportive then 'incorrect' else 'ambiguous' end decision from s",
     "a5_bypass_reasons": f"with {_TELEMETRY} select feature, count(*) n, count(*) filter (k < 20) bypass_disabled, count(*) filter (k >= 80) bypass_too_short, sum(k)::bigint tokens, round(avg(fallback::int), 6) fallback_rate from t group by 1",
     "a7_reflection": f"with {_TELEMETRY} select user_id % 2 = 0 served, feature, count(*) n, round(avg((k >= 30 and k % 3 = 0)::int), 6) first_pass, round(avg((k % 3 > 0)::int), 6) revised, round(avg((k >= 95)::int), 6) abstained, round(avg(fallback::int), 6) fallback_rate, round(avg(k % 3 + 1), 6) mean_iterations from t group by all",
     "a11_health": "select user_id, case when bool_or(event_type = 'error') then 'degraded' else 'ok' end status from events group by 1",
@@ -336,5 +341,5 @@ ORACLES = {
     "u3_source_sets": "with h as (select distinct source from documents where doc_id in (select vec_id from embeddings where label is not null)) select distinct source, 'documents' only_in from documents where source not in (select source from h) union all select source, 'embedded' from h where source not in (select source from documents)",
     "u4_evidence": "select origin, place, count(*) n from (select 'local' origin, source place from documents union all select 'web', regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) from pages) group by all",
     "s1_chunks": "with d as (select doc_id, string_split(text, ' ') w from documents), c as (select doc_id, w, unnest(range(((len(w) - 1) // 200) + 1))::int as chunk from d) select doc_id, chunk, (chunk // 5 + 1)::int page_number, md5(array_to_string(w[chunk * 200 + 1 : chunk * 200 + 200], ' ')) text_md5 from c",
-    "s2_ingestion_report": f"select lang, count(*) discovered, count(*) filter (not {_MAIL}) succeeded, count(distinct source) sources, sum(n_chars)::bigint chars from documents group by 1",
+    "s2_ingestion_report": f"with d as (select *, coalesce(trim(regexp_replace(text, '\\s+', ' ', 'g')), '') = '' bad from documents) select lang, count(*) discovered, count(*) filter (not bad and not {_MAIL}) active, count(*) filter (not bad and {_MAIL}) quarantined, count(*) filter (bad) failed, count(distinct source) sources, coalesce(sum(((len(string_split(text, ' ')) + 199) // 200)) filter (not bad), 0)::bigint chunks from d group by 1",
 }

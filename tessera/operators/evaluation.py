@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.answers import FORBIDDEN
 from tessera.functions.text import PATTERNS, holds, sql_holds
 from tessera.operators.retrieval import bm25
-from tessera.sources.tables import corpus, table, telemetry
+from tessera.sources.shared import kept, released, scratch
+from tessera.sources.tables import corpus, table, telemetry, texts
+from tessera.sources.versions import VersionedTable
+
+#: Documents of a page of a scroll, and those before it.
+SCROLL, SCROLL_FROM = 50, 10
 
 
 def _lines(df: DataFrame, key: str) -> DataFrame:
@@ -57,23 +63,75 @@ def d13_cacheable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def i15_stale_reclaim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clicks without a later purchase of the same user, older than 5 minutes at the table's end, are failed."""
-    e = table(spark, sf_dir, "events")
-    last = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(1, Window.unboundedFollowing)
-    later = F.max(F.when(F.col("event_type") == "purchase", 1)).over(last)
-    open_ones = e.withColumn("later", later).where("event_type = 'click' and later is null")
+    """Clicks without a later purchase of the same user, older than 5 minutes at the table's end, are failed. A user's last purchase
+    is one row: no user's events meet in one task."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", F.struct("ts", "event_id").alias("at"))
+    bought = e.where("event_type = 'purchase'").groupBy("user_id").agg(F.max("at").alias("bought"))
+    open_ones = e.where("event_type = 'click'").join(bought, "user_id", "left").where("bought is null or bought < at")
     stale = F.col("ts") < F.col("latest") - F.expr("interval 5 minutes")
     return open_ones.crossJoin(e.agg(F.max("ts").alias("latest"))).groupBy(F.when(stale, "failed").otherwise("executing").alias("state")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
 
 
+def a9_evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row on all benchmark cases: how many, skipped ones (nothing to find), those that failed (no text), hit rate and mean reciprocal
+    rank to 3 digits over the scored ones (null without any), and cases whose goldens hold a forbidden word."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").isNull().alias("broken"))
+    scored = kept(f21_retrieval_quality(spark, sf_dir), "scored")
+    held = texts(spark, sf_dir).where(F.exists(F.array(*[F.lit(x.lower()) for x in FORBIDDEN]), lambda x: F.contains(F.lower("text"), x))).select("doc_id")
+    bad = goldens(spark, sf_dir).join(held, "doc_id", "left_semi").select("item_id", F.lit(True).alias("violates")).distinct()
+    rows = items.join(scored, "item_id", "left").join(bad, "item_id", "left")
+    mean = lambda c, name: F.bround(F.avg(c), 3).alias(name)
+    out = kept(rows.agg(F.count("*").alias("cases"), F.count_if(F.col("golden").isNull() & ~F.col("broken")).alias("skipped"), F.count_if("broken").alias("errors"), mean(F.col("hit").cast("int"), "hit_rate"), mean(F.col("reciprocal_rank"), "mrr"), F.count_if("violates").alias("violations")), "report")
+    released(scored)
+    return out
+
+
 def s5_delete_and_approve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus without its largest source, with the quarantined documents of the smallest approved."""
-    d = corpus(spark, sf_dir)
+    """A written corpus from which the largest source is deleted, and in which the quarantined documents of the smallest are
+    approved (S5, S6): what the table holds afterwards. Only the parts of these two sources are written anew."""
+    d = corpus(spark, sf_dir).select("doc_id", "source", "ingestion_status")
     sizes = d.groupBy("source").agg(F.count("*").alias("n"))
-    edges = sizes.agg(F.max_by("source", F.struct("n", "source")).alias("gone"), F.min_by("source", F.struct("n", "source")).alias("approved"))
-    left = d.crossJoin(F.broadcast(edges)).where("source <> gone")  # one row
-    status = F.when(F.col("source") == F.col("approved"), "active").otherwise(F.col("ingestion_status"))
-    return left.groupBy("source", status.alias("ingestion_status")).agg(F.count("*").alias("n"))
+    edges = sizes.agg(F.max_by("source", F.struct("n", "source")).alias("gone"), F.min_by("source", F.struct("n", "source")).alias("approved")).first()
+    chunks = VersionedTable(spark, scratch(spark, "corpus"), "source")
+    chunks.create(d)
+    chunks.delete(F.col("source") == edges["gone"])
+    chunks.update((F.col("source") == edges["approved"]) & (F.col("ingestion_status") == "quarantined"), {"ingestion_status": F.lit("active")})
+    held = kept(chunks.read().groupBy("source", "ingestion_status").agg(F.count("*").alias("n")), "held")
+    chunks.drop()
+    return held
+
+
+def s4_bounded_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scroll over the active documents of each source: SCROLL of them in order of id, from the id that the last page ended
+    with (here the source's tenth) on."""
+    active = corpus(spark, sf_dir).where("ingestion_status = 'active'").select("source", "doc_id")
+    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    # a rank bounded by a filter: each task keeps so many rows of a source before they shuffle
+    return active.withColumn("place", place).where((F.col("place") > SCROLL_FROM) & (F.col("place") <= SCROLL_FROM + SCROLL)).select("source", "doc_id", "place")
+
+
+def s15_cutover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two candidates to replace the served corpus: the embedded documents, then all documents with backfilled status. One is
+    swapped in only if it holds all documents of each source; what is served after each."""
+    d = corpus(spark, sf_dir).select("doc_id", "source", "ingestion_status")
+    serving = VersionedTable(spark, scratch(spark, "serving"), "doc_id")
+    serving.create(d.withColumn("ingestion_status", F.lit(None).cast("string")))
+    want = kept(d.groupBy("source").agg(F.count("*").alias("n")), "want")
+
+    def whole(candidate: DataFrame) -> bool:
+        return want.join(candidate.groupBy("source").agg(F.count("*").alias("m")), "source", "full").where("n is distinct from m").isEmpty()
+
+    embedded = d.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    after = None
+    for step, candidate in enumerate((embedded, d), 1):
+        swapped = serving.swap(candidate, whole)
+        told = serving.read().groupBy("source", F.coalesce("ingestion_status", F.lit("none")).alias("ingestion_status")).agg(F.count("*").alias("n"))
+        told = told.select(F.lit(step).alias("step"), F.lit(swapped).alias("swapped"), "source", "ingestion_status", "n")
+        after = told if after is None else after.unionByName(told)  # each reads the version that was current then
+    out = kept(after, "served")
+    serving.drop()
+    released(want)
+    return out
 
 
 def s15_cutover_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +155,7 @@ def f25_date_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy(F.year("o_orderdate").alias("y"), F.quarter("o_orderdate").alias("q")).agg(F.count("*").alias("n"), F.min(F.date_trunc("week", "o_orderdate")).cast("date").alias("first_week"), F.max(F.dayofyear("o_orderdate")).alias("last_day"))
 
 
-_ALL = [f20_source_overlap, f21_retrieval_quality, d11_cohorts, d13_cacheable, i15_stale_reclaim, s5_delete_and_approve, s15_cutover_check, a13_categories, f25_date_parts]
+_ALL = [a9_evaluation_report, f20_source_overlap, f21_retrieval_quality, d11_cohorts, d13_cacheable, i15_stale_reclaim, s4_bounded_scan, s5_delete_and_approve, s15_cutover, s15_cutover_check, a13_categories, f25_date_parts]
 QUERIES = {f.__name__: f for f in _ALL}
 
 _T = "t as (select event_type feature, user_id, (props->>'$.k')::int k, (props->>'$.k')::int % 5 = 0 fallback from events)"
@@ -116,7 +174,13 @@ ORACLES = {
     "d13_cacheable": f"with {_T}, x as (select feature, not fallback and feature <> 'error' and k >= 50 ok from t) select feature, count(*) filter (ok) cacheable, count(*) filter (not ok) refused from x group by 1",
     "i15_stale_reclaim": "with e as (select *, max(case when event_type = 'purchase' then 1 end) over (partition by user_id order by ts, event_id rows between 1 following and unbounded following) later from events) select case when ts < (select max(ts) from events) - interval 5 minutes then 'failed' else 'executing' end state, count(*) n, count(distinct user_id) users from e where event_type = 'click' and later is null group by 1",
     "s5_delete_and_approve": f"with s as (select source, count(*) n from documents group by 1), g as (select (select source from s order by n desc, source desc limit 1) gone, (select source from s order by n, source limit 1) approved) select source, case when source = approved or not {_MAIL} then 'active' else 'quarantined' end ingestion_status, count(*) n from documents, g where source <> gone group by all",
+    "s4_bounded_scan": f"select source, doc_id, place::int place from (select source, doc_id, row_number() over (partition by source order by doc_id) place from documents where not {_MAIL}) where place between 11 and 60",
+    "s15_cutover": f"with d as (select source, case when {_MAIL} then 'quarantined' else 'active' end s, doc_id in (select vec_id from embeddings) held from documents), a as (select bool_and(held) ok from d) select 1 as step, ok swapped, source, case when ok then s else 'none' end ingestion_status, count(*) n from d, a group by all union all select 2, true, source, s, count(*) from d group by all",
     "s15_cutover_check": "select source, count(*) documents, count(v) embedded, count(*) = count(v) complete from documents left join (select distinct vec_id v from embeddings) on v = doc_id group by 1",
     "a13_categories": "select source, concat_ws(',', " + ", ".join(f"case when bool_or({sql_holds('text', k)}) then '{k}' end" for k in sorted(PATTERNS)) + ") categories from documents group by 1",
     "f25_date_parts": "select year(o_orderdate)::int y, quarter(o_orderdate)::int q, count(*) n, min(date_trunc('week', o_orderdate))::date first_week, max(dayofyear(o_orderdate))::int last_day from orders group by all",
 }
+_FORBIDDEN = " or ".join(f"contains(lower(text), '{x.lower()}')" for x in FORBIDDEN)
+_LINES = "list_filter(string_split(text, chr(10)), lambda x: len(string_split(x, ' ')) >= 5)"
+ORACLES["a9_evaluation_report"] = f"""with s as ({ORACLES["f21_retrieval_quality"]}), l as (select doc_id, unnest({_LINES}) line from documents where {_FORBIDDEN}), g as (select distinct item_id from (select item_id, unnest({_LINES}) line from benchmark) join l using (line))
+select count(*) cases, count(*) filter (golden is null and text is not null) skipped, count(*) filter (text is null) errors, round_even(avg(hit::int), 3) hit_rate, round_even(avg(reciprocal_rank), 3) mrr, count(g.item_id) violations from benchmark left join s using (item_id) left join g using (item_id)"""

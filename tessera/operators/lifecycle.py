@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from tessera.functions.guardrails import decided
 from tessera.functions.text import collapsed, findings, sql_findings
 from tessera.operators.vector_index import knn
-from tessera.sources.shared import scratch
+from tessera.sources.shared import kept, released, removed, scratch
 from tessera.sources.tables import EMAIL, corpus, table, telemetry
+from tessera.sources.versions import Conflict, VersionedTable
 
 #: A proposal expires after, an execution is given up after (seconds); rows of the pending queue; seconds that
 #: each cache tier keeps its entries; the least confidence of a route to SQL.
@@ -46,6 +47,57 @@ def d16_proposal_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proposals(e)
 
 
+def claimed(table: VersionedTable, requests: DataFrame, owner: str, base: int | None = None) -> DataFrame:
+    """(id, outcome) of requests(id, user_id, at) for proposals in a table (id, user_id, created, state, claimed_by): executing,
+    proposal_expired, proposal_already_consumed, or not_found for an id that isn't there or is somebody else's.
+
+    The decision is made on one version and committed on top of it. Where another claimant has committed meanwhile, it is made
+    again on what that one has left, so each proposal is executed once. base: a version read before, for a first try."""
+    asked = kept(requests.groupBy("id").agg(F.min_by(F.struct("user_id", "at"), "at").alias("r")).select("id", "r.*"), "asked")
+    while True:
+        base = table.version() if base is None else base
+        held = table.read(base).select("id", F.col("user_id").alias("owner"), "created", "state")
+        late = F.unix_micros("at") - F.unix_micros("created") >= EXPIRES * 1_000_000
+        own = F.col("owner") == F.col("user_id")
+        outcome = F.when(~F.coalesce(own, F.lit(False)), "not_found").when(F.col("state") != "proposed", "proposal_already_consumed").when(late, "proposal_expired").otherwise("executing")
+        told = kept(asked.join(held, "id", "left").select("id", outcome.alias("outcome")), "told")
+        won = told.where("outcome in ('executing', 'proposal_expired')").select("id", F.when(F.col("outcome") == "executing", "executing").otherwise("expired").alias("now"))
+
+        def applied(df: DataFrame, won: DataFrame = won) -> DataFrame:
+            j = df.join(won, "id", "left")
+            return j.withColumns({"state": F.coalesce("now", "state"), "claimed_by": F.when(F.col("now") == "executing", owner).otherwise(F.col("claimed_by"))}).drop("now")
+
+        try:
+            table.merge(won.select("id"), applied, base)
+            released(asked)
+            return told
+        except Conflict:
+            released(told)
+            base = None
+
+
+def i14_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signups and views as proposals, claimed by the user's next event if it is a click. Two claimants decide on the same version: one
+    asks for clicks from 6 o'clock on and commits, the other asks for those before 12, finds its version gone, and decides again.
+    Outcomes for both, and the states that the table ends in."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    after = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = e.select("event_id", "user_id", "event_type", "ts", F.lead("event_type").over(after).alias("then"), F.lead("ts").over(after).alias("at"))
+    p = kept(e.where("event_type in ('signup', 'view')").select(F.col("event_id").alias("id"), "user_id", "ts", "then", "at"), "proposals")
+    proposals = VersionedTable(spark, scratch(spark, "claims"), "id")
+    proposals.create(p.select("id", "user_id", F.col("ts").alias("created"), F.lit("proposed").alias("state"), F.lit(None).cast("string").alias("claimed_by")))
+    clicks = p.where("then = 'click'").select("id", "user_id", "at")
+    base = proposals.version()
+    late = claimed(proposals, clicks.where("hour(at) >= 6"), "late", base)
+    early = claimed(proposals, clicks.where("hour(at) < 12"), "early", base)
+    states = proposals.read().select(F.coalesce("claimed_by", F.lit("none")).alias("who"), "state")
+    tell = lambda df, who: df.select(F.lit(who).alias("who"), F.concat(F.lit("outcome "), "outcome").alias("state"))
+    out = kept(states.unionByName(tell(late, "late")).unionByName(tell(early, "early")).groupBy("who", "state").agg(F.count("*").alias("n")), "claims")
+    proposals.drop()
+    released(p, late, early)
+    return out
+
+
 def d15_document_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uploads: the scan passes or fails them; a decision (labels: good quality approves, bad rejects) moves those that wait for
     one. Failed uploads lose their chunks and can't be approved; passed ones stay quarantined until approved."""
@@ -90,11 +142,13 @@ def i13_counter_bump(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d17_version_invalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Views write cache entries under the user's version at that time; only those of the last version can be reached."""
-    by_user = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    e = table(spark, sf_dir, "events").withColumn("version", F.count_if(F.col("event_type") == "purchase").over(by_user) + 1)
-    last = e.withColumn("last", F.max("version").over(Window.partitionBy("user_id"))).where("event_type = 'view'")
-    return last.groupBy("user_id").agg(F.count_if(F.col("version") == F.col("last")).alias("reachable"), F.count_if(F.col("version") < F.col("last")).alias("stale"))
+    """Views write cache entries under the user's version at that time; only those of the last version, written after the user's last
+    purchase, can be reached. That purchase is one row a user: no user's events meet in one task."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", F.struct("ts", "event_id").alias("at"))
+    bump = e.where("event_type = 'purchase'").groupBy("user_id").agg(F.max("at").alias("bumped"))
+    views = e.where("event_type = 'view'").join(bump, "user_id", "left")
+    live = F.col("bumped").isNull() | (F.col("at") > F.col("bumped"))
+    return views.groupBy("user_id").agg(F.count_if(live).alias("reachable"), F.count_if(~live).alias("stale"))
 
 
 def p5_owner_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,9 +166,9 @@ def p9_graded(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     found = knn(asked, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 20)
     good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id")).distinct()
-    kept = found.where("score >= 0.5").join(good, "id", "left_semi")
+    fit = found.where("score >= 0.5").join(good, "id", "left_semi")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
-    return kept.withColumn("place", place).where("place <= 3").select("query_id", "place", "id")
+    return fit.withColumn("place", place).where("place <= 3").select("query_id", "place", "id")
 
 
 def d12_route(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,8 +196,10 @@ def s3_upsert_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     d.withColumn("ingestion_status", F.lit("quarantined")).write.mode("append").partitionBy("source").parquet(out)
     again = d.where("crc32(source) % 2 = 0").withColumn("ingestion_status", F.lit("active"))
     again.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(out)
-    kept = spark.read.schema("doc_id long, text_md5 string, ingestion_status string, source string").parquet(out)
-    return kept.groupBy("source", "ingestion_status").agg(F.count("*").alias("n"), F.countDistinct("text_md5").alias("texts"))
+    held = spark.read.schema("doc_id long, text_md5 string, ingestion_status string, source string").parquet(out)
+    told = kept(held.groupBy("source", "ingestion_status").agg(F.count("*").alias("n"), F.countDistinct("text_md5").alias("texts")), "told")
+    removed(spark, out)
+    return told
 
 
 def s7_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,7 +234,7 @@ def s11_recorded_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(recorded, "key", "left").select("conv_id", "turn", F.coalesce("recorded", F.lit(0)).cast("long").alias("recorded"))
 
 
-QUERIES = {f.__name__: f for f in (d16_proposal_lifecycle, d15_document_lifecycle, i6_pending_queue, i9_insert_if_absent, i10_partial_update, i12_state_stamp, i13_counter_bump, d17_version_invalidation, p5_owner_filter, p9_graded, d12_route, d14_config_invariants, s3_upsert_sink, s7_backfill, s9_ttl_cache, s11_recorded_fixture)}
+QUERIES = {f.__name__: f for f in (d16_proposal_lifecycle, i14_claims, d15_document_lifecycle, i6_pending_queue, i9_insert_if_absent, i10_partial_update, i12_state_stamp, i13_counter_bump, d17_version_invalidation, p5_owner_filter, p9_graded, d12_route, d14_config_invariants, s3_upsert_sink, s7_backfill, s9_ttl_cache, s11_recorded_fixture)}
 
 _K = "t as (select event_type feature, ts, event_id, user_id, value duration_ms, (props->>'$.k')::int k, (props->>'$.k')::int % 5 = 0 fallback from events)"
 _FLAT = "trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'))"
@@ -194,6 +250,10 @@ case when e.event_type in ('signup', 'view') then 'proposed' when state = 'propo
 from f join e on e.user_id = f.user_id and e.p = f.p + 1),
 l as (select *, row_number() over (partition by proposal order by p desc) r from f where proposal is not null)
 select user_id, proposal event_id, case when state = 'executing' and now - approved > interval 300 seconds then 'failed' else state end as state from l where r = 1""",
+    "i14_claims": """with e as (select *, lead(event_type) over w nxt, lead(ts) over w at_ from events window w as (partition by user_id order by ts, event_id)), p as (select *, nxt = 'click' asked, hour(at_) h, epoch_us(at_) - epoch_us(ts) >= 300000000 too_late from e where event_type in ('signup', 'view')),
+s as (select case when not coalesce(asked, false) then 'none' when too_late then 'none' when h >= 6 then 'late' else 'early' end who, case when not coalesce(asked, false) then 'proposed' when too_late then 'expired' else 'executing' end as state from p
+union all select 'late', 'outcome ' || case when too_late then 'proposal_expired' else 'executing' end from p where asked and h >= 6 union all select 'early', 'outcome ' || case when h >= 6 then 'proposal_already_consumed' when too_late then 'proposal_expired' else 'executing' end from p where asked and h < 12)
+select who, state, count(*) n from s group by all""",
     "d15_document_lifecycle": f"with j as (select list_contains({sql_findings('text')}, 'credential_shaped_token') bad, quality from documents left join labels using (doc_id)), s as (select *, case when quality <> 1 then 'rejected' when bad then 'scan_failed' when quality = 1 then 'active' else 'scan_passed' end as state from j) select state, case when state in ('rejected', 'scan_failed') then 'deleted' when state = 'active' then 'active' else 'quarantined' end as chunks, bad and coalesce(quality = 1, false) refused, count(*) n from s group by all",
     "i6_pending_queue": f"select doc_id, source from documents where regexp_matches(text, '{EMAIL}') order by doc_id limit 50",
     "i9_insert_if_absent": "select c_custkey id, 'customer' origin from customer union all select distinct user_id, 'event' from events where user_id not in (select c_custkey from customer)",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import collapsed
-from tessera.sources.shared import scratch
+from tessera.sources.shared import kept, removed, scratch
 from tessera.sources.tables import table, telemetry, turns
 
 #: Different hypotheses that a query needs; kinds of generated accounts.
@@ -87,10 +87,13 @@ def r15_record_and_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
         c.where(part).select("cache_key", "namespace").write.mode("append").partitionBy("namespace").parquet(out)
     held = spark.read.schema("cache_key string, namespace string").parquet(out)
     held.groupBy("namespace").agg(F.count("*").alias("held")).write.parquet(told)
-    kept = scratch(spark, "pointers")
-    held.where("length(namespace) % 2 = 0").write.partitionBy("namespace").parquet(kept)
-    left = spark.read.schema("cache_key string, namespace string").parquet(kept).groupBy("namespace").agg(F.count("*").alias("left"))
-    return spark.read.schema("namespace string, held long").parquet(told).join(left, "namespace", "left").select("namespace", "held", F.coalesce("left", F.lit(0)).cast("long").alias("left"))
+    emptied = scratch(spark, "pointers")
+    held.where("length(namespace) % 2 = 0").write.partitionBy("namespace").parquet(emptied)
+    left = spark.read.schema("cache_key string, namespace string").parquet(emptied).groupBy("namespace").agg(F.count("*").alias("left"))
+    counts = spark.read.schema("namespace string, held long").parquet(told).join(left, "namespace", "left").select("namespace", "held", F.coalesce("left", F.lit(0)).cast("long").alias("left"))
+    result = kept(counts, "counts")
+    removed(spark, out, told, emptied)
+    return result
 
 
 QUERIES = {f.__name__: f for f in (s12_golden_cases, s13_report, s14_generated, p8_feature_filter, p11_previews, r7_hypotheses, r15_record_and_clear)}

@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 
 from tessera.operators.text_index import TextIndex, terms
 from tessera.operators.vector_index import knn
-from tessera.sources.shared import kept
-from tessera.sources.tables import corpus, table
+from tessera.sources.tables import corpus, table, texts
 
 #: The fusion constant, list sizes.
 RRF_K, CANDIDATES, TOP = 60, 20, 5
-CACHE_THRESHOLD = 0.95
+CACHE_THRESHOLD, MAX_EVIDENCE, ENTRY_HOURS = 0.95, 10, 12
 
 
 def ranked(df: DataFrame, by: str = "query_id", score: str = "score", tie: str = "id") -> DataFrame:
@@ -90,12 +89,18 @@ def r9_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r14_semantic_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest entry of the same label at CACHE_THRESHOLD or more, other than the asking vector itself."""
+    """Nearest entry of the same label at CACHE_THRESHOLD or more, other than the asking vector itself, among entries that are live;
+    without one the next live entry below the threshold is told as a miss. An entry was written at the time of the event with its
+    number and lives ENTRY_HOURS: those older than that when the last entry was written are expired, those without an event were
+    never written."""
     e = table(spark, sf_dir, "embeddings")
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("vec_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    written = e.select("vec_id").join(events, "vec_id")
+    live = written.crossJoin(F.broadcast(written.agg(F.max("at").alias("now")))).where(F.col("now") - F.col("at") < ENTRY_HOURS * 3_600_000_000)  # one row
     queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "label")
-    found = knn(queries, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label"), TOP + 1, same="label")
-    live = found.where((F.col("id") != F.col("query_id")) & (F.col("score") >= CACHE_THRESHOLD))
-    return ranked(live).where("rank = 1").select("query_id", "id", F.round("score", 5).alias("score"))
+    entries = e.join(live, "vec_id", "left_semi").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    found = knn(queries, entries, 2, same="label").where(F.col("id") != F.col("query_id"))
+    return ranked(found.drop("rank")).where("rank = 1").select("query_id", "id", F.round("score", 5).alias("score"), (F.col("score") >= CACHE_THRESHOLD).alias("hit"))
 
 
 def r6_embedding_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,17 +117,14 @@ def r16_cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", F.sha2(F.concat_ws(":", F.lit("rag"), F.lit("v8"), F.lit("main"), F.lit("5"), flat), 256).alias("cache_key"))
 
 
-def r17_embedding_memo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of all turns: how many look-ups one computation serves."""
-    c = table(spark, sf_dir, "conversations").where("text is not null")
-    return c.groupBy(F.sha2(F.concat(F.lit("model:"), F.col("text")), 256).alias("memo_key")).agg(F.count("*").alias("lookups"), F.min("conv_id").alias("first_conv"))
-
-
 def r18_evidence_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of documents with one source and the same text apart from case and white space the first stays."""
-    d = table(spark, sf_dir, "documents")
-    key = F.md5(F.trim(F.regexp_replace(F.lower("text"), "[ \\t\\n\\r]+", " ")))
-    return d.select("source", key.alias("key"), "doc_id").groupBy("source", "key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    """Retrieved evidence of each item, in rank order: of pieces with one source, one page (here the language) and the same text apart
+    from case and white space the first stays, MAX_EVIDENCE of them at most."""
+    found = hybrid(spark, sf_dir, CANDIDATES).select("query_id", "id", "rank")
+    d = texts(spark, sf_dir).select(F.col("doc_id").alias("id"), "source", "lang", F.md5(F.trim(F.regexp_replace(F.lower("text"), "[ \\t\\n\\r]+", " "))).alias("key"))
+    first = found.join(d, "id").groupBy("query_id", "source", "lang", "key").agg(F.min(F.struct("rank", "id")).alias("f"), F.count("*").alias("copies"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("f.rank"))
+    return first.withColumn("place", place).where(F.col("place") <= MAX_EVIDENCE).select("query_id", "place", "f.id", "copies")
 
 
 def r20_char_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +136,7 @@ def r20_char_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("query_id", "rank", "id", F.least("n", 30000 - F.col("before")).cast("long").alias("used"))
 
 
-QUERIES = {f.__name__: f for f in (r1_dense_knn, r2_bm25, r3_hybrid_rrf, r6_embedding_fusion, r9_rerank, r14_semantic_cache, r16_cache_key, r17_embedding_memo, r18_evidence_dedupe, r20_char_budget)}
+QUERIES = {f.__name__: f for f in (r1_dense_knn, r2_bm25, r3_hybrid_rrf, r6_embedding_fusion, r9_rerank, r14_semantic_cache, r16_cache_key, r18_evidence_dedupe, r20_char_budget)}
 
 _COSINE = "round(list_dot_product(a.embedding::double[], b.embedding::double[]) / (sqrt(list_dot_product(a.embedding::double[], a.embedding::double[])) * sqrt(list_dot_product(b.embedding::double[], b.embedding::double[]))), 9)"
 _ACTIVE = r"active as (select doc_id id, text from documents where not regexp_matches(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b'))"
@@ -154,9 +156,8 @@ ORACLES = {
     "r3_hybrid_rrf": f"{_HYBRID} select query_id, rank::int rank, id, round(score, 6) score, round(least(score / (2.0 / 60), 1.0), 6) norm from h where rank <= 5",
     "r6_embedding_fusion": "with p as (select label, unnest(range(64))::int pos, embedding from embeddings where embedding is not null and label is not null), m as (select label, pos, avg(embedding[pos + 1]::double) m from p group by all) select label, pos, round(m / sqrt(sum(m * m) over (partition by label)), 6) x from m",
     "r9_rerank": f"{_HYBRID}, s as (select h.query_id, h.id, h.rank original_rank, round(len(list_intersect(list_distinct(regexp_extract_all(lower(i.text), '[a-z0-9]+')), list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9]+')))) / len(list_distinct(regexp_extract_all(lower(i.text), '[a-z0-9]+'))), 6) rerank_score from h join benchmark i on i.item_id = h.query_id join documents d on d.doc_id = h.id where h.rank <= 20) select query_id, rank::int rank, id, original_rank::int original_rank, rerank_score from (select *, row_number() over (partition by query_id order by rerank_score desc, original_rank) rank from s) where rank <= 5",
-    "r14_semantic_cache": f"select query_id, id, round(score, 5) score from (select *, row_number() over (partition by query_id order by score desc, id) r from (select a.vec_id query_id, b.vec_id id, {_COSINE} score from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id where a.vec_id % 100 = 0) where score >= 0.95) where r = 1",
+    "r14_semantic_cache": f"with written as (select event_id, epoch_us(ts) at_ from events where event_id in (select vec_id from embeddings)), live as (select event_id from written where (select max(at_) from written) - at_ < 12 * 3600000000) select query_id, id, round(score, 5) score, score >= 0.95 hit from (select *, row_number() over (partition by query_id order by score desc, id) r from (select a.vec_id query_id, b.vec_id id, {_COSINE} score from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id where a.vec_id % 100 = 0 and b.vec_id in (select event_id from live))) where r = 1",
     "r16_cache_key": "select conv_id, turn, sha256('rag:v8:main:5:' || trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'))) cache_key from conversations where role = 'user'",
-    "r17_embedding_memo": "select sha256('model:' || text) memo_key, count(*) lookups, min(conv_id) first_conv from conversations where text is not null group by 1",
-    "r18_evidence_dedupe": "select source, md5(trim(regexp_replace(lower(text), '[ \\t\\n\\r]+', ' ', 'g'))) as key, min(doc_id) doc_id, count(*) copies from documents group by 1, 2",
+    "r18_evidence_dedupe": f"{_HYBRID}, e as (select query_id, id, rank, source, lang, md5(trim(regexp_replace(lower(text), '[ \\t\\n\\r]+', ' ', 'g'))) as key from h join documents on doc_id = id where rank <= 20), g as (select query_id, min(rank) r, arg_min(id, rank) id, count(*) copies from e group by query_id, source, lang, key) select query_id, place::int place, id, copies from (select *, row_number() over (partition by query_id order by r) place from g) where place <= 10",
     "r20_char_budget": f"{_HYBRID}, b as (select h.query_id, h.rank, h.id, length(d.text) n, coalesce(sum(length(d.text)) over (partition by query_id order by rank rows between unbounded preceding and 1 preceding), 0) before from h join documents d on d.doc_id = h.id where h.rank <= 10) select query_id, rank::int rank, id, least(n, 30000 - before)::bigint used from b where before < 30000",
 }

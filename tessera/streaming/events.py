@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessera.sources.shared import scratch
+from tessera.sources.shared import kept, removed, scratch
 from tessera.sources.tables import table
 
 #: Admissions of a user within the seconds before.
@@ -37,7 +37,9 @@ def drained(df: DataFrame, mode: str = "append") -> DataFrame:
     spark = df.sparkSession
     out = scratch(spark, "stream")
     df.writeStream.outputMode(mode).format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{out}/rows")
+    rows = kept(spark.read.schema(df.schema).parquet(f"{out}/rows"), "rows")
+    removed(spark, out)
+    return rows
 
 
 def st_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
