@@ -2,11 +2,12 @@
 
 Cells are split by size first: two sets whose sizes can reach the threshold share a size class or have neighbouring ones, so
 each set visits its own class and the next. Small cells give their pairs. In a large cell a leader, the most central member,
-is compared with all others. Let d = 1 - Jaccard, a metric, and e = 1 - threshold. Members within e of the leader are linked
-to it and so to each other. What is left forms the cell of the next round. A link between a left member x and a member y near
-the leader implies d(x) <= 2 e and d(y) >= d(x) - e; these pairs are compared at the end, and only where x is still in
-another component than the leader. After the last round the rest gives its pairs. So no link between components is lost,
-whatever the cells' sizes, while a group of near copies costs one comparison a member.
+is compared with all others, and so are further ones, picked by a hash, where several are asked for. Let d = 1 - Jaccard, a
+metric, and e = 1 - threshold. Members within e of a leader are linked to it and so to each other. What is left forms the cell
+of the next round. A link between a left member x and a member y near the leader implies d(x) <= 2 e and d(y) >= d(x) - e;
+these pairs are compared at the end, and only where x is still in another component than the leader. After the last round (by
+default there is one) the rest gives its pairs. So no link between components is lost, whatever the cells' sizes, while a
+group of near copies costs one comparison a member and leader.
 
 Most candidates never need their tokens: each set has parity bitmaps (elements counted modulo 2 a bit), a short one that
 stands in the cells and, for large sets, one of about as many bits as it has elements. The bits in which two bitmaps differ
@@ -139,7 +140,7 @@ def split_cells(cells: DataFrame, small: int = SMALL_CELL) -> tuple[DataFrame, D
     return known.where(F.col("members") <= small).drop("members"), known.where(F.col("members") > small).drop("members")
 
 
-def link_cells(cells: DataFrame, index: Index, small: int = SMALL_CELL, rounds: int = ROUNDS) -> tuple[list[DataFrame], DataFrame | None, DataFrame]:
+def link_cells(cells: DataFrame, index: Index, small: int = SMALL_CELL, rounds: int = ROUNDS, leaders_a_cell: int = 1) -> tuple[list[DataFrame], DataFrame | None, DataFrame]:
     """(links, names, pairs): verified links (a, b), their components (vertex, component), None without any, and candidate
     pairs (a, b), each once, with which the links join all members of a cell that links within the cell join.
     cells(cell, v, n, p, central): distinct (cell, v), p with their short bitmaps."""
@@ -154,7 +155,10 @@ def link_cells(cells: DataFrame, index: Index, small: int = SMALL_CELL, rounds:
     for _ in range(rounds):
         if many.isEmpty():
             break
-        leaders = many.groupBy("cell").agg(F.max(F.struct("central", "v", "n", "p")).alias("l")).select("cell", F.col("l.v").alias("b"), F.col("l.n").alias("lead_n"), F.col("l.p").alias("lead_p"))
+        # the most central member, then others by a hash: groups in a cell get leaders as they have members
+        picks = [F.max(F.struct("central", "v", "n", "p"))["v"], *(F.max_by("v", F.xxhash64("v", F.lit(k))) for k in range(1, leaders_a_cell))]
+        chosen = many.groupBy("cell").agg(F.array_distinct(F.array(*picks)).alias("b")).select("cell", F.explode("b").alias("b"))
+        leaders = chosen.join(many.select("cell", F.col("v").alias("b"), F.col("n").alias("lead_n"), F.col("p").alias("lead_p")), ["cell", "b"])
         met = many.join(leaders, "cell").where("v <> b").withColumnRenamed("v", "a")
         asked = met.where(may_link(F.col("n"), F.col("lead_n"), F.col("p"), F.col("lead_p"), wide, den)).groupBy("a", "b").agg(F.first("n").alias("n"), F.first("p").alias("p"))
         asked = cut(bounded(asked, index).where(bits_can_reach(F.col("na"), F.col("nb"), F.col("bits"), wide, den)))

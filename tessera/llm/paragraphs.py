@@ -21,6 +21,10 @@ from .linking import FOLD, PARITY, SMALL_CELL, Index, components_of, folds, link
 from .ngram_join import set_names
 
 
+#: Members of a large band bucket that all others are compared with before any of its pairs are.
+LEADERS = 16
+
+
 def tuned_bands(threshold: float, recall: float = 0.9995, most_bands: int = 8) -> tuple[int, int]:
     """(bands, rows of a band): of all that reach the recall at the threshold with most_bands bands at most, the most
     selective. A band costs a shuffled row a paragraph, so the bands are bounded first."""
@@ -119,7 +123,7 @@ def duplicate_paragraphs(
         return cut(texts.mapInArrow(tokens_of, "v binary, n long, tokens array<long>").join(sized(wanted.select("v")), "v", "left_semi").dropDuplicates(["v"]))
 
     index = Index(marks, fetch, num, den)
-    links, _, across = link_cells(cells, index, small_cell)
+    links, _, across = link_cells(cells, index, small_cell, leaders_a_cell=LEADERS)
     drop_cut(cells)
     last = verified(across, index)
     drop_cut(across, marks)
