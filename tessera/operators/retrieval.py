@@ -14,6 +14,8 @@ from tessera.sources.tables import corpus, table, texts
 
 #: The fusion constant, list sizes.
 RRF_K, CANDIDATES, TOP = 60, 20, 5
+#: Labels up to which a list of them is broadcast.
+BROADCAST_LABELS = 100_000
 CACHE_THRESHOLD, MAX_EVIDENCE, ENTRY_HOURS = 0.95, 10, 12
 
 
@@ -104,9 +106,12 @@ def r14_semantic_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r6_embedding_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean of each label's vectors, scaled to length 1."""
-    e = table(spark, sf_dir, "embeddings").where("embedding is not null and label is not null")
-    means = e.select("label", F.posexplode("embedding").alias("pos", "x")).groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    """Mean of each label's vectors, scaled to length 1. Vectors with null or non-finite components take no part; a label whose vectors
+    differ in length, or whose mean is zero, has none."""
+    e = table(spark, sf_dir, "embeddings").where("label is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < float('infinity'))")
+    one_length = e.groupBy("label").agg(F.min(F.size("embedding")).alias("least"), F.max(F.size("embedding")).alias("most")).where("least = most").select("label")
+    same = e.join(F.broadcast(one_length), "label", "left_semi") if one_length.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS else e.join(one_length, "label", "left_semi")
+    means = same.select("label", F.posexplode("embedding").alias("pos", "x")).groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
     norm = F.sqrt(F.sum(F.col("m") * F.col("m")).over(Window.partitionBy("label")))
     return means.withColumn("norm", norm).where("norm > 1e-12").select("label", "pos", F.round(F.col("m") / F.col("norm"), 6).alias("x"))
 
@@ -154,7 +159,7 @@ ORACLES = {
     "r1_dense_knn": f"select query_id, id, round(score, 5) score from (select a.vec_id query_id, b.vec_id id, {_COSINE} score, row_number() over (partition by a.vec_id order by {_COSINE} desc, b.vec_id) r from embeddings a, embeddings b where a.vec_id % 100 = 0) where r <= 5",
     "r2_bm25": f"with {_BM25} select query_id, id, round(score, 4) score from bmr where rank <= 5",
     "r3_hybrid_rrf": f"{_HYBRID} select query_id, rank::int rank, id, round(score, 6) score, round(least(score / (2.0 / 60), 1.0), 6) norm from h where rank <= 5",
-    "r6_embedding_fusion": "with p as (select label, unnest(range(64))::int pos, embedding from embeddings where embedding is not null and label is not null), m as (select label, pos, avg(embedding[pos + 1]::double) m from p group by all) select label, pos, round(m / sqrt(sum(m * m) over (partition by label)), 6) x from m",
+    "r6_embedding_fusion": "with u as (select label, embedding, len(embedding) n from embeddings where embedding is not null and label is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0), p as (select label, unnest(range(n))::int pos, embedding from u where label in (select label from u group by 1 having min(n) = max(n))), m as (select label, pos, avg(embedding[pos + 1]::double) m from p group by all) select label, pos, round(m / sqrt(sum(m * m) over (partition by label)), 6) x from m",
     "r9_rerank": f"{_HYBRID}, s as (select h.query_id, h.id, h.rank original_rank, round(len(list_intersect(list_distinct(regexp_extract_all(lower(i.text), '[a-z0-9]+')), list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9]+')))) / len(list_distinct(regexp_extract_all(lower(i.text), '[a-z0-9]+'))), 6) rerank_score from h join benchmark i on i.item_id = h.query_id join documents d on d.doc_id = h.id where h.rank <= 20) select query_id, rank::int rank, id, original_rank::int original_rank, rerank_score from (select *, row_number() over (partition by query_id order by rerank_score desc, original_rank) rank from s) where rank <= 5",
     "r14_semantic_cache": f"with written as (select event_id, epoch_us(ts) at_ from events where event_id in (select vec_id from embeddings)), live as (select event_id from written where (select max(at_) from written) - at_ < 12 * 3600000000) select query_id, id, round(score, 5) score, score >= 0.95 hit from (select *, row_number() over (partition by query_id order by score desc, id) r from (select a.vec_id query_id, b.vec_id id, {_COSINE} score from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id where a.vec_id % 100 = 0 and b.vec_id in (select event_id from live))) where r = 1",
     "r16_cache_key": "select conv_id, turn, sha256('rag:v8:main:5:' || trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'))) cache_key from conversations where role = 'user'",

@@ -1,4 +1,5 @@
-"""Processors with keyed state and timers: an admission limit that counts, or doesn't count, what it has denied."""
+"""Processors with keyed state and timers: an admission limit that counts, or doesn't count, what it has denied; executions that are
+ended or given up."""
 
 from __future__ import annotations
 
@@ -14,6 +15,8 @@ from tessera.streaming.events import LIMIT, SECONDS, drained, stream
 
 #: Milliseconds of event time whose hits wait together for the watermark; what a task holds at once is one such span of a key.
 SPAN_MS = 3_600_000
+#: Fixed value: seconds until an execution is given up.
+GIVEN_UP = 300
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -31,53 +34,91 @@ def rocks(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_PROVIDER, before)
 
 
-class Limiter(StatefulProcessor):
-    """Decides hits in order of time, however they arrive. A hit waits in map state under its span; when the watermark passes
-    the span's end, a timer decides its hits: against admissions no older than `seconds`, and against all hits less old than that,
-    denied ones too. State holds `limit` admissions and one hit more at most, besides what waits."""
-
-    def __init__(self, limit: int, seconds: float):
-        self.limit, self.micros = limit, int(seconds * 1_000_000)
+class InOrder(StatefulProcessor):
+    """Rows (micros, event_id, ...) of a key in order of time, however they arrive: they wait in map state under their span of event
+    time, and a timer hands a span's rows on when the watermark passes its end."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "span long", "times array<long>, ids array<long>")
-        self.held = handle.getValueState("held", "admitted array<long>, every array<long>")
+        self.waiting = handle.getMapState("waiting", "span long", "times array<long>, ids array<long>, kinds array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for frame in rows:
             for span, part in frame.groupby(frame["micros"] // (SPAN_MS * 1000)):
-                have = self.waiting.getValue((int(span),)) if self.waiting.containsKey((int(span),)) else None
-                times, ids = (list(have[0]), list(have[1])) if have else ([], [])
+                at = (int(span),)
+                have = self.waiting.getValue(at) if self.waiting.containsKey(at) else None
+                times, ids, kinds = map(list, have) if have else ([], [], [])
                 if not have:
                     self.handle.registerTimer((int(span) + 1) * SPAN_MS)
-                self.waiting.updateValue((int(span),), (times + part["micros"].tolist(), ids + part["event_id"].tolist()))
+                self.waiting.updateValue(at, (times + part["micros"].tolist(), ids + part["event_id"].tolist(), kinds + part["kind"].tolist()))
         return iter(())
 
+    def passed(self, expiry_ms: int) -> Iterator[tuple[int, int, str]]:
+        """(micros, event_id, kind) of what waits in spans that end by then, in order; it waits no longer."""
+        for span in sorted(k[0] for k in self.waiting.keys() if (k[0] + 1) * SPAN_MS <= expiry_ms):
+            yield from sorted(zip(*self.waiting.getValue((span,)), strict=True))
+            self.waiting.removeKey((span,))
+
+    def close(self) -> None:
+        pass
+
+
+class Limiter(InOrder):
+    """Decides hits: against admissions no older than `seconds`, and against all hits less old than that, denied ones too. State holds
+    `limit` admissions and one hit more at most, besides what waits."""
+
+    def __init__(self, limit: int, seconds: float):
+        self.limit, self.micros = limit, int(seconds * 1_000_000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.held = handle.getValueState("held", "admitted array<long>, every array<long>")
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = expiredTimerInfo.getExpiryTimeInMs() // SPAN_MS
         admitted, every = (list(x) for x in self.held.get()) if self.held.exists() else ([], [])
         out = []
-        for span in sorted(k[0] for k in self.waiting.keys() if k[0] < passed):
-            times, ids = self.waiting.getValue((span,))
-            for t, i in sorted(zip(times, ids, strict=True)):
-                admitted = [h for h in admitted if h >= t - self.micros]
-                every = sorted({*(h for h in every if h > t - self.micros), t})[-self.limit - 1 :]  # hits of one instant are one
-                out.append((key[0], i, len(admitted) < self.limit, len(every) <= self.limit))
-                if out[-1][2]:
-                    admitted.append(t)
-            self.waiting.removeKey((span,))
+        for t, i, _ in self.passed(expiredTimerInfo.getExpiryTimeInMs()):
+            admitted = [h for h in admitted if h >= t - self.micros]
+            every = sorted({*(h for h in every if h > t - self.micros), t})[-self.limit - 1 :]  # hits of one instant are one
+            out.append((key[0], i, len(admitted) < self.limit, len(every) <= self.limit))
+            if out[-1][2]:
+                admitted.append(t)
         self.held.update((admitted, every))
         yield pd.DataFrame(out, columns=["user_id", "event_id", "admitted", "admitted_counting"])
 
-    def close(self) -> None:
-        pass
+
+class Executions(InOrder):
+    """Clicks start executions that the next purchase ends: executed within `seconds`, failed later. A timer behind each one's time
+    fails it where no purchase has come. State holds the executions that run, at most those of `seconds` and a span."""
+
+    def __init__(self, seconds: float):
+        self.micros = int(seconds * 1_000_000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.running = handle.getMapState("running", "event_id long", "micros long")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, out = expiredTimerInfo.getExpiryTimeInMs(), []
+        for t, i, kind in self.passed(now):
+            if kind == "click":
+                self.running.updateValue((i,), (t,))
+                self.handle.registerTimer(((t + self.micros) // 1000 // SPAN_MS + 1) * SPAN_MS)
+                continue
+            for (e,), (since,) in list(self.running.iterator()):
+                out.append((e, "executed" if t // 1000 - since // 1000 < self.micros // 1000 else "failed"))
+            self.running.clear()
+        for (e,), (since,) in list(self.running.iterator()):
+            if ((since + self.micros) // 1000 // SPAN_MS + 1) * SPAN_MS <= now:
+                out.append((e, "failed"))
+                self.running.removeKey((e,))
+        yield pd.DataFrame(out, columns=["event_id", "state"])
 
 
 def limited(hits: DataFrame, limit: int, seconds: float, delay: str = "10 minutes") -> DataFrame:
     """(user_id, event_id, admitted, admitted_counting) for a stream of hits(user_id, event_id, ts), as far as the watermark has
     passed the span of each."""
-    seen = hits.withWatermark("ts", delay).select("user_id", "event_id", F.unix_micros("ts").alias("micros"), "ts")
+    seen = hits.withWatermark("ts", delay).select("user_id", "event_id", F.lit("hit").alias("kind"), F.unix_micros("ts").alias("micros"), "ts")
     return seen.groupBy("user_id").transformWithStateInPandas(Limiter(limit, seconds), "user_id long, event_id long, admitted boolean, admitted_counting boolean", "Append", "EventTime")
 
 
@@ -87,7 +128,19 @@ def st2_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
         return drained(limited(stream(spark, sf_dir).where("user_id is not null"), LIMIT, SECONDS))
 
 
-QUERIES = {"st2_limiter": st2_limiter}
+def executed(events: DataFrame, seconds: float, delay: str = "10 minutes") -> DataFrame:
+    """(event_id, state) of the clicks in a stream of events(user_id, event_id, event_type, ts), as soon as it is certain."""
+    seen = events.where("event_type in ('click', 'purchase')").withWatermark("ts", delay).select("user_id", "event_id", F.col("event_type").alias("kind"), F.unix_micros("ts").alias("micros"), "ts")
+    return seen.groupBy("user_id").transformWithStateInPandas(Executions(seconds), "event_id long, state string", "Append", "EventTime")
+
+
+def st4_executions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Executions of all users, given up after GIVEN_UP seconds; those that may still be ended aren't shown."""
+    with rocks(spark):
+        return drained(executed(stream(spark, sf_dir).where("user_id is not null"), GIVEN_UP))
+
+
+QUERIES = {"st2_limiter": st2_limiter, "st4_executions": st4_executions}
 
 ORACLES = {
     # who is admitted depends on who was: a walk along each user's events that carries the last three admissions
@@ -97,4 +150,7 @@ select f.user_id, e.p, e.event_id, len(list_filter(held, lambda h: h >= e.t - {S
 from f join e on e.user_id = f.user_id and e.p = f.p + 1)
 select user_id, event_id, ok admitted, (select count(distinct b.t) from e b where b.user_id = e.user_id and b.p <= e.p and b.t > e.t - {SECONDS * 1_000_000}) <= {LIMIT} admitted_counting from e join (select user_id, event_id, ok from f where ok is not null) using (user_id, event_id)
 where (span + 1) * {SPAN_MS} <= (select max(epoch_ms(ts)) from events) - 600000""",
+    "st4_executions": f"""with e as (select *, epoch_ms(ts) ms, (epoch_ms(ts) // {SPAN_MS} + 1) * {SPAN_MS} done from events where event_type in ('click', 'purchase') and user_id is not null), m as (select max(ms) - 600000 mark from e),
+c as (select event_id, event_type, ms, epoch_us(ts) us, done, min(case when event_type = 'purchase' then ms end) over w p, min(case when event_type = 'purchase' then done end) over w p_done from e window w as (partition by user_id order by ts, event_id rows between 1 following and unbounded following))
+select event_id, case when p_done <= mark and p - ms < {GIVEN_UP * 1000} then 'executed' else 'failed' end as state from c, m where event_type = 'click' and done <= mark and (p_done <= mark or ((us + {GIVEN_UP * 1_000_000}) // 1000 // {SPAN_MS} + 1) * {SPAN_MS} <= mark)""",
 }
