@@ -55,7 +55,7 @@ def paragraph_sets(data: np.ndarray, offsets: np.ndarray, n: int, least_words: i
     lines = lines if len(lines) > 1 else np.array([0, 0])
     words, before, _, _ = word_hashes(data, lines, "alnum")
     count = np.diff(before)
-    owner = np.searchsorted(offsets, lines[:-1], side="right") - 1
+    owner = np.minimum(np.searchsorted(offsets, lines[:-1], side="right") - 1, len(offsets) - 2)  # nothing but empty rows: the last
     first = np.searchsorted(lines[:-1], offsets[:-1])
     keep = np.flatnonzero(count >= max(least_words, 1))
     shingles, after = shingle_hashes(words, before, n)

@@ -86,3 +86,11 @@ def test_ngram_join(spark, folder_of, rows):
 def test_repeated_passages(spark, folder_of, rows):
     some = [(i, t) for i, t in rows if i != 8]
     assert test_suffix_dedup.got(op9_suffix_dedup(spark, folder_of(some))) == test_suffix_dedup.brute(some, 200)
+
+
+def test_nothing_but_empty_texts(spark, folder_of):
+    empty = [(1, None), (2, ""), (3, None)]
+    assert op2_paragraph_minhash(spark, folder_of(empty)).count() == 0
+    assert {r.component_id for r in op8_ngram_join(spark, folder_of(empty)).collect()} == {1, 2, 3}
+    assert {(r.n_bytes, r.n_removed) for r in op9_suffix_dedup(spark, folder_of(empty)).collect()} == {(0, 0)}
+    assert op1_balanced_label_propagation(spark, folder_of(empty)).count() == op4_license_scan(spark, folder_of(empty)).count() == op6_token_counts(spark, folder_of(empty)).count() == 3
