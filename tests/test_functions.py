@@ -366,3 +366,34 @@ def test_text_index_leaves_blocks_out(spark):
     read, every = index.read
     index.release()
     assert read < 0.7 * every
+
+
+def test_best_of_each_row_with_ties():
+    import numpy as np
+
+    from tessera.operators.vector_index import _best
+
+    rng = np.random.default_rng(4)
+    cosine, ids = np.round(rng.normal(size=(40, 60)), 1), rng.permutation(60)
+    cosine[3], cosine[5, 2:] = -np.inf, -np.inf
+    for k in (1, 5, 60, 99):
+        row, column = _best(cosine, ids, k)
+        want = [(r, c) for r in range(40) for c in np.lexsort((ids, -cosine[r]))[:k] if np.isfinite(cosine[r, c])]
+        assert list(zip(row.tolist(), column.tolist(), strict=True)) == want
+
+
+def test_postings_are_built_in_steps(monkeypatch):
+    """A batch of many terms is sorted in pieces of whole documents; the postings are those of the whole."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.operators import text_index
+
+    rng = np.random.default_rng(5)
+    lists = [rng.integers(0, 30, size=n).tolist() for n in (5, 0, 400, 1, 1, 90, 20, 0)]
+    batch = pa.record_batch({"id": pa.array(range(8)), "terms": pa.array(lists, pa.list_(pa.int64()))}).slice(1)
+    rows = lambda: sorted(tuple(r.values()) for b in text_index._postings(iter([batch])) for r in b.to_pylist())
+    whole = rows()
+    monkeypatch.setattr(text_index, "STEP_TERMS", 100)
+    assert [sum(map(len, s.column(1).to_pylist())) for s in text_index._steps(batch)] == [0, 400, 92, 20]
+    assert rows() == whole
