@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import canonical, folded
+from tessera.sources.shared import kept
 from tessera.sources.tables import table
 
 #: Runs that may be encoded text, the share of characters to be printable, the layers that are opened.
@@ -89,7 +90,7 @@ def outside_text(c: Column | str, length: int = OUTSIDE_LENGTH) -> Column:
 def f1_canonicalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as scanners see them."""
     c = scannable(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text", "seen")
-    return c.select("conv_id", "turn", F.md5("seen").alias("canonical_md5"))
+    return kept(c.select("conv_id", "turn", F.md5("seen").alias("canonical_md5")), "canonical")  # in small Arrow batches
 
 
 def f2_decoded_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +106,7 @@ def f2_decoded_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f24_outside_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
     text = outside_text("html")
-    return p.select("page_id", F.length(text).alias("length"), F.md5(text).alias("text_md5"))
+    return kept(p.select("page_id", F.length(text).alias("length"), F.md5(text).alias("text_md5")), "outside")  # in small Arrow batches
 
 
 QUERIES = {f.__name__: f for f in (f1_canonicalize, f2_decoded_layers, f24_outside_text)}

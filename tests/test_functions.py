@@ -397,3 +397,22 @@ def test_postings_are_built_in_steps(monkeypatch):
     monkeypatch.setattr(text_index, "STEP_TERMS", 100)
     assert [sum(map(len, s.column(1).to_pylist())) for s in text_index._steps(batch)] == [0, 400, 92, 20]
     assert rows() == whole
+
+
+def test_written_tables_use_small_arrow_batches(spark):
+    """Python sees a few hundred rows at once while a table is written, and the session's own bound holds again afterwards; the
+    queries that fold whole texts write theirs."""
+    import pyarrow as pa
+
+    from tessera.functions.decoding import f1_canonicalize, f24_outside_text
+    from tessera.sources.shared import BATCH_CONF, BATCH_ROWS, kept
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    before = spark.conf.get(BATCH_CONF)
+    seen = kept(spark.range(0, 3000, 1, 1).mapInArrow(sizes, "n long"), "sizes")
+    assert sum(r.n for r in seen.collect()) == 3000 and max(r.n for r in seen.collect()) <= BATCH_ROWS
+    assert spark.conf.get(BATCH_CONF) == before
+    assert all(hasattr(f(spark, "/root/testdata/sf0.001"), "_kept_at") for f in (f1_canonicalize, f24_outside_text))
