@@ -416,3 +416,71 @@ def test_written_tables_use_small_arrow_batches(spark):
     assert sum(r.n for r in seen.collect()) == 3000 and max(r.n for r in seen.collect()) <= BATCH_ROWS
     assert spark.conf.get(BATCH_CONF) == before
     assert all(hasattr(f(spark, "/root/testdata/sf0.001"), "_kept_at") for f in (f1_canonicalize, f24_outside_text))
+
+
+def plain_bm25(docs, queries, k):
+    """(query_id, rank) -> (id, score) by plain sums over the terms that a regular expression finds."""
+    cut = lambda t: re.findall("[a-z0-9]+", (t or "").lower())
+    counts, want = {i: Counter(cut(t)) for i, t in docs}, {}
+    for q, text_ in queries:
+        scores = Counter()
+        for term in set(cut(text_)):
+            df = sum(term in c for c in counts.values())
+            for i, c in counts.items():
+                if c[term]:
+                    scores[i] += math.log((len(docs) - df + 0.5) / (df + 0.5) + 1) * c[term] * 2.2 / (c[term] + 1.2 * (0.25 + 0.75 * sum(c.values()) / 256))
+        want.update({(q, r): (i, -s) for r, (s, i) in enumerate(sorted((-round(s, 6), i) for i, s in scores.items())[:k], 1)})
+    return want
+
+
+def test_text_index_long_queries_meet_in_groups(spark, monkeypatch):
+    """Long queries in many groups of queries and documents: equal to plain sums, and a group hands on no more than the k best of
+    each of its queries, however many documents share a word with it."""
+    from tessera.operators import text_index
+
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(300)]
+    odds = 1 / np.arange(1, 301)
+    some = lambda n: " ".join(rng.choice(words, n, p=odds / odds.sum()))
+    docs = [(i, some(rng.integers(5, 120))) for i in range(500)] + [(9000, None), (9001, ""), (9002, "W0\u00e9w1 \u212a9,k9"), (9003, "w0 w1")]
+    queries = [(i, some(40)) for i in range(30)] + [(100, "w0 k9"), (101, " ".join(f"u{k}" for k in range(20))), (102, None)]
+    for name, n in (("DOCS", 64), ("QUERIES", 8)):
+        monkeypatch.setattr(text_index, name, n)
+    met, best_of = [], text_index._best_of
+
+    def seen(asked, held, k):
+        out = best_of(asked, held, k)
+        met.append((out.num_rows, asked.num_rows, held.num_rows))
+        return out
+
+    index = TextIndex(spark.createDataFrame(docs, "id long, text string"))
+    found = index.search(spark.createDataFrame(queries, "query_id int, text string"), 5)
+    got = {(r.query_id, r["rank"]): (r.id, r.score) for r in found.collect()}
+    want = plain_bm25(docs, queries, 5)
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
+    asked = text_index.hashed(spark.createDataFrame(queries[:30], "query_id int, text string"), "query_id")
+    asked = asked.select("query_id", "terms", F.transform("terms", lambda x: F.lit(1.0)).alias("idfs"), F.transform("terms", lambda x: F.lit(0)).alias("levels")).toArrow()
+    held = index.postings.toArrow()
+    index.release()
+    whole = seen(asked, held, 5)
+    for name, n in (("SLICE", 7), ("STEP_POSTINGS", 50), ("MATRIX_TERMS", 3)):
+        monkeypatch.setattr(text_index, name, n)
+    assert seen(asked, held, 5).equals(whole)
+    assert all(rows <= 5 * of and rows < having / 50 for rows, of, having in met)
+
+
+def test_terms_are_hashed_as_a_pattern_finds_them():
+    """Texts in one buffer: terms end with their text; equal terms have equal hashes, others don't."""
+    import pyarrow as pa
+
+    from tessera.operators import text_index
+
+    texts = ["ab", "c", "", None, "ab c9\u00e9c9", "a" * 300 + " a", "\u00fc", "ba b a", ""]
+    for batch in (pa.record_batch([pa.array(range(9)), pa.array(texts)], names=["id", "text"]).slice(at) for at in range(4)):
+        out = [b for b in text_index._hashed(iter([batch]), every=True)]
+        lists = [x for b in out for x in b.column(1).to_pylist()]
+        want = [re.findall("[a-z0-9]+", t or "") for t in batch.column(1).to_pylist()]
+        assert [len(x) for x in lists] == [len(w) + 1 for w in want] and all(x[-1] == text_index.EVERY for x in lists)
+        pairs = {(h, w) for x, ws in zip(lists, want, strict=True) for h, w in zip(x, ws, strict=False)}
+        assert len(pairs) == len({h for h, _ in pairs}) == len({w for _, w in pairs})
