@@ -484,3 +484,11 @@ def test_terms_are_hashed_as_a_pattern_finds_them():
         assert [len(x) for x in lists] == [len(w) + 1 for w in want] and all(x[-1] == text_index.EVERY for x in lists)
         pairs = {(h, w) for x, ws in zip(lists, want, strict=True) for h, w in zip(x, ws, strict=False)}
         assert len(pairs) == len({h for h, _ in pairs}) == len({w for _, w in pairs})
+
+
+def test_goldens_do_not_shuffle_the_corpus(spark):
+    """Lines of documents meet the items' lines where they are read: no exchange deals out lines by document."""
+    from tessera.operators.evaluation import goldens
+
+    plan = goldens(spark, SMALL)._jdf.queryExecution().sparkPlan().toString() + goldens(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "item_id" in plan and not re.search(r"hashpartitioning\(doc_id#\w+, line", plan)
