@@ -492,3 +492,57 @@ def test_goldens_do_not_shuffle_the_corpus(spark):
 
     plan = goldens(spark, SMALL)._jdf.queryExecution().sparkPlan().toString() + goldens(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "item_id" in plan and not re.search(r"hashpartitioning\(doc_id#\w+, line", plan)
+
+
+def test_what_a_worker_holds_does_not_grow(spark, tmp_path, monkeypatch):
+    """Groups of queries and vectors, and of queries and documents, at two sizes: there are more of them, none is larger, and they
+    hold every pair."""
+    import os
+    import uuid
+
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    from tessera.operators import text_index
+
+    apply_, folder = PandasCogroupedOps.applyInArrow, [None]
+
+    def told(self, func, schema):
+        at = folder[0]
+
+        def sized(asked, held):
+            with open(f"{at}/{uuid.uuid4().hex}", "w") as f:
+                f.write(f"{asked.num_rows} {len(held.column('id').unique())} {held.num_rows}")
+            return func(asked, held)
+
+        return apply_(self, sized, schema)
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", told)
+    for name, n in (("DOCS", 64), ("QUERIES", 16)):
+        monkeypatch.setattr(text_index, name, n)
+    rng = np.random.default_rng(5)
+
+    def groups(name, search):
+        folder[0] = str(tmp_path / name)
+        os.mkdir(folder[0])
+        assert search().count() > 0
+        return [tuple(map(int, (tmp_path / name / f).read_text().split())) for f in os.listdir(folder[0])]
+
+    def vectors(n):
+        rows = [(i, rng.normal(size=8).tolist()) for i in range(n)]
+        index = VectorIndex(spark.createDataFrame(rows, "id long, vector array<double>"), 8, block=64, cells=1)
+        asked = spark.createDataFrame(rows[: n // 2], "query_id long, vector array<double>")
+        return lambda: index._met(index._visits(asked, 3, second=False), 3)[0]
+
+    def texts(n):
+        some = lambda k: " ".join(f"w{x}" for x in rng.integers(0, 50, k))
+        docs = spark.createDataFrame([(i, some(30)) for i in range(n)], "id long, text string")
+        asked = spark.createDataFrame([(i, some(60)) for i in range(n // 2)], "query_id int, text string")
+        return lambda: TextIndex(docs).search(asked, 3)
+
+    for kind, block, each in ((vectors, 64, 64), (texts, 16, 64)):
+        few, many = (groups(f"{kind.__name__}{n}", kind(n)) for n in (200, 600))
+        assert len(many) > 4 * len(few)
+        for n, found in ((200, few), (600, many)):
+            assert max(a for a, _, _ in found) <= 2 * block and max(h for _, h, _ in found) <= 2 * each
+            assert sum(a * h for a, h, _ in found) == n * n // 2
+        assert max(h for *_, h in many) <= 1.5 * max(h for *_, h in few)
