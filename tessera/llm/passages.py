@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BASE, column_of, cut, drop_cut, every_span_hash, long_lists, mix, powers, text_chunks, word_hashes
+from .common import BASE, column_of, cut, drop_cut, every_span_hash, long_lists, mix, powers, sized, text_chunks, word_hashes
 from .graph import connected_components
-from .suffix_dedup import _repeated, sliding_least
+from .suffix_dedup import HOT_ROWS, _repeated, sliding_least
 
 
 def window_minima(words: np.ndarray, before: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -45,6 +45,17 @@ def least_places(runs: np.ndarray, least: np.ndarray, inside: np.ndarray, length
     return np.flatnonzero((~highest == runs) & (highest != none[0]))
 
 
+def _joined(frame: DataFrame, few: DataFrame) -> DataFrame:
+    """frame joined with few(w, found, ...), where found is at least how many rows of frame have w; a w of more than HOT_ROWS
+    rows is joined without a shuffle by w. few is written."""
+    hot = few.where(F.col("found") > HOT_ROWS)
+    if hot.isEmpty():
+        return frame.join(few, "w")
+    hot = sized(hot)  # one for each HOT_ROWS rows at most
+    left = frame.join(hot.select("w"), "w", "left_anti")
+    return frame.join(hot, "w").unionByName(left.join(few.where(F.col("found") <= HOT_ROWS), "w"))
+
+
 def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 50) -> DataFrame:
     """One row per passage, with the columns of duplicate_paragraphs and class_start: paragraph is the line in which the passage
     starts (it may cross lines), class_id, class_paragraph and class_start name the class's passage of least id and start,
@@ -108,11 +119,12 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     mixed = marks.groupBy("h").agg(F.count("*").alias("different"), F.max("places").alias("most")).where("different > 1 or most = 1").select("h")
     one = seen.select("h", "c", "windows").join(mixed, "h", "left_semi").groupBy("h", "c").agg(F.first("windows").alias("windows"))
     each = cut(one.join(marks, ["h", "c"]).select("h", "c", "places", F.posexplode("windows").alias("j", "w")))
-    again = each.groupBy("w").agg(F.count("*").alias("found")).where("found > 1")
+    again = cut(each.groupBy("w").agg(F.count("*").alias("found")).where("found > 1"))
     in_segment = Window.partitionBy("h", "c").orderBy("j")  # numbers in a row have the same distance to their rank
     piece = F.xxhash64("h", "c", (F.col("j") - F.row_number().over(in_segment)).cast("long"))
-    twice = cut(each.join(again, "w", "left").where("places > 1 or found > 1").withColumn("piece", piece))
-    drop_cut(each)
+    found = each.where("places > 1").unionByName(_joined(each.where("places = 1"), again).select(each.columns))
+    twice = cut(found.withColumn("piece", piece))
+    drop_cut(each, again)
     parts = twice.where("places = 1").groupBy("h", "c", "piece").agg(F.min("j").alias("x"), F.max("j").alias("y"))
     whole = marks.where("places > 1").select("h", "c", F.xxhash64("h", "c", F.lit(-1).cast("long")).alias("piece"))
     ends = [F.col("lines")[0].alias("paragraph"), F.col("starts")[0].alias("start"), F.element_at("ends", -1).alias("end")]
@@ -127,10 +139,11 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     runs = placed.groupBy("run").agg(F.first("id").alias("id"), F.min(F.struct("start", "paragraph")).alias("first"), F.max("end").alias("end"), (F.max("b") - F.min("a") + words).alias("n_words"))
     least = cut(placed.groupBy("piece").agg(F.min("run").alias("low")))
     links = placed.join(least, "piece").select(F.col("run").alias("a"), F.col("low").alias("b"))
-    shared = twice.join(twice.groupBy("w").agg(F.min("piece").alias("other")), "w").where("piece <> other").select("piece", "other").distinct()
+    first = cut(twice.groupBy("w").agg(F.min("piece").alias("other"), F.count("*").alias("found")).where("found > 1"))
+    shared = _joined(twice.select("w", "piece"), first).where("piece <> other").select("piece", "other").distinct()
     across = shared.join(least.withColumnRenamed("low", "a"), "piece").join(least.select(F.col("piece").alias("other"), F.col("low").alias("b")), "other").select("a", "b")
     links = connected_components(links.unionByName(across))
-    drop_cut(twice, least)
+    drop_cut(twice, least, first)
     known = runs.join(links.select(F.col("vertex").alias("run"), "component"), "run", "left").withColumn("root", F.coalesce("component", "run"))
     classes = known.groupBy("root").agg(F.count("*").alias("class_size"), F.min(F.struct("id", "first.start", "first.paragraph")).alias("kept"))
     return known.join(classes, "root").select(

@@ -83,3 +83,12 @@ def test_random_words(spark, docs_of, size):
 
 def test_empty(spark, docs_of):
     assert repeated_passages(docs_of([])).count() == 0
+
+
+def test_hot_windows(spark, docs_of, monkeypatch):
+    """Windows that very many different segments share are joined apart, with the same rows."""
+    rng = random.Random(5)
+    passage = text_of(rng, 60)
+    rows = [(i, f"{text_of(rng, 20)} {passage} {text_of(rng, 20 + i)}") for i in range(30)] + [(100 + i, text_of(random.Random(6 + i // 2), 90)) for i in range(8)]
+    monkeypatch.setattr("tessera.llm.passages.HOT_ROWS", 10)
+    assert got(repeated_passages(docs_of(rows))) == brute(rows)
